@@ -1,0 +1 @@
+"""operators of the code-knowledge-graph engine."""

@@ -1,0 +1 @@
+"""sources of the code-knowledge-graph engine."""

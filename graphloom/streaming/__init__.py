@@ -1,0 +1 @@
+"""streaming of the code-knowledge-graph engine."""
