@@ -1,9 +1,13 @@
 """Queries bound to the given tables, and their SQL."""
 
+from . import fact_queries, graph_queries
+
+ALL = graph_queries.QUERIES | fact_queries.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
