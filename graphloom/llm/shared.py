@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir
+
 #: A word, here and in every contract: a maximal run without space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that all executors share.
-
-    Reads ``spark.checkpoint.dir`` from the session. Only a local session without that setting (as in tests)
-    gets a temporary folder of its own; on a cluster the missing setting is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/graphloom-shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to shared storage and rereads it: the lineage ends there and survives lost executors."""
     spark = df.sparkSession

@@ -9,16 +9,30 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Characters that are encoded at once.
 AT_ONCE = 1_000_000
+_RUN = re.compile(r"(?:[^\w\s]|_)[.,]\s")
 _PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
-#: White space besides the four above, controls that are white space to some only, and the start of a special token.
-_UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|<\\|")
+#: White space besides the four above, controls that are white space to some only, and the mark of a first piece.
+_UNSURE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _spread(text: str) -> str:
+    """The text in lower case with blanks before full stops and commas that end a word, where neither changes an id.
+
+    For vocabularies that lower-case and drop white space. Left alone: text that isn't in composed form before and
+    after, a capital sigma (its lower case depends on the place), and stops and commas that are part of a longer run.
+    """
+    low = text.lower()
+    if not text.isascii() and ("Σ" in text or not (is_normalized("NFC", text) and is_normalized("NFC", low))):
+        return text
+    return low if _RUN.search(low) else low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
 
 
 class Encoder:
@@ -32,17 +46,28 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.spaces_count, self.known = spaces_count, {}
+        self.spaces_count, self.known, self.chunks = spaces_count, {}, {}
 
     def _bytes(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        if _UNSURE.search(text):
+    def _pieces(self, text: str) -> tuple[dict, list[str]] | None:
+        """Pieces and the memory that knows them; None for texts that are encoded whole."""
+        if not text or "<|" in text or _UNSURE.search(text):
             return None
         if not self.spaces_count:
-            return text.split()
-        return _PIECE.findall(text)
+            return self.known, _spread(text).split()
+        if text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", " \n", "\n ", "\n\n", "\t", "\r")):
+            return self.chunks, _PIECE.findall(text)
+        # White space is single: a piece has a blank before it, or begins with its line break, or is the first.
+        return self.known, ("\0" + text.replace("\n", " \n")).split(" ")
+
+    def _learn(self, known: dict, pieces: list[list[str]]) -> None:
+        missing = list(set().union(*pieces) - known.keys())
+        whole = missing
+        if self.spaces_count and known is self.known:
+            whole = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in missing]
+        known.update(zip(missing, self._bytes(whole), strict=True))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text; null and empty texts have none."""
@@ -57,12 +82,11 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        missing = list(set().union(*(c for c in cut if c)) - self.known.keys())
-        self.known.update(zip(missing, self._bytes(missing), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._bytes([t])[0] for t, c in zip(texts, cut, strict=True)]
+        for known in (self.known, self.chunks):
+            if len(known) > REMEMBERED:
+                known.clear()
+            self._learn(known, [c[1] for c in cut if c and c[0] is known])
+        return [b"".join(map(c[0].__getitem__, c[1])) if c else self._bytes([t])[0] for t, c in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=4)
