@@ -5,9 +5,9 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1 slots differ in at most ERRORS slots of som
 indexed once for every choice of ERRORS slots to leave out, so such a pair shares a key: the join by key finds every
 pair within that distance.
 
-No bucket's pairs are all written. Equal sets are one class. Members of a bucket are first compared with two of them,
+No bucket's pairs are all written. Equal sets are one class. Members of a bucket are first compared with one of them,
 chosen by a hash of member and key; a second step compares, for what is still in different components, all remaining
-members with each other inside tasks, bucket by bucket (large ones in blocks), and gives out the close pairs only.
+members with each other inside tasks, bucket by bucket (large ones in blocks), and gives out the links only.
 """
 
 from __future__ import annotations
@@ -88,10 +88,10 @@ def keys(classes: DataFrame) -> DataFrame:
 
 
 def members_of_buckets(classes: DataFrame) -> DataFrame:
-    """key, id, lead, lead2, n: members of buckets of two or more. The leads differ from key to key."""
+    """key, id, lead, n: members of buckets of two or more. The lead differs from key to key."""
     rows = keys(classes)
-    leads = [F.min_by("id", F.xxhash64("id", "key", F.lit(salt))) for salt in (1, 2)]
-    shared = rows.groupBy("key").agg(leads[0].alias("lead"), leads[1].alias("lead2"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lead = F.min_by("id", F.xxhash64("id", "key"))
+    shared = rows.groupBy("key").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(shared, "key")
 
 
@@ -123,6 +123,17 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").mapInArrow(run, "id long, shingles binary")
 
 
+def short_sets(sets: DataFrame) -> DataFrame:
+    """id, shingles as distinct 32-bit hashes: what is moved where full hashes decide afterwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique((np.frombuffer(x.as_py(), np.uint64) >> np.uint64(32)).astype("<u4")).tobytes() for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], names=["id", "shingles"])
+
+    return sets.mapInArrow(run, "id long, shingles binary")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) with 100 * intersection >= percent * union on full sets."""
 
@@ -154,40 +165,93 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Close pairs (a, b) of bucket members that are in different components, each once.
-
-    Only buckets of three or more that hold several components take part. A pair comes from its first shared key.
+def close_pairs(key: int, x: np.ndarray, y: np.ndarray, comp_x: np.ndarray, comp_y: np.ndarray, same: bool) -> np.ndarray:
+    """Rows (i, j) of signatures ``x`` and ``y`` at most FAR apart, in different components, with ``key`` as the first
+    key they share; ``same``: both are one list, and i < j."""
+    out = []
+    for at in range(0, len(x), 64):
+        differ = x[at : at + 64, None, :] != y[None, :, :]
+        hit = (differ.sum(axis=2) <= FAR) & (comp_x[at : at + 64, None] != comp_y[None, :])
+        if same:
+            hit &= np.arange(at, at + len(differ))[:, None] < np.arange(len(y))[None, :]
+        i, j = np.nonzero(hit)
+        wrong = differ[i, j].reshape(-1, CHUNKS, WIDTH)
+        chunk = np.argmax(wrong.sum(axis=2) <= ERRORS, axis=1)
+        wrong = wrong[np.arange(len(i)), chunk]
+        fits = np.stack([~np.delete(wrong, leave, axis=1).any(axis=1) for leave in LEFT_OUT], axis=1)
+        first = chunk * len(LEFT_OUT) + np.argmax(fits, axis=1)
+        mine = first == (key & 0xFF)
+        out.append(np.stack([i[mine] + at, j[mine]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets: one by one for a few pairs, else by products of membership matrices."""
+    if len(pairs) <= 64:
+        return np.array([len(np.intersect1d(left[i], right[j], assume_unique=True)) for i, j in pairs], dtype=np.int64)
+    values, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    shared = np.bincount(at) > 1
+    column = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in left + right])
+    owner, at = owner[shared[at]], column[at[shared[at]]]
+    total = np.zeros(len(pairs))
+    for low in range(0, int(shared.sum()), 4096):
+        inside = (at >= low) & (at < low + 4096)
+        m = np.zeros((len(left) + len(right), 4096), dtype=np.float32)
+        m[owner[inside], at[inside] - low] = 1
+        total += (m[: len(left)] @ m[len(left) :].T)[pairs[:, 0], pairs[:, 1]]
+    return total.astype(np.int64)
+
+
+def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of bucket members in different components whose sets, of 32-bit hashes, are similar enough.
+
+    Only buckets of three or more that hold several components take part. Each pair is compared once in all, by the
+    first key it shares; within a task, components that a link has joined are not compared again.
     """
     comp = F.coalesce("comp", "id").alias("comp")
     m = members.where("n > 2").select("key", "id", "n").join(labels, "id", "left").select("key", "id", "n", comp)
     mixed_keys = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    m = m.join(mixed_keys, "key").join(classes.select("id", "sig"), "id")
+    m = m.join(mixed_keys, "key").join(classes.select("id", "sig"), "id").join(short_sets(sets), "id")
     blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
     m = m.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sig")
+    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sig", "shingles")
 
-    def close(rows: list) -> list[tuple[int, int]]:
-        key, i, j = rows[0][0], rows[0][1], rows[0][2]
+    def linked(rows: list) -> list[tuple[int, int]]:
+        key, i, j = rows[0][:3]
         left = [r for r in rows if r[3] == i]
         right = left if i == j else [r for r in rows if r[3] == j]
+        if not left or not right:
+            return []
         x, y = (np.frombuffer(b"".join(r[6] for r in side), "<u2").reshape(-1, SLOTS) for side in (left, right))
-        comp_y, out = np.array([r[5] for r in right]), []
-        for k, r in enumerate(left):
-            differ = x[k] != y
-            for q in np.flatnonzero((differ.sum(axis=1) <= FAR) & (comp_y != r[5])):
-                wrong = differ[q].reshape(CHUNKS, WIDTH)
-                c = int(np.argmax(wrong.sum(axis=1) <= ERRORS))
-                first = next(z for z, leave in enumerate(LEFT_OUT) if not np.delete(wrong[c], leave).any())
-                if (key & 0xFF) == c * len(LEFT_OUT) + first and (i != j or k < q):
-                    out.append((min(r[4], right[q][4]), max(r[4], right[q][4])))
+        pairs = close_pairs(key, x, y, np.array([r[5] for r in left]), np.array([r[5] for r in right]), i == j)
+        if not len(pairs):
+            return []
+        a, b = ([np.frombuffer(r[7], "<u4") for r in side] for side in (left, right))
+        same = common(a, b, pairs)
+        either = np.array([len(s) for s in a])[pairs[:, 0]] + np.array([len(s) for s in b])[pairs[:, 1]] - same
+        top: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
+        out = []
+        # 32-bit hashes may collide, so a pair within one shingle of the limit is given out but joins nothing here.
+        for (p, q), sure in zip(pairs[100 * same >= percent * either - 200], (100 * same >= percent * either + 200)[100 * same >= percent * either - 200], strict=True):
+            c, d = root(left[p][5]), root(right[q][5])
+            if c != d:
+                out.append((min(left[p][4], right[q][4]), max(left[p][4], right[q][4])))
+                if sure:
+                    top[max(c, d)] = min(c, d)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def give() -> pa.RecordBatch:
-            out = close(held)
+            out = linked(held)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -216,12 +280,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(named.groupBy("set_key", "sig").agg(F.min("doc_id").alias("id")), "near-classes")
     members = written(members_of_buckets(classes), "near-members")
-    stars = members.select("id", F.explode(F.array("lead", "lead2")).alias("lead")).where("id <> lead")
+    stars = members.select("id", "lead").where("id <> lead")
     pairs = written(near(stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), classes), "near-pairs")
     sets = written(shingle_sets(docs, members.select("id").distinct()), "near-sets")
     links = written(confirmed(pairs, sets, percent), "near-links")
     labels = components(links)
-    more = written(confirmed(remaining(members, labels, classes), sets, percent), "near-links")
+    more = written(confirmed(remaining(members, labels, classes, sets, percent), sets, percent), "near-links")
     if not more.isEmpty():
         labels = components(labels.toDF("a", "b").union(more))
     found = classes.join(labels, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
