@@ -17,10 +17,10 @@ import numpy as np
 REMEMBERED = 1_000_000
 #: Characters that are encoded at once.
 AT_ONCE = 1_000_000
-_RUN = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+_RUN = re.compile(r"(?:\A|[\W_])[.,]\s")
 _PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
-#: White space besides the four above, controls that are white space to some only, and the mark of a first piece.
-_UNSURE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space besides the four above, controls that are white space to some only, and the marks of pieces.
+_UNSURE = re.compile("[\x00\x01\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _spread(text: str) -> str:
@@ -59,14 +59,18 @@ class Encoder:
             return self.known, _spread(text).split()
         if text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", " \n", "\n ", "\n\n", "\t", "\r")):
             return self.chunks, _PIECE.findall(text)
-        # White space is single: a piece has a blank before it, or begins with its line break, or is the first.
-        return self.known, ("\0" + text.replace("\n", " \n")).split(" ")
+        # White space is single: a piece has a blank before it, or begins with its line break, or is the first, or is
+        # the stop or comma that ends a word.
+        low = text.replace("\n", " \n")
+        if not _RUN.search(text):
+            low = low.replace(". ", " \1. ").replace(", ", " \1, ")
+        return self.known, ("\0" + low).split(" ")
 
     def _learn(self, known: dict, pieces: list[list[str]]) -> None:
         missing = list(set().union(*pieces) - known.keys())
         whole = missing
         if self.spaces_count and known is self.known:
-            whole = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in missing]
+            whole = [p[1:] if p[0] in "\0\1" else p if p[0] == "\n" else " " + p for p in missing]
         known.update(zip(missing, self._bytes(whole), strict=True))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:

@@ -100,7 +100,7 @@ def search(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
                 a, b = right[right["q"].map(len) == d], left[lengths == d]
                 if not len(b):
                     continue
-                q, x = (np.array(list(c), dtype=np.int64).reshape(-1, d) for c in (a["q"], b["v"]))
+                q, x = (np.array(list(c), dtype=np.int64).reshape(len(c), d) for c in (a["q"], b["v"]))
                 own, ids = a["query_id"].to_numpy(), b["vec_id"].to_numpy()
                 copy = a["copy"].to_numpy()
                 out += [(own[i], copy[i], ids[j], int(s)) for i, j, s in no_random_access(q, x, own, ids, k)]
