@@ -102,4 +102,20 @@ def op1_mixing(spark, sf_dir):
 
 
 QUERIES = {"op1_mixing": op1_mixing}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(length(text), 0) AS chars,
+    CAST('0x'||substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS bits FROM documents),
+k AS (SELECT *, -ln((bits + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / CASE WHEN size > 0 THEN 1::DOUBLE / (1::DOUBLE + abs(chars::DOUBLE / size - 7::DOUBLE)) ELSE 0.125::DOUBLE END AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+o AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5::DOUBLE WHEN 1 THEN 2 ELSE 1 END AS w, 3::DOUBLE * source_size AS cap FROM s),
+f AS (SELECT *, sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0) AS room, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS left_w FROM o
+  WINDOW b AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT arg_max(room / left_w, left_w) AS rate FROM f WHERE cap > room / left_w * w),
+t AS (SELECT source, source_size, least(cap, coalesce(rate * w, cap)) AS target FROM o, r),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken
+FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
+"""
+}
