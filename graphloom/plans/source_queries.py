@@ -1,0 +1,94 @@
+"""Queries on source facts, summaries and streams, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import extract as X
+from ..operators import graph as G
+from ..operators import search as S
+from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
+from ..streaming import events as E
+
+
+def page_facts(spark, d):
+    """Facts in the pages' markup and scripts."""
+    return X.facts(table(spark, d, "pages"), "page_id", "html").withColumnRenamed("file", "page_id")
+
+
+def page_complexity(spark, d):
+    """E22, A26 over the pages' scripts."""
+    p = table(spark, d, "pages")
+    return X.complexity(X.facts(p, "page_id", "html", ("call",)), p, "page_id", "html").withColumnRenamed("file", "page_id")
+
+
+def page_call_graph(spark, d):
+    """How many pages call what."""
+    _, e = X.graph(X.facts(table(spark, d, "pages"), "page_id", "html"))
+    return e.groupBy("dst", "type").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"))
+
+
+def request_targets(spark, d):
+    """Targets of links, normalised."""
+    h = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("href"))
+    return h.groupBy(T.target(F.col("href")).alias("target")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def search_grouped(spark, d):
+    """How many nodes of each type a search finds, and how many of them a limit of 20 shows."""
+    found = S.search(nodes(spark, d), name="1").groupBy("type").agg(F.count(F.lit(1)).alias("total"))
+    return found.select("type", "total", F.least("total", F.lit(20)).alias("returned"), (F.col("total") > 20).alias("truncated"))
+
+
+def edge_summary(spark, d):
+    """The first eight edges of each node by type and target, with the ends' names."""
+    w = Window.partitionBy("src").orderBy("type", "dst")
+    first = edges(spark, d).where("type <> 'requests'").groupBy("src", "type", "dst").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(w)).where("place <= 8")
+    names = nodes(spark, d).select("id", "name")
+    joined = first.join(names.toDF("src", "src_name"), "src", "left").join(names.toDF("dst", "dst_name"), "dst", "left")
+    return joined.select("src", "type", "dst", "n", "place", F.coalesce("src_name", "src").alias("src_name"), F.coalesce("dst_name", "dst").alias("dst_name"))
+
+
+def node_degrees(spark, d):
+    """Incoming and outgoing edges of every node that has any."""
+    return G.degrees(edges(spark, d))
+
+
+def tag_union(spark, d):
+    """The tags of all parts of a brand, each once."""
+    tags = table(spark, d, "part").select("p_brand", F.explode(T.search_tags(F.col("p_name"), F.col("p_type"))).alias("tag")).distinct()
+    return tags.groupBy("p_brand").agg(F.count(F.lit(1)).alias("tags"), F.min("tag").alias("first"), F.max("tag").alias("last"))
+
+
+def event_windows_stream(spark, d):
+    """Tumbling hours of the event stream (extension)."""
+    # A pattern, as a stream's plain path must be a folder and the table can be one file.
+    counts = E.window_counts(E.event_stream(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema))
+    return E.drained(counts, "event-windows").withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
+
+
+_KEYWORDS = ", ".join(f"'{k}'" for k in X.KEYWORDS)
+_FACTS = "f AS (" + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, trim(subject) AS subject, detail FROM (SELECT page_id, unnest(regexp_extract_all(html, $p${p}$p$, 1)) AS subject, unnest(regexp_extract_all(html, $p${p}$p$, 2)) AS detail FROM pages)" for k, p in X.RULES.items()) + f"), g AS (SELECT page_id, kind, subject, detail, count(*) AS n FROM f WHERE kind <> 'call' OR subject NOT IN ({_KEYWORDS}) GROUP BY ALL)"
+_EDGE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.EDGES.items()) + " END"
+_TOK = lambda c: f"list_filter(string_split_regex(lower(trim(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_./:@-]', ' ', 'g'))), '\\s+'), lambda t: t <> '')"
+
+QUERIES = {
+    "page_facts": (page_facts, f"WITH {_FACTS} SELECT * FROM g"),
+    "page_complexity": (page_complexity, f"""WITH {_FACTS}, c AS (SELECT page_id, sum(n) AS calls FROM g WHERE kind = 'call' GROUP BY 1),
+x AS (SELECT p.page_id, len(regexp_extract_all(html, '\\b(if|switch|case|catch)\\b')) AS branches, len(regexp_extract_all(html, '\\b(for|while)\\b')) AS loops, CAST(coalesce(calls, 0) AS BIGINT) AS calls FROM pages p LEFT JOIN c ON p.page_id = c.page_id)
+SELECT page_id, CAST(branches AS INTEGER) AS branches, CAST(loops AS INTEGER) AS loops, calls, CASE WHEN branches + 2 * loops + 0.5 * calls <= 2 THEN 'low' WHEN branches + 2 * loops + 0.5 * calls <= 5 THEN 'medium' ELSE 'high' END AS level FROM x"""),
+    "page_call_graph": (page_call_graph, f"""WITH {_FACTS}, e AS (SELECT page_id, kind||':'||CASE WHEN kind IN ('state-write', 'call', 'model-access') THEN subject ELSE detail END AS dst, {_EDGE} AS type, sum(n) AS n FROM g WHERE {_EDGE} IS NOT NULL GROUP BY 1, 2, 3)
+SELECT dst, type, count(*) AS pages, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY 1, 2"""),
+    "request_targets": (request_targets, r"""WITH h AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
+SELECT regexp_replace(regexp_replace(regexp_replace(replace(href, '${API_BASE}', '/api'), '\$\{[^}]*\}', '', 'g'), '\?.*$', '', 'g'), '(^|[^:])/{2,}', '\1/', 'g') AS target, count(*) AS n FROM h GROUP BY 1"""),
+    "search_grouped": (search_grouped, f"WITH {NODES_SQL} SELECT type, count(*) AS total, least(count(*), 20) AS returned, count(*) > 20 AS truncated FROM n WHERE contains(lower(name||' '||id), '1') GROUP BY 1"),
+    "edge_summary": (edge_summary, f"""WITH {NODES_SQL}, {EDGES_SQL}, g AS (SELECT src, type, dst, count(*) AS n FROM e WHERE type <> 'requests' GROUP BY 1, 2, 3),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY type, dst) AS INTEGER) AS place FROM g QUALIFY place <= 8)
+SELECT f.*, coalesce(a.name, src) AS src_name, coalesce(b.name, dst) AS dst_name FROM f LEFT JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst"""),
+    "node_degrees": (node_degrees, f"WITH {EDGES_SQL} SELECT id, CAST(sum(i) AS BIGINT) AS incoming, CAST(sum(o) AS BIGINT) AS outgoing FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id"),
+    "tag_union": (tag_union, f"""WITH t AS (SELECT DISTINCT p_brand, unnest(list_concat([lower(trim(p_name)), lower(trim(p_type))], list_concat({_TOK('p_name')}, {_TOK('p_type')}))) AS tag FROM part)
+SELECT p_brand, count(*) AS tags, min(tag) AS first, max(tag) AS last FROM t WHERE tag <> '' GROUP BY 1"""),
+    "event_windows_stream": (event_windows_stream, "SELECT strftime(ts, '%Y-%m-%d %H') AS start, event_type, count(*) AS n, max(value) AS highest FROM events GROUP BY 1, 2"),
+}

@@ -1,0 +1,44 @@
+"""Facts from small sources, import resolution, graph building and the merging stream."""
+
+import pytest
+from pyspark.sql import SparkSession
+
+from graphloom.operators import extract
+from graphloom.sources.storage import shared_dir
+from graphloom.streaming import events
+
+SOURCE = """import { a, b } from "./util";
+import x from '@/lib/net';
+export class Shop {
+  open() { this.state.count = 1; if (this.state.count == 1) { bus.emit("opened", 1); } }
+  async load() { const r = await fetch(`/api/items`); setTimeout(this.tick, 10); return prisma.item.findMany(); }
+}
+app.get("/items", handler); bus.on('opened', open);
+"""
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
+def test_facts_and_imports(spark):
+    files = spark.createDataFrame([("src/shop/shop.ts", SOURCE), ("src/shop/util.ts", ""), ("src/lib/net/index.ts", None)], "file string, text string")
+    found = extract.facts(files)
+    got = {(r.kind, r.subject, r.detail) for r in found.collect()}
+    assert {("import", "{ a, b }", "./util"), ("dispatch", "emit", "opened"), ("subscribe", "on", "opened"), ("request", "fetch", "/api/items"), ("timing", "setTimeout", "this.tick"),
+            ("model-access", "item", "findMany"), ("endpoint", "get", "/items"), ("state-write", "state.count", "="), ("export", "", "Shop")} <= got
+    assert not any(k == "call" and s == "if" for k, s, _ in got)
+    assert {(r.specifier, r.target) for r in extract.resolved_imports(found, files).collect()} == {("./util", "src/shop/util.ts"), ("@/lib/net", "src/lib/net/index.ts")}
+    nodes, edges = extract.graph(found)
+    assert ("src/shop/shop.ts", "script") in {tuple(r) for r in nodes.collect()}
+    assert ("src/shop/shop.ts", "dispatch:opened", "emits") in {tuple(r)[:3] for r in edges.collect()}
+    assert {r.file: r.level for r in extract.complexity(found, files.where("text IS NOT NULL")).collect()}["src/shop/util.ts"] == "low"
+
+
+def test_merge_log(spark):
+    source, out = shared_dir(spark, "test-log"), shared_dir(spark, "test-merged")
+    for title in ("one", "two"):
+        spark.createDataFrame([("k", title, 1)], "id string, title string, hits int").coalesce(1).write.mode("append").parquet(source)
+        events.merge_log(events.event_stream(spark, source, "id string, title string, hits int"), out, "id", counted="hits").awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/version=000000001").collect()] == [("k", "two", 2)]
