@@ -66,7 +66,7 @@ def with_swaps(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
 def train(docs: DataFrame, labels: DataFrame, swapped_weight: float = 5.0) -> np.ndarray:
     """Weights from labelled rows whose crc32 remainder by 3 is not 1; zeros (score 0.5) if there is none."""
     rows = sample(docs, labels, "toxic", remainder(F.col("doc_id"), 3) != 1, with_swaps)
-    return fit(rows, epochs=10, alpha=1.0, l1=3.0, l2=0.01, positive_weight=8.0, swapped_weight=swapped_weight, evidence_only=True, least_df=3)
+    return fit(rows, epochs=10, alpha=0.3, l1=10.0, l2=0.01, positive_weight=8.0, swapped_weight=swapped_weight, evidence_only=True, least_df=3)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
