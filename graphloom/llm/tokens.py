@@ -9,15 +9,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
 REMEMBERED = 1_000_000
 #: Characters that are encoded at once.
-AT_ONCE = 1_000_000
-_RUN = re.compile(r"(?:\A|[\W_])[.,]\s")
+AT_ONCE = 8_000_000
+#: A stop or comma before white space that does not end a word.
+_RUN = re.compile(r"[.,]\s(?<![^\W_]..)", re.DOTALL)
 _PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 #: White space besides the four above, controls that are white space to some only, and the marks of pieces.
 _UNSURE = re.compile("[\x00\x01\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -49,29 +53,54 @@ class Encoder:
         self.spaces_count, self.known, self.chunks = spaces_count, {}, {}
 
     def _bytes(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> tuple[dict, list[str]] | None:
-        """Pieces and the memory that knows them; None for texts that are encoded whole."""
+        """Each piece's ids, one after another."""
+        found = [e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+        raw = np.fromiter(chain.from_iterable(found), dtype=self.dtype).tobytes()
+        ends = list(accumulate(map(len, found)))
+        size = self.dtype.itemsize
+        return [raw[(end - len(x)) * size : end * size] for x, end in zip(found, ends, strict=True)]
+
+    def _pieces(self, text: str) -> str | list[str] | None:
+        """Text whose parts between blanks are the pieces, or the pieces; None for texts that are encoded whole."""
         if not text or "<|" in text or _UNSURE.search(text):
             return None
         if not self.spaces_count:
-            return self.known, _spread(text).split()
+            return _spread(text).replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if text[0] in " \n" or text[-1] in " \n" or any(two in text for two in ("  ", " \n", "\n ", "\n\n", "\t", "\r")):
-            return self.chunks, _PIECE.findall(text)
+            return _PIECE.findall(text)
         # White space is single: a piece has a blank before it, or begins with its line break, or is the first, or is
         # the stop or comma that ends a word.
         low = text.replace("\n", " \n")
         if not _RUN.search(text):
             low = low.replace(". ", " \1. ").replace(", ", " \1, ")
-        return self.known, ("\0" + low).split(" ")
-
-    def _learn(self, known: dict, pieces: list[list[str]]) -> None:
-        missing = list(set().union(*pieces) - known.keys())
+        return "\0" + low
+
+    def _known(self, known: dict[str, bytes], pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, from memory or encoded and remembered."""
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = list(map(known.get, pieces))
+        missing = list({p for p, raw in zip(pieces, found, strict=True) if raw is None})
+        if not missing:
+            return found
         whole = missing
         if self.spaces_count and known is self.known:
             whole = [p[1:] if p[0] in "\0\1" else p if p[0] == "\n" else " " + p for p in missing]
         known.update(zip(missing, self._bytes(whole), strict=True))
+        return list(map(known.__getitem__, pieces))
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are cut at every blank: distinct pieces are looked up once, their ids then gathered."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        pieces = cut.flatten().dictionary_encode()
+        raws = self._known(self.known, pieces.dictionary.to_pylist())
+        ids = pa.array(raws, pa.large_binary()).take(pieces.indices)
+        _, ends, data = ids.buffers()
+        if data is None:
+            return [b""] * len(texts)
+        bounds = np.frombuffer(ends, np.int64, len(ids) + 1, ids.offset * 8)[cut.offsets.to_numpy()].tolist()
+        view = memoryview(data)
+        return [bytes(view[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text; null and empty texts have none."""
@@ -86,11 +115,17 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
-        for known in (self.known, self.chunks):
-            if len(known) > REMEMBERED:
-                known.clear()
-            self._learn(known, [c[1] for c in cut if c and c[0] is known])
-        return [b"".join(map(c[0].__getitem__, c[1])) if c else self._bytes([t])[0] for t, c in zip(texts, cut, strict=True)]
+        split = [c for c in cut if isinstance(c, str)]
+        done = iter(self._split(split) if split else [])
+        out = []
+        for text, c in zip(texts, cut, strict=True):
+            if isinstance(c, str):
+                out.append(next(done))
+            elif c is None:
+                out.append(self._bytes([text])[0])
+            else:
+                out.append(b"".join(self._known(self.chunks, c)))
+        return out
 
 
 @lru_cache(maxsize=4)
