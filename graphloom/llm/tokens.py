@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Characters that are encoded at once.
-AT_ONCE = 8_000_000
+AT_ONCE = 2_000_000
 #: A stop or comma before white space that does not end a word.
 _RUN = re.compile(r"[.,]\s(?<![^\W_]..)", re.DOTALL)
 _PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
