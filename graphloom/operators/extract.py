@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Kind of fact to a pattern with two groups: subject and detail.
 RULES = {
     "import": r"""\bimport\s+([\w*{}\s,$]*?)\s*(?:from\s+)?["']([^"'\n]+)["']""",
@@ -88,3 +90,54 @@ def complexity(found: DataFrame, files: DataFrame, file: str = "file", text: str
     x = files.select(F.col(file).alias("file"), branches, loops).join(calls, "file", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
     weight = F.col("branches") + 2 * F.col("loops") + 0.5 * F.col("calls")
     return x.withColumn("level", F.when(weight <= 2, "low").when(weight <= 5, "medium").otherwise("high"))
+
+
+#: Name, kind and pattern of services known by the lower-cased target of a request, first match holds.
+HOST_SERVICES = (("Facebook Graph API", "http-api", r"facebook\.com"), ("Anthropic Claude", "ai-api", r"anthropic\.com|claude"))
+#: Name, kind, pattern of the import, pattern of the text, and whether both must match (else either).
+IMPORT_SERVICES = (
+    ("Anthropic Claude", "ai-sdk", r"^@anthropic-ai/sdk$", r"\b(new\s+Anthropic|Anthropic|messages\.create)\b", True),
+    ("Prisma ORM", "orm", r"^@prisma/client$", r"\bPrismaClient\b", False),
+    ("Next.js Runtime", "framework", r"^next/", None, True),
+    ("NextAuth", "auth", r"^(next-auth$|next-auth/|@auth/)", None, True),
+)
+#: Name, kind, target, source and pattern of services known by the text itself.
+TEXT_SERVICES = (
+    ("Facebook Graph API", "http-api", "https://graph.facebook.com", "literal", r"(?i)\bFACEBOOK_GRAPH_API_BASE\b|graph\.facebook\.com|www\.facebook\.com/v\d+\.\d+"),
+    ("Prisma ORM", "orm", "", "prisma-call", r"\b(prisma|tx)\.[A-Za-z_$][\w$]*\."),
+)
+
+
+def external_services(files: DataFrame, requests: DataFrame, imports: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """file, name, service_kind, target, host, package, source: each service once a file, by text, import or request.
+
+    ``requests``: file, target, source; ``imports``: file, specifier. Null and empty texts, targets and specifiers name
+    no service. Texts meet imports by file only where the file has external imports.
+    """
+    body = F.coalesce(text, F.lit(""))
+    empty = F.lit("")
+    service = lambda name, kind, target=empty, host=empty, package=empty, source=empty: F.struct(*[x.alias(a) for a, x in zip(("name", "service_kind", "target", "host", "package", "source"), (F.lit(name), F.lit(kind), target, host, package, source), strict=True)])
+    host_of = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#]+)", 1)), r":(80|443)$", "")
+
+    said = F.array_compact(F.array(*[F.when(body.rlike(p), service(n, k, F.lit(t), host_of(F.lit(t)), empty, F.lit(s))) for n, k, t, s, p in TEXT_SERVICES]))
+    by_text = files.select(F.col(file).alias("file"), F.explode(said).alias("s"))
+
+    spec = F.trim("specifier")
+    outside = imports.select("file", spec.alias("specifier")).where((F.length("specifier") > 0) & ~F.col("specifier").rlike(r"^(\.|/|@/|~/)|:")).distinct()
+    spec, chosen = F.col("specifier"), F.lit(None)
+    for name, kind, of_import, of_text, both in reversed(IMPORT_SERVICES):
+        hit = spec.rlike(of_import)
+        if of_text:
+            hit = hit & F.col("body").rlike(of_text) if both else hit | F.col("body").rlike(of_text)
+        chosen = F.when(hit, service(name, kind, package=T.package(spec), source=F.lit("import"))).otherwise(chosen)
+    by_import = outside.join(files.select(F.col(file).alias("file"), body.alias("body")), "file").select("file", chosen.alias("s"))
+
+    target = F.col("target")
+    known = F.when(target.rlike(r"(?i)^https?://"), service(F.when(host_of(target) != "", host_of(target)).otherwise(target), "http-api", target, host_of(target), empty, F.col("source")))
+    for name, kind, pattern in reversed(HOST_SERVICES):
+        known = F.when(F.lower(target).rlike(pattern), service(name, kind, target, host_of(target), empty, F.col("source"))).otherwise(known)
+    by_request = requests.select("file", F.trim(T.target(F.col("target"))).alias("target"), "source").select("file", known.alias("s"))
+
+    found = by_text.withColumn("place", F.lit(0)).unionByName(by_import.withColumn("place", F.lit(1))).unionByName(by_request.withColumn("place", F.lit(2))).where("s IS NOT NULL").select("file", "s.*", "place")
+    first = F.min(F.struct("place", "host", "source")).alias("first")
+    return found.groupBy("file", "name", "service_kind", "target", "package").agg(first).select("file", "name", "service_kind", "target", "first.host", "package", "first.source")

@@ -103,3 +103,20 @@ def effective(calls: DataFrame, requests: DataFrame, depth: int = 8) -> DataFram
             break
         reach = reach.union(new)
     return reach.join(requests.select("script", F.col("method").alias("via_method"), "request"), ["script", "via_method"]).select("script", "method", "via_method", "request").distinct()
+
+
+def node_paths(tree: DataFrame, rounds: int = 6) -> DataFrame:
+    """id, path, depth: the names from the root to each node of (id, parent, name), joined by '/' (E27).
+
+    Each round doubles the part of the way that is known, so a tree of depth d takes log2(d) joins by id. An unknown
+    parent is as none. A chain longer than 2 ** ``rounds``, as a cycle is, fails the query instead of being cut.
+    """
+    known = tree.select("id", F.col("parent").alias("up"), F.coalesce("name", F.lit("")).alias("path"), F.lit(1).alias("depth"))
+    for _ in range(rounds + 1):
+        known = written(known, "node-paths")
+        if known.where("up IS NOT NULL").isEmpty():
+            return known.select("id", "path", "depth")
+        above = known.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("start"), F.col("depth").alias("more"))
+        joined = known.join(above, "up", "left")
+        known = joined.select("id", F.col("next").alias("up"), F.concat_ws("/", "start", "path").alias("path"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+    raise ValueError(f"a node has more than {2**rounds} others above it, or is above itself")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import SparkSession
 
-from graphloom.operators import extract
+from graphloom.operators import extract, graph
 from graphloom.sources.storage import shared_dir
 from graphloom.streaming import events
 
@@ -42,3 +42,24 @@ def test_merge_log(spark):
         spark.createDataFrame([("k", title, 1)], "id string, title string, hits int").coalesce(1).write.mode("append").parquet(source)
         events.merge_log(events.event_stream(spark, source, "id string, title string, hits int"), out, "id", counted="hits").awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(f"{out}/version=000000001").collect()] == [("k", "two", 2)]
+
+
+def test_external_services(spark):
+    files = spark.createDataFrame([("a.ts", "prisma.user.findMany(); new Anthropic()"), ("b.ts", "fetch(FACEBOOK_GRAPH_API_BASE)"), ("c.ts", None), ("d.ts", "")], "file string, text string")
+    requests = spark.createDataFrame([("b.ts", "https://Graph.facebook.com/v1?x=1", "fetch"), ("c.ts", "https://u@API.example.com:443/v2", "axios"), ("c.ts", "/local", "fetch"), ("c.ts", None, "fetch")], "file string, target string, source string")
+    imports = spark.createDataFrame([("a.ts", "@anthropic-ai/sdk"), ("a.ts", "./own"), ("d.ts", "next/server"), ("d.ts", "next-auth/react"), ("d.ts", "node:fs"), ("d.ts", "@prisma/client"), ("d.ts", "@prisma/client"), ("d.ts", None)], "file string, specifier string")
+    got = {(r.file, r.name, r.service_kind, r.target, r.host, r.package, r.source) for r in extract.external_services(files, requests, imports).collect()}
+    assert got == {
+        ("a.ts", "Prisma ORM", "orm", "", "", "", "prisma-call"), ("a.ts", "Anthropic Claude", "ai-sdk", "", "", "@anthropic-ai/sdk", "import"),
+        ("b.ts", "Facebook Graph API", "http-api", "https://graph.facebook.com", "graph.facebook.com", "", "literal"), ("b.ts", "Facebook Graph API", "http-api", "https://Graph.facebook.com/v1", "graph.facebook.com", "", "fetch"),
+        ("c.ts", "api.example.com", "http-api", "https://u@API.example.com:443/v2", "api.example.com", "", "axios"),
+        ("d.ts", "Next.js Runtime", "framework", "", "", "next", "import"), ("d.ts", "NextAuth", "auth", "", "", "next-auth", "import"), ("d.ts", "Prisma ORM", "orm", "", "", "@prisma/client", "import"),
+    }
+
+
+def test_node_paths(spark):
+    deep = [(str(i), str(i - 1) if i else None, f"n{i}") for i in range(20)] + [("x", "gone", None)]
+    got = {r.id: (r.path, r.depth) for r in graph.node_paths(spark.createDataFrame(deep, "id string, parent string, name string")).collect()}
+    assert got["19"] == ("/".join(f"n{i}" for i in range(20)), 20) and got["0"] == ("n0", 1) and got["x"] == ("", 1) and len(got) == 21
+    with pytest.raises(ValueError):
+        graph.node_paths(spark.createDataFrame([("a", "b", "a"), ("b", "a", "b")], "id string, parent string, name string"), rounds=3)
