@@ -20,17 +20,23 @@ MAX_EPOCHS = 3
 RANGES = 1024
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, quality, key: a row per document.
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size, hash, key and the columns ``more``: a row per row of ``docs``.
 
     size: words in the text (null: 0). quality: 1 / (1 + |characters per word - 7|), the weight of the draw: text of
-    ordinary word lengths comes first; 1 / 8 without words. u: 52 bits of md5(doc_id), so reruns agree.
+    ordinary word lengths comes first; 1 / 8 without words. u: 52 bits of md5(doc_id), so reruns agree. Where rows of
+    several texts share a doc_id, or have none, the text of the smallest hash draws by the doc_id alone and each other
+    one by doc_id and hash, so every text has a draw of its own.
     """
     require(docs, "doc_id", "text", "source")
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    d = written(docs.select("doc_id", "source", words.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.xxhash64("text").alias("hash"), *more), "mix-texts")
+    several = d.groupBy(F.col("doc_id").alias("s_id")).agg(F.min("hash").alias("first"), F.max("hash").alias("last")).where("first < last").select("s_id", "first")
+    d = d.join(several, F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
     quality = F.when(F.col("size") > 0, 1.0 / (1.0 + F.abs(F.col("chars") / F.col("size") - 7.0))).otherwise(0.125)
-    bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double")
-    return d.withColumn("quality", quality).select("doc_id", "source", "size", (-F.log((bits + 0.5) / float(1 << 52)) / F.col("quality")).alias("key"))
+    drawn = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("hash") > F.col("first"), F.concat(F.lit(" "), F.col("hash"))).otherwise(""))
+    bits = F.conv(F.substring(F.md5(drawn.cast("binary")), 1, 13), 16, 10).cast("double")
+    return d.withColumn("quality", quality).select("doc_id", "source", "size", "hash", (-F.log((bits + 0.5) / float(1 << 52)) / F.col("quality")).alias("key"), *more)
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -54,20 +60,20 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, ma
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("final_rate") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, taken: one row per row of ``docs``.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, more: tuple = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, taken and the columns ``more``: one row per row of ``docs``.
 
     taken: words that the mix takes of the document, repeats counted: ``epochs`` whole readings, and in the partial
     epoch the words that the budget still allows, so that a source's sum is its target rounded down. The one document
     on the budget's edge is cut. No document exceeds ``max_epochs`` times its size.
 
     A null source is a source of its own; null and empty texts have size 0 and take part with 0 words; documents with
-    equal keys go by doc_id; repeated rows count each. An empty table gives an empty result.
+    equal keys go by doc_id and the text's hash, then by ``more``; repeated rows count each. An empty table gives an empty result.
 
     Prefix sums run in ranges of the key: no task holds a source, only one of its ``RANGES`` ranges, and the ranges'
     sums (at most sources x RANGES rows) carry the offsets.
     """
-    d = written(sized(docs), "mix-sizes").withColumn("range", F.floor(F.col("key") / (F.col("key") + 1.5) * RANGES).cast("int"))
+    d = written(sized(docs, *more), "mix-sizes").withColumn("range", F.floor(F.col("key") / (F.col("key") + 1.5) * RANGES).cast("int"))
     sums = written(d.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     t = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,25 +82,26 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.0, max_epoch
     offsets = offsets.join(t, F.col("o_source").eqNullSafe(F.col("t_source"))).drop("t_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     offsets = offsets.withColumn("epochs", epochs).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "hash", *more).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside")))
-    return d.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).alias("taken"), *more)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix reads them: each row as often as it is taken, all columns kept.
 
     Rows are whole: the document on the budget's edge is read once more if at least half of it is within the budget.
-    Documents that the budget leaves out do not appear.
+    Documents that the budget leaves out do not appear. Each row has its own decision, whatever its doc_id: rows that
+    repeat a doc_id, or have none, are told apart by a row number.
     """
-    found = mix(docs, **options)
+    # Written with their numbers, as those would differ if the rows were read again in other partitions.
+    rows = written(docs.withColumn("__gl_row", F.monotonically_increasing_id()), "mix-rows")
     times = F.col("epochs") + F.when((F.col("taken") - F.col("epochs") * F.col("size")) * 2 >= F.greatest(F.col("size"), F.lit(1)), 1).otherwise(0)
-    # Rows that repeat a doc_id and source share their readings evenly enough: each gets the mean, rounded.
-    plan = found.groupBy(F.col("doc_id").alias("__gl_id"), F.col("source").alias("__gl_source")).agg(F.round(F.avg(times)).cast("int").alias("__gl_times"))
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__gl_id")) & F.col("source").eqNullSafe(F.col("__gl_source")))
-    return joined.where("__gl_times > 0").withColumn("__gl_copy", F.explode(F.sequence(F.lit(1), F.col("__gl_times")))).select(*docs.columns)
+    plan = mix(rows, more=("__gl_row",), **options).select("__gl_row", times.cast("int").alias("__gl_times")).where("__gl_times > 0")
+    joined = rows.join(plan, "__gl_row")
+    return joined.withColumn("__gl_copy", F.explode(F.sequence(F.lit(1), F.col("__gl_times")))).select(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir):

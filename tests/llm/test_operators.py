@@ -48,6 +48,21 @@ def test_mixing(edge_docs, no_docs):
     assert set(mixing.mixed(edge_docs).columns) == set(edge_docs.columns)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mixing_decides_by_row(spark, doc_id):
+    """Documents of one source that share a doc_id, or have none, are taken one by one up to the source's target."""
+    docs = spark.createDataFrame([(doc_id, f"{s}{i} " + "word " * (i % 7 + 3), s, f"{s}{i}") for s in "abc" for i in range(120)] + [(doc_id, "same words here", "a", f"r{i}") for i in range(10)], "doc_id long, text string, source string, taken string")
+    targets = {r["source"]: r["target"] for r in rows(mixing.mix(docs))}
+    found = rows(mixing.mixed(docs))
+    for s, target in targets.items():
+        assert abs(sum(len(WORD.findall(r["text"])) for r in found if r["source"] == s) - target) <= 10
+    assert all(r["taken"] in {f"r{i}" for i in range(10)} or r["text"].startswith(r["taken"] + " ") for r in found)
+    c = [r["key"] for r in rows(mixing.sized(docs)) if r["source"] == "c"]
+    assert len(set(c)) == 120
+    again = rows(mixing.mixed(docs.repartition(3, "text")))
+    assert sorted((r["source"], r["text"]) for r in again) == sorted((r["source"], r["text"]) for r in found)
+
+
 def test_mixing_targets_fill_up(spark):
     t = {r["source"]: r["target"] for r in rows(mixing.targets(spark.createDataFrame([("a", 1), ("b", 100), ("c", 100), (None, 50)], "source string, source_size long")))}
     sizes, weights, left, open_ = {"a": 1, "b": 100, "c": 100, None: 50}, {"a": 5, "b": 2, "c": 1, None: 5}, 251.0, {"a", "b", "c", None}
@@ -233,3 +248,21 @@ def test_pipeline_stages(edge_docs, spark):
         assert name == "packing" or out.columns == docs.columns
         docs = out
     assert docs.count() > 0
+
+
+def test_pipeline_stages_without_ids(edge_docs, spark):
+    """As before, with the null doc_ids left in, and many of them."""
+    import corpus_pipeline
+
+    more = spark.createDataFrame([(None, f"text {i} of " + "many other words " * (i % 5 + 1) + f"ends in {i * 7}", "en", "d" if i % 2 else "a", i) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs, sf = edge_docs.drop("extra").unionByName(more), "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert name == "packing" or out.columns == docs.columns
+        if name == "mixing":
+            own = {r["source"]: r["target"] for r in rows(mixing.mix(docs))}
+            size = lambda r: len(WORD.findall(r["text"] or ""))
+            largest = max(size(r) for r in rows(docs) if r["source"] == "d")
+            assert abs(sum(size(r) for r in rows(out) if r["source"] == "d") - own["d"]) <= largest
+        docs = out
+    assert docs.count() > 0
