@@ -15,8 +15,7 @@ from graphloom.llm.shared import table, written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, does not find toxic."""
-    found = toxicity.classify(docs, table(spark, sf_dir, "labels"), *docs.columns)
-    return found.where("predicted = 0").select(*docs.columns)
+    return toxicity.harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

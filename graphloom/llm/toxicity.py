@@ -80,6 +80,13 @@ def classify(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= TRUE_FROM).cast("int").alias("predicted"), *[c for c in more if c != "doc_id"])
 
 
+def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not found toxic, all columns, whatever those besides doc_id and text are called."""
+    names = {c: c if c in ("doc_id", "text") else f"__gl_{i}" for i, c in enumerate(docs.columns)}
+    found = classify(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), labels, *names.values())
+    return found.where("predicted = 0").select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def op3_toxicity(spark, sf_dir):
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -266,3 +266,22 @@ def test_pipeline_stages_without_ids(edge_docs, spark):
             assert abs(sum(size(r) for r in rows(out) if r["source"] == "d") - own["d"]) <= largest
         docs = out
     assert docs.count() > 0
+
+
+#: What the stages call their outputs and what they work with.
+CLASHING = ("score", "Predicted", "held_out", "keep_id", "group_size", "kept", "text_sha256", "bucket", "key", "sha", "norm", "n_shingles", "component_id", "set_key", "size", "chars", "hash", "target", "epochs", "taken", "first", "sequence_id", "offset", "length", "start", "ids")
+
+
+def test_pipeline_stages_with_clashing_columns(edge_docs, spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs, sf = edge_docs.select("*", *[F.concat_ws(" ", F.lit(c), "doc_id").alias(c) for c in CLASHING]), "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        found = rows(out)
+        assert found
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r[c] == c + ("" if r["doc_id"] is None else f" {r['doc_id']}") for r in found for c in CLASHING)
+        docs = out
