@@ -58,3 +58,12 @@ def test_longest_prefix(spark):
     df = spark.createDataFrame([("src/app/x.ts",), ("src/application/y.ts",), ("lib",)], "path string")
     got = {r.path: r.area for r in search.longest_prefix(df, [("src", "one"), ("src/app", "two"), ("lib", "three")]).collect()}
     assert got == {"src/app/x.ts": "two", "src/application/y.ts": "one", "lib": "three"}
+
+
+def test_suffix_matches_of_all_pages(spark, tmp_path):
+    paths = ["a.org/x/1", "a.org/y/1", "b.org/x/1", "x/1", "1", "b.org/z/2", "z/2", "c.org"]
+    spark.createDataFrame([(i, "https://" + p + "/" * (i % 2)) for i, p in enumerate(paths)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {}
+    for c in {"/".join(p.split("/")[-2:]) for p in paths}:
+        want[c] = sum(p == c or p.endswith("/" + c) or c.endswith("/" + p) for p in paths)
+    assert {r.changed: r.n for r in plans.queries()["suffix_match_impact"](spark, str(tmp_path)).collect()} == want
