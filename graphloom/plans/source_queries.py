@@ -45,7 +45,7 @@ def search_grouped(spark, d):
 def edge_summary(spark, d):
     """The first eight edges of each node by type and target, with the ends' names."""
     w = Window.partitionBy("src").orderBy("type", "dst")
-    first = edges(spark, d).where("type <> 'requests'").groupBy("src", "type", "dst").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(w)).where("place <= 8")
+    first = edges(spark, d).groupBy("src", "type", "dst").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(w)).where("place <= 8")
     names = nodes(spark, d).select("id", "name")
     joined = first.join(names.toDF("src", "src_name"), "src", "left").join(names.toDF("dst", "dst_name"), "dst", "left")
     return joined.select("src", "type", "dst", "n", "place", F.coalesce("src_name", "src").alias("src_name"), F.coalesce("dst_name", "dst").alias("dst_name"))

@@ -67,3 +67,13 @@ def test_suffix_matches_of_all_pages(spark, tmp_path):
     for c in {"/".join(p.split("/")[-2:]) for p in paths}:
         want[c] = sum(p == c or p.endswith("/" + c) or c.endswith("/" + p) for p in paths)
     assert {r.changed: r.n for r in plans.queries()["suffix_match_impact"](spark, str(tmp_path)).collect()} == want
+
+
+def test_edge_summary_has_all_types(spark, db):
+    orders = {}
+    for c, o in db.sql("SELECT o_custkey, o_orderkey FROM orders").fetchall():
+        orders.setdefault(f"customer:{c}", set()).add(f"order:{o}")
+    found = {}
+    for r in plans.queries()["edge_summary"](spark, SF).where("type = 'requests'").collect():
+        found.setdefault(r.src, {})[r.place] = r.dst
+    assert {c: [x[k] for k in sorted(x)] for c, x in found.items()} == {c: sorted(x)[:8] for c, x in orders.items()}
