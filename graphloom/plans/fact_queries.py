@@ -80,7 +80,7 @@ def _hit(col, terms, sql=False):
 
 
 def memory_recall(spark, d):
-    """Task hits 8, outcome hits 3; the 20 best, newest first among equals, with their bucket."""
+    """A part of R7 and R8, T3: task hits 8, outcome hits 3; the 20 best, by conv_id and turn among equals, with their bucket (X22b); no files."""
     o = outcomes(spark, d).withColumn("score", 8 * _hit("task", TERMS) + 3 * _hit("outcome", TERMS))
     best = S.top(o.where("score > 0"), 20, "conv_id", "turn")
     return best.select("conv_id", "turn", "score", T.bucket(F.col("score"), 20, 8).alias("confidence"))
@@ -171,7 +171,7 @@ def usage_gate(spark, d):
 
 
 def scope_validation(spark, d):
-    """Parts ordered outside the suppliers they depend on, by the verdict of each supplier."""
+    """A part of R15: each supplier's verdict by its number of depends_on edges; no boundary (F23) or missing files."""
     e = edges(spark, d).where("type = 'depends_on'").groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
     return e.select(F.col("dst").alias("id"), F.when(F.col("n") > 100, "scope_review_needed").when(F.col("n") < 2, "possibly_incomplete").otherwise("within_scope").alias("verdict"))
 
