@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,18 +91,21 @@ def incident(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return near.groupBy("id", "type", "direction").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("other")), ",").alias("neighbours"))
 
 
-def effective(calls: DataFrame, requests: DataFrame, depth: int = 8) -> DataFrame:
+def effective(calls: DataFrame, requests: DataFrame, depth: int | None = None) -> DataFrame:
     """script, method, via_method, request: requests a method reaches through calls within its script.
 
-    Pairs (method, reached) grow by one call a round until none is new, so cycles end.
+    Pairs (method, reached) grow by one call a round until none is new, so cycles end. New pairs after
+    ``depth`` rounds, if it is given, fail the query instead of being cut.
     """
     reach = calls.select("script", "method", F.col("method").alias("via_method")).union(requests.select("script", "method", F.col("method").alias("via_method"))).distinct()
     new = reach
-    for i in range(depth):
+    for i in count():
         step = new.join(calls.select("script", F.col("method").alias("via_method"), F.col("callee")), ["script", "via_method"]).select("script", "method", F.col("callee").alias("via_method")).distinct()
         new = written(step.join(reach, ["script", "method", "via_method"], "left_anti"), f"effective-{i}")
         if new.isEmpty():
             break
+        if depth is not None and i >= depth:
+            raise ValueError(f"calls reach further than {depth} rounds")
         reach = reach.union(new)
     return reach.join(requests.select("script", F.col("method").alias("via_method"), "request"), ["script", "via_method"]).select("script", "method", "via_method", "request").distinct()
 

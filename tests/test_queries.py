@@ -77,3 +77,11 @@ def test_edge_summary_has_all_types(spark, db):
     for r in plans.queries()["edge_summary"](spark, SF).where("type = 'requests'").collect():
         found.setdefault(r.src, {})[r.place] = r.dst
     assert {c: [x[k] for k in sorted(x)] for c, x in found.items()} == {c: sorted(x)[:8] for c, x in orders.items()}
+
+
+def test_effective_follows_long_chains(spark):
+    calls = spark.createDataFrame([(1, i, i + 1) for i in range(11)] + [(1, 11, 0)], "script long, method long, callee long")
+    requests = spark.createDataFrame([(1, 11, "r")], "script long, method long, request string")
+    assert {r.method for r in graph.effective(calls, requests).collect()} == set(range(12))
+    with pytest.raises(ValueError, match="further than 2"):
+        graph.effective(calls, requests, depth=2)
