@@ -5,9 +5,10 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1 slots differ in at most ERRORS slots of som
 indexed once for every choice of ERRORS slots to leave out, so such a pair shares a key: the join by key finds every
 pair within that distance.
 
-No bucket's pairs are all written. Equal sets are one class. Members of a bucket are first compared with one of them,
-chosen by a hash of member and key; a second step compares, for what is still in different components, all remaining
-members with each other inside tasks, bucket by bucket (large ones in blocks), and gives out the links only.
+No bucket's pairs are all written. Equal sets are one class. Members of a bucket are first compared with its least
+member; as the order is the same in all buckets, a dense group has few such leads. Links are cut down to forests inside
+tasks. A second step compares, for what is still in different components, the members of a bucket outside its largest
+component with all others inside tasks, in blocks bounded in members and bytes, and gives out the links only.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import require, table, written
@@ -25,12 +26,15 @@ from .words import mixed, shingles, utf8, word_hashes
 
 SLOTS, CHUNKS, ERRORS = 60, 12, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Pairs farther apart than this are not confirmed: at 0.8 similar sets, under 1 in 100,000 are.
+#: Pairs farther apart than this are not confirmed: at 0.8 similar sets, under 1 in 100,000 are. With ``far=SLOTS``
+#: every pair that shares a key is.
 FAR = 27
 WIDTH = SLOTS // CHUNKS
 LEFT_OUT = list(combinations(range(WIDTH), ERRORS))
-#: Members of a bucket that one task compares with each other.
-MEMBERS = 1024
+#: Members of a bucket, and shingles of theirs, that one task compares with as many others.
+MEMBERS, MEMBER_SHINGLES = 1024, 1 << 22
+#: Links that a task holds while it cuts them down to a forest.
+FOREST = 1 << 20
 _MULTIPLY = np.random.default_rng(4).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -42,8 +46,12 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(48)).astype("<u2")
 
 
+def text_hash() -> Column:
+    return F.xxhash64("text").alias("hash")
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (binary, equal for equal sets), sig (binary): a row per document."""
+    """doc_id, hash (of the text), n_shingles, set_key (binary, equal for equal sets), sig (binary): a row per row."""
     require(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,9 +62,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 keys.append(np.array([s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64)]).tobytes() if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "hash", "n_shingles", "set_key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text").mapInArrow(run, "doc_id long, hash long, n_shingles long, set_key binary, sig binary")
 
 
 def index_keys(sigs: np.ndarray) -> np.ndarray:
@@ -88,15 +96,18 @@ def keys(classes: DataFrame) -> DataFrame:
 
 
 def members_of_buckets(classes: DataFrame) -> DataFrame:
-    """key, id, lead, n: members of buckets of two or more. The lead differs from key to key."""
+    """key, id, lead, n: members of buckets of two or more, with the least of them.
+
+    Buckets are counted map-side first. Both sides of the join are dealt by its key alone, so that Spark splits the
+    partitions of frequent keys.
+    """
     rows = keys(classes)
-    lead = F.min_by("id", F.xxhash64("id", "key"))
-    shared = rows.groupBy("key").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(shared, "key")
+    shared = written(rows.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
+    return rows.join(shared.hint("merge"), "key")
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose signatures are at most FAR slots apart."""
+def near(pairs: DataFrame, classes: DataFrame, far: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose signatures are at most ``far`` slots apart."""
     sig = classes.select("id", "sig")
     both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
 
@@ -104,14 +115,14 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("sig_a", "sig_b"))
-                keep = pa.array((x != y).sum(axis=1) <= FAR)
+                keep = pa.array((x != y).sum(axis=1) <= far)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, shingles (binary, sorted uint64) of the documents with these ids."""
+def shingle_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, repeats: bool) -> DataFrame:
+    """id, shingles (binary, sorted uint64) of the classes with these ids, from the text of one member each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,18 +131,12 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 made = [shingles(word_hashes(raw)).tobytes() for raw in utf8(t.as_py() for t in part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(made, pa.binary())], names=["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").mapInArrow(run, "id long, shingles binary")
-
-
-def short_sets(sets: DataFrame) -> DataFrame:
-    """id, shingles as distinct 32-bit hashes: what is moved where full hashes decide afterwards."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [np.unique((np.frombuffer(x.as_py(), np.uint64) >> np.uint64(32)).astype("<u4")).tobytes() for x in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], names=["id", "shingles"])
-
-    return sets.mapInArrow(run, "id long, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text")
+    if repeats:
+        texts = texts.dropDuplicates(["doc_id", "hash"])
+    chosen = classes.join(ids, "id").select("id", F.col("best.doc_id").alias("b_id"), F.col("best.hash").alias("b_hash"))
+    found = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("hash") == F.col("b_hash")))
+    return found.select("id", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,28 +155,77 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+class Joined:
+    """Union-find by the least id."""
+
+    def __init__(self):
+        self.top: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        top, way = self.top, []
+        while (up := top.get(c, c)) != c:
+            way.append(c)
+            c = up
+        for x in way:
+            top[x] = c
+        return c
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether ``a`` and ``b`` were apart until now."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.top[max(a, b)] = min(a, b)
+        return a != b
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """Links (a, b), b the least id that a task's links join with a: each task gives out at most one for each id.
+
+    ``links`` (a, b) are dealt by a first. A task holds FOREST links at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = Joined(), 0
+
+        def give() -> pa.RecordBatch:
+            ids = [x for x in held.top if held.root(x) != x]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([held.root(x) for x in ids], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                held.join(a, b)
+            n += len(batch)
+            if n >= FOREST:
+                yield give()
+                held, n = Joined(), 0
+        yield give()
+
+    return links.repartition("a").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """id, comp: the smallest id that each linked id reaches. Labels fall along links and then along themselves."""
+    """id, comp: the least id that each linked id reaches. Labels fall along links and then along themselves."""
+    links = written(forest(links), "near-links")
     ends = links.select("a", "b").union(links.select("b", "a"))
     ends = written(ends.union(links.select("a", "a")).union(links.select("b", "b")).toDF("id", "to").distinct(), "near-ends")
     labels = written(ends.groupBy("id").agg(F.min("to").alias("comp")), "near-labels")
     while True:
         reached = ends.join(labels.toDF("to", "far"), "to").groupBy("id").agg(F.min("far").alias("comp"))
-        jumped = reached.join(reached.toDF("comp", "far"), "comp").select("id", F.col("far").alias("comp"))
+        jumped = reached.join(labels.toDF("comp", "far"), "comp").select("id", F.least("comp", "far").alias("comp"))
         new = written(jumped, "near-labels")
-        moved = new.toDF("id", "now").join(labels, "id").where("now <> comp").isEmpty()
+        settled = new.toDF("id", "now").join(labels, "id").where("now <> comp").isEmpty()
         labels = new
-        if moved:
+        if settled:
             return labels
 
 
-def close_pairs(key: int, x: np.ndarray, y: np.ndarray, comp_x: np.ndarray, comp_y: np.ndarray, same: bool) -> np.ndarray:
-    """Rows (i, j) of signatures ``x`` and ``y`` at most FAR apart, in different components, with ``key`` as the first
-    key they share; ``same``: both are one list, and i < j."""
+def close_pairs(key: int, x: np.ndarray, y: np.ndarray, comp_x: np.ndarray, comp_y: np.ndarray, same: bool, far: int = FAR) -> np.ndarray:
+    """Rows (i, j) of signatures ``x`` and ``y`` at most ``far`` apart, in different components, with ``key`` as the
+    first key they share; ``same``: both are one list, and i < j."""
     out = []
     for at in range(0, len(x), 64):
         differ = x[at : at + 64, None, :] != y[None, :, :]
-        hit = (differ.sum(axis=2) <= FAR) & (comp_x[at : at + 64, None] != comp_y[None, :])
+        hit = (differ.sum(axis=2) <= far) & (comp_x[at : at + 64, None] != comp_y[None, :])
         if same:
             hit &= np.arange(at, at + len(differ))[:, None] < np.arange(len(y))[None, :]
         i, j = np.nonzero(hit)
@@ -203,48 +257,49 @@ def common(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray) -
     return total.astype(np.int64)
 
 
-def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components whose sets, of 32-bit hashes, are similar enough.
+def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, far: int) -> DataFrame:
+    """Links (a, b) between components, by ids of components: their members share a bucket and are similar enough.
 
-    Only buckets of three or more that hold several components take part. Each pair is compared once in all, by the
-    first key it shares; within a task, components that a link has joined are not compared again.
+    Only buckets of three or more that hold several components take part. The members of a bucket's largest component
+    meet the others only, in blocks of at most about MEMBERS rows and MEMBER_SHINGLES shingles; a longer set has a
+    block of its own. Each pair is compared once in all, by the first key it shares, on full sets; within a task,
+    components that a link has joined are not compared again.
     """
     comp = F.coalesce("comp", "id").alias("comp")
-    m = members.where("n > 2").select("key", "id", "n").join(labels, "id", "left").select("key", "id", "n", comp)
-    mixed_keys = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    m = m.join(mixed_keys, "key").join(classes.select("id", "sig"), "id").join(short_sets(sets), "id")
-    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    m = m.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "sig", "shingles")
-
-    def linked(rows: list) -> list[tuple[int, int]]:
+    m = members.where("n > 2").select("key", "id").join(labels, "id", "left").join(classes.select("id", "n_shingles"), "id").select("key", "id", comp, "n_shingles")
+    m = written(m, "near-mixed")
+    each = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    top = each.groupBy("key").agg(F.max(F.struct("n", "comp", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / MEMBERS), F.ceil(w / MEMBER_SHINGLES)).cast("int")
+    top = written(top.select("key", F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.w")).alias("of_main"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("of_rest")), "near-blocks")
+    m = m.join(top, "key")
+    in_main = F.col("comp") == F.col("main")
+    place = F.xxhash64("id")
+    m = m.withColumn("own", F.when(in_main, F.pmod(place, F.col("of_main"))).otherwise(F.col("of_main") + F.pmod(place, F.col("of_rest"))).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.when(in_main, F.col("of_main")).otherwise(F.lit(0)), F.col("of_main") + F.col("of_rest") - 1)))
+    m = m.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp")
+    m = m.join(classes.select("id", "sig"), "id").join(sets, "id").select("key", "i", "j", "own", "id", "comp", "sig", "shingles")
+
+    def linked(rows: list) -> set[tuple[int, int]]:
         key, i, j = rows[0][:3]
         left = [r for r in rows if r[3] == i]
         right = left if i == j else [r for r in rows if r[3] == j]
         if not left or not right:
-            return []
+            return set()
         x, y = (np.frombuffer(b"".join(r[6] for r in side), "<u2").reshape(-1, SLOTS) for side in (left, right))
-        pairs = close_pairs(key, x, y, np.array([r[5] for r in left]), np.array([r[5] for r in right]), i == j)
-        if not len(pairs):
-            return []
-        a, b = ([np.frombuffer(r[7], "<u4") for r in side] for side in (left, right))
-        same = common(a, b, pairs)
-        either = np.array([len(s) for s in a])[pairs[:, 0]] + np.array([len(s) for s in b])[pairs[:, 1]] - same
-        top: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while top.get(c, c) != c:
-                c = top[c]
-            return c
-
-        out = []
-        # 32-bit hashes may collide, so a pair within one shingle of the limit is given out but joins nothing here.
-        for (p, q), sure in zip(pairs[100 * same >= percent * either - 200], (100 * same >= percent * either + 200)[100 * same >= percent * either - 200], strict=True):
-            c, d = root(left[p][5]), root(right[q][5])
-            if c != d:
-                out.append((min(left[p][4], right[q][4]), max(left[p][4], right[q][4])))
-                if sure:
-                    top[max(c, d)] = min(c, d)
+        pairs = close_pairs(key, x, y, np.array([r[5] for r in left]), np.array([r[5] for r in right]), i == j, far)
+        a, b = ([np.frombuffer(r[7], np.uint64) for r in side] for side in (left, right))
+        size_a, size_b = (np.array([len(s) for s in side]) for side in (a, b))
+        joined, out = Joined(), set()
+        for at in range(0, len(pairs), 1 << 16):  # what earlier links have joined is left out before it is counted
+            some = np.array([p for p in pairs[at : at + (1 << 16)] if joined.root(left[p[0]][5]) != joined.root(right[p[1]][5])], dtype=np.int64).reshape(-1, 2)
+            if not len(some):
+                continue
+            same = common(a, b, some)
+            for p, q in some[100 * same >= percent * (size_a[some[:, 0]] + size_b[some[:, 1]] - same)]:
+                c, d = left[p][5], right[q][5]
+                if joined.join(c, d):
+                    out.add((max(c, d), min(c, d)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,40 +319,57 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
             yield give()
 
     dealt = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
+
 
+def judged(docs: DataFrame, percent: int = 85, far: int = FAR) -> DataFrame:
+    """doc_id, hash (of the text), n_shingles, best (none, doc_id, hash): one row per row of ``docs``.
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    ``best`` is the row that stays of those linked with this one: the smallest doc_id (rows without one last), then the
+    smallest hash. It is null for rows with an empty set.
+    """
+    rows = written(sketch(docs), "near-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best")
+    classes = rows.where("n_shingles > 0").groupBy("set_key", "sig", "n_shingles").agg(best)
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
+    members = written(members_of_buckets(classes), "near-members")
+    pairs = written(near(members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), classes, far), "near-pairs")
+    repeats = not rows.groupBy("doc_id", "hash").count().where("count > 1").isEmpty()
+    sets = written(shingle_sets(docs, classes, members.select("id").distinct(), repeats), "near-sets")
+    labels = components(confirmed(pairs, sets, percent))
+    # Of one component each in most buckets: few links are left, between components.
+    top = components(remaining(members, labels, classes, sets, percent, far))
+    comp = classes.select("id", "set_key", "best").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    comp = comp.join(top.toDF("comp", "top"), "comp", "left").select("set_key", "best", F.coalesce("top", "comp").alias("comp"))
+    comp = written(comp, "near-components")
+    of_comp = written(comp.groupBy("comp").agg(F.min("best").alias("best")), "near-best")
+    found = written(comp.drop("best").join(of_comp, "comp").select("set_key", "best"), "near-found")
+    return rows.drop("sig").join(found, "set_key", "left").select("doc_id", "hash", "n_shingles", "best")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, far: int = FAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
     Words are lower-cased (A-Z); a document's set is its distinct 5-word shingles, its whole sequence if it has fewer
     words, and empty without words. Documents with 100 * intersection >= percent * union are linked; component_id is
-    the smallest doc_id reachable. Empty sets are linked with nothing. Rows that repeat a doc_id are one document; rows
-    without doc_id are linked with nothing and kept. Texts of any length count whole; an empty table gives an empty
-    result.
+    the smallest doc_id reachable. Empty sets are linked with nothing. Each row is judged by its own text, whatever
+    other rows have its doc_id; rows without doc_id are linked too, and their component_id is null if nothing they
+    reach has one. Texts of any length count whole; an empty table gives an empty result.
     """
-    rows = written(sketch(docs), "near-rows")
-    named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(named.groupBy("set_key", "sig").agg(F.min("doc_id").alias("id")), "near-classes")
-    members = written(members_of_buckets(classes), "near-members")
-    stars = members.select("id", "lead").where("id <> lead")
-    pairs = written(near(stars.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), classes), "near-pairs")
-    sets = written(shingle_sets(docs, members.select("id").distinct()), "near-sets")
-    links = written(confirmed(pairs, sets, percent), "near-links")
-    labels = components(links)
-    more = written(confirmed(remaining(members, labels, classes, sets, percent), sets, percent), "near-links")
-    if not more.isEmpty():
-        labels = components(labels.toDF("a", "b").union(more))
-    found = classes.join(labels, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id"))
-    joined = rows.drop("sig").join(found, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each component the smallest doc_id."""
-    dropped = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__gl_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__gl_id"), "left_anti")
+    component = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    found = judged(docs, percent, far).select("doc_id", "n_shingles", component.alias("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, far: int = FAR) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each component the one with the smallest doc_id.
+
+    Rows without doc_id come last, equal doc_ids go by a hash of the text; rows that repeat both doc_id and text stay
+    or go together. Rows without words stay.
+    """
+    stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash")))
+    dropped = written(judged(docs, percent, far).where(~stays).select(F.col("doc_id").alias("__gl_id"), F.col("hash").alias("__gl_hash")).distinct(), "near-dropped")
+    return docs.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("__gl_id")) & (F.xxhash64("text") == F.col("__gl_hash")), "left_anti")
 
 
 def op4_near_dedup(spark, sf_dir):
