@@ -207,8 +207,26 @@ def test_codes_are_directly_addressable():
     r = np.random.default_rng(5)
     for top in (1, 256, 1 << 16, 1 << 32):
         ids = r.integers(0, top, 3000, dtype=np.uint64).astype(np.uint32)
-        codes = token_files.Dac(token_files.dac_encode(ids))
+        raw = token_files.segment([1, None], [2000, 1000], ids)
+        codes = token_files.Segment(lambda at, n: raw[at : at + n])
         assert (codes.all() == ids).all() and all(codes[i] == ids[i] for i in range(0, 3000, 7))
+        assert codes.documents()[0] == [1, None] and codes.documents()[1].tolist() == [0, 2000, 3000]
+
+
+def test_one_token_is_read_from_its_bytes_alone(spark, edge_docs):
+    e = encoder(vocabulary("byte_bpe_50k.json"), True)
+    out = shared_dir(spark, "test-tokens")
+    token_files.write_tokens(edge_docs, out)
+    size = sum(r["size"] for r in rows(token_files.manifest(spark, out)))
+    texts = {(r.doc_id, crc32(np.array(e.model.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4").tobytes())): r.text for r in edge_docs.collect()}
+    for r in rows(token_files.read_tokens(spark, out)):
+        ids = e.model.encode(texts[r["doc_id"], r["ids_crc32"]] or "", add_special_tokens=False).ids + [0]
+        for i in {0, len(ids) // 2, len(ids) - 1}:
+            reads = []
+            assert token_files.token(spark, out, r["start"] + i, reads.append) == ids[i]
+            assert sum(reads) <= 52 + 4 * 69 and size > 100 * sum(reads)
+    with pytest.raises(IndexError):
+        token_files.token(spark, out, 10**9)
 
 
 @pytest.mark.parametrize("name, spaces", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
