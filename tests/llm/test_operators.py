@@ -20,8 +20,8 @@ def rows(df):
 
 
 def test_exact_dedup(edge_docs, no_docs):
-    for bits in (64, 1):  # one bit: every bucket has chains
-        found = rows(exact_dedup.decisions(edge_docs, hash_bits=bits, capacity=1))
+    for bits, depth in ((64, 18), (64, 0), (1, 18)):  # one bit: every bucket has chains
+        found = rows(exact_dedup.decisions(edge_docs, hash_bits=bits, capacity=1, max_depth=depth))
         lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
         texts = [(r.doc_id, lower(r.text)) for r in edge_docs.collect()]
         for r in found:
@@ -33,9 +33,38 @@ def test_exact_dedup(edge_docs, no_docs):
 
 
 def test_directory_splits_overfull_buckets(spark):
-    keys = spark.range(5000).selectExpr("xxhash64(id) AS key")
-    d = rows(exact_dedup.directory(keys, capacity=100))
-    assert len({r["slot"] for r in d}) == len(d) and max(r["bucket_depth"] for r in d) > min(4, 6)
+    """As an index that takes keys one by one, splits a full bucket in two and doubles the directory for it."""
+    keys = spark.range(5000).selectExpr("xxhash64(id) AS key").union(spark.range(300).selectExpr("id << 50"))
+    all_keys = {r.key % (1 << 64) for r in keys.collect()}
+    slots, depth = exact_dedup.directory(keys, capacity=100, max_depth=12)
+    want, depths, full = {0: set()}, {0: 0}, 0  # slot: keys of its bucket
+    for k in all_keys:
+        while True:
+            held, d = want[k >> (64 - full) if full else 0], depths[k >> (64 - full) if full else 0]
+            if len(held) < 100 or d == 12:
+                held.add(k)
+                break
+            if d == full:
+                want, depths, full = {s: want[s // 2] for s in range(2 << full)}, {s: depths[s // 2] for s in range(2 << full)}, full + 1
+            first = (k >> (64 - d) if d else 0) << (full - d)
+            for s in range(first, first + (1 << (full - d))):
+                depths[s] = d + 1
+                want[s] = {x for x in held if x >> (63 - d) == s >> (full - d - 1)}
+            halves = {h: {x for x in held if x >> (63 - d) == h} for h in (first >> (full - d - 1), (first >> (full - d - 1)) + 1)}
+            for s in range(first, first + (1 << (full - d))):
+                want[s] = halves[s >> (full - d - 1)]
+    found = {r["slot"]: (r["bucket_depth"], r["bucket"]) for r in rows(slots)}
+    assert depth >= full - 1 and max(d for d, _ in found.values()) <= 12
+    loads = {}
+    for k in all_keys:
+        d, b = found[k >> (64 - depth)]
+        assert b == (k >> (64 - d) if d else 0)
+        loads[d, b] = loads.get((d, b), 0) + 1
+    # Every bucket is within the capacity, and those deeper than the first depth were split because they had to be.
+    assert all(n <= 100 or d == 12 for (d, _), n in loads.items()) and len({d for d, _ in loads}) > 2
+    for d, b in loads:
+        if d > 6:
+            assert sum(n for (e, c), n in loads.items() if e >= d and c >> (e - d + 1) == b >> 1) > 100 or d == depths.get(b << (full - d), d)
 
 
 def test_mixing(edge_docs, no_docs):
