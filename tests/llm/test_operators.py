@@ -121,6 +121,24 @@ def test_topk_is_exact(spark):
     assert topk.search(df.where("false")).count() == 0
 
 
+def test_topk_stops_before_the_lists_end(spark):
+    """On the given embeddings every query is answered from its bounds: reading ends early in all blocks."""
+    found = rows(topk.search(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), with_depth=True))
+    depths = {(r["query_id"], r["depth"]) for r in found}
+    assert len({q for q, _ in depths}) == 40 and max(d for _, d in depths) < 0.95
+    print("parts of lists read:", sorted(d for _, d in depths))
+
+
+def test_topk_bounds_hold_for_any_numbers():
+    r = np.random.default_rng(11)
+    for top, n in ((3, 40), (1000, 200), (1 << 45, 60)):
+        x, q = r.integers(-top, top + 1, (n, 6)), r.integers(-top, top + 1, (5, 6))
+        own, ids = np.arange(5) * 7, r.permutation(n)
+        for i, best, _ in topk.no_random_access(q, x, own, ids):
+            want = sorted((-sum(int(a) * int(b) for a, b in zip(q[i], x[j], strict=True)), ids[j]) for j in range(n) if ids[j] != own[i])[:5]
+            assert [(-int(s), ids[j]) for j, s in best] == want
+
+
 def test_near_dedup(spark, edge_docs, no_docs):
     r = np.random.default_rng(2)
     docs, base = [], [f"w{i}" for i in range(120)]
