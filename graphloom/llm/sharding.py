@@ -1,20 +1,25 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
 Each group of equal texts is a vector of shares; vectors go, largest first, to the shard whose residual capacity has
-the highest dot product with them. What is packed is bounded whatever the input: a group above 1/HEAVY of a total is an
-item of its own (at most three times HEAVY of them), one above 1/SPLIT is dealt into equal parts, and all smaller
-groups are gathered by hash into CELLS items.
+the highest dot product with them. A group stays whole unless it is above a quarter of a shard's share of bytes, tokens
+or rows; such a group is packed in pieces of at most about a sixteenth. What is packed is bounded whatever the input: a
+group above 1/HEAVY of a total is packed by itself (at most three times HEAVY of them), and all smaller groups are
+gathered by hash into CELLS items.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, require, table, written
 
-SHARDS, HEAVY, SPLIT, CELLS = 8, 2048, 512, 8192
+SHARDS, HEAVY, CELLS = 8, 2048, 8192
+#: A group above 1/WHOLE of a shard's share is cut into pieces of about 1/PIECE of it.
+WHOLE, PIECE = 4, 16
 #: Weight of bytes, tokens and rows in the dot product: the law is near-equal bytes.
 DIMENSIONS = ("bytes", "tokens", "rows")
 IMPORTANCE = (16.0, 1.0, 1.0)
@@ -37,7 +42,10 @@ def pack(vectors: np.ndarray, shards: int, importance: tuple = IMPORTANCE) -> np
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size, tokens, text_crc32, group: a row per document. Null texts are as empty ones."""
+    """doc_id, size, tokens, text_crc32, group, mix: a row per document. Null texts are as empty ones.
+
+    ``mix`` deals rows of one group: by doc_id, and rows without one by their number.
+    """
     require(docs, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
@@ -46,15 +54,18 @@ def measured(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("group"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id")).alias("mix"),
     )
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, group, shard, slot: one row per row of ``docs``; slots are gapless from 0 in a shard.
 
-    Equal texts stay together unless they are above 1/SPLIT of all bytes, tokens or rows; such a group is dealt by
-    doc_id into parts below that. Rows without text have size 1 and are packed like others; repeated rows count each;
-    an empty table gives an empty result.
+    Equal texts stay together unless they are above 1/WHOLE of a shard's share of all bytes, tokens or rows; the pieces
+    of such a group are packed like groups. Rows without text have size 1 and are packed like others; repeated rows
+    count each; an empty table gives an empty result.
+
+    Slots are counted in cells of about 1/CELLS of a total, so no task holds a large group.
     """
     rows = written(measured(docs), "shard-rows")
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
@@ -62,32 +73,43 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = groups.agg(*[F.sum(c).alias(c) for c in DIMENSIONS]).first()
     share = F.greatest(*[F.col(c) / F.lit(float(max(total[c] or 0, 1))) for c in DIMENSIONS])
     heavy = groups.select("group", share.alias("share")).where(F.col("share") > 1 / HEAVY)
-    heavy = heavy.select("group", F.ceil(F.col("share") * SPLIT).cast("int").alias("parts"))
-    # At most 3 * HEAVY rows of 12 bytes.
-    part = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.col("parts").cast("long"))
-    item = F.when(F.col("parts").isNull(), F.pmod(F.col("group"), F.lit(CELLS))).otherwise(CELLS + F.pmod(F.xxhash64("group", part), F.lit(1 << 40)))
-    placed = rows.join(F.broadcast(heavy), "group", "left").withColumn("item", item)
-    loads = placed.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    # At most CELLS + 3 * HEAVY + 3 * SPLIT items reach the driver, whatever the input.
-    items = sorted(loads.collect(), key=lambda r: r["item"])
-    vectors = np.array([[r[c] for c in DIMENSIONS] for r in items], dtype=np.int64).reshape(-1, 3)
-    shard = pack(vectors, shards)
-    before, first = [0] * shards, []
-    for s, v in zip(shard, vectors, strict=True):
-        first.append(before[s])
-        before[s] += int(v[2])
-    plan = docs.sparkSession.createDataFrame([(r["item"], int(s), b) for r, s, b in zip(items, shard, first, strict=True)], "item long, shard int, first long")
-    inside = Window.partitionBy("item").orderBy("doc_id", "text_crc32", "size")
+    pieces = F.when(F.col("share") * shards * WHOLE > 1, F.ceil(F.col("share") * shards * PIECE)).otherwise(1).cast("int")
+    # At most 3 * HEAVY rows of 16 bytes.
+    heavy = heavy.select("group", pieces.alias("pieces"), (pieces * F.ceil(F.col("share") * CELLS / pieces)).cast("int").alias("parts"))
+    placed = rows.join(F.broadcast(heavy), "group", "left").withColumn("part", F.coalesce(F.pmod("mix", F.col("parts").cast("long")).cast("int"), F.lit(-1)))
+    placed = placed.withColumn("cell", F.when(F.col("part") < 0, F.pmod(F.col("group"), F.lit(CELLS))).otherwise(F.col("group")))
+    loads = placed.groupBy("cell", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.min("pieces").alias("pieces"), F.min("parts").alias("parts"))
+    # At most CELLS and, of heavy groups, 3 * (CELLS + 3 * HEAVY * 2) rows reach the driver, whatever the input.
+    cells = sorted(loads.collect(), key=lambda r: (r["part"] >= 0, r["cell"], r["part"]))
+    item = [(r["cell"], -1 if r["part"] < 0 else r["part"] * r["pieces"] // r["parts"]) for r in cells]
+    vectors: dict = defaultdict(lambda: np.zeros(3, dtype=np.int64))
+    for i, r in zip(item, cells, strict=True):
+        vectors[i] += [r[c] for c in DIMENSIONS]
+    shard_of = dict(zip(vectors, pack(np.array(list(vectors.values())).reshape(-1, 3), shards).tolist(), strict=True))
+    before, plan = [0] * shards, []
+    for i, r in zip(item, cells, strict=True):
+        plan.append((r["cell"], r["part"], shard_of[i], before[shard_of[i]]))
+        before[shard_of[i]] += r["rows"]
+    plan = docs.sparkSession.createDataFrame(plan, "cell long, part int, shard int, first long")
+    inside = Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")
     slot = (F.col("first") + F.row_number().over(inside) - 1).alias("slot")
-    return placed.join(F.broadcast(plan), "item").select("doc_id", "size", "text_crc32", "group", "shard", slot)
+    return placed.join(F.broadcast(plan), ["cell", "part"]).select("doc_id", "size", "text_crc32", "group", "shard", slot)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
-    """Writes the documents with their shard as Parquet folders ``shard=0`` to ``shard=N``; returns the assignment."""
+    """Writes the documents with their shard as Parquet folders ``shard=0`` to ``shard=N``; returns the assignment.
+
+    If documents have a column ``shard``, the folders are called ``shard_`` (and so on). Rows that repeat doc_id and
+    text go to one of their shards together.
+    """
     found = written(assign(docs, shards), "shards")
-    plan = found.select(F.col("doc_id").alias("__gl_id"), F.col("text_crc32").alias("__gl_crc"), "shard").dropDuplicates(["__gl_id", "__gl_crc"])
+    plan = found.groupBy(F.col("doc_id").alias("__gl_id"), F.col("text_crc32").alias("__gl_crc")).agg(F.min("shard").alias("__gl_shard"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__gl_id")) & (crc == F.col("__gl_crc"))).select(*docs.columns, plan["shard"].alias("shard")).write.partitionBy("shard").parquet(path)
+    name = "shard"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__gl_id")) & (crc == F.col("__gl_crc")))
+    joined.select(*docs.columns, F.col("__gl_shard").alias(name)).write.partitionBy(name).parquet(path)
     return found
 
 

@@ -211,6 +211,47 @@ def test_sharding(edge_docs, no_docs, spark):
     assert {r["text_crc32"] for r in rows(sharding.assign(edge_docs.where("doc_id = 3")))} == {0}
 
 
+def test_sharding_keeps_groups_whole(spark):
+    """Groups are torn only above a quarter of a shard's share; bytes, words and rows are balanced, slots gapless."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.range(100_000, 100_400).selectExpr("id", "'one hot text of many copies'")).union(spark.range(50).selectExpr("CAST(NULL AS long)", "'no id'"))
+    found, texts = rows(sharding.assign(docs)), [r.text or "" for r in docs.collect()]
+    groups: dict = {}
+    for r in found:
+        groups.setdefault((r["group"]), []).append(r)
+    assert sum(len(g) > 1 for g in groups.values()) > 50
+    totals = [sum(len(t.encode()) + 1 for t in texts), len(texts)]
+    for g in groups.values():
+        if len({r["shard"] for r in g}) > 1:
+            assert max(sum(r["size"] for r in g) / totals[0], len(g) / totals[1]) > 1 / 32
+    for own in (size := {s: [r for r in found if r["shard"] == s] for s in range(8)}).values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    for weigh, near in ((lambda r: r["size"], 1.02), (lambda r: 1, 1.3)):
+        loads = [sum(map(weigh, own)) for own in size.values()]
+        assert max(loads) <= near * min(loads)
+
+
+def test_bin_packing_against_a_plain_loop():
+    r = np.random.default_rng(12)
+    vectors = r.integers(1, 50, (60, 3))
+    share = vectors / vectors.sum(axis=0) * 4
+    left, want = [[1.0] * 3 for _ in range(4)], {}
+    for i in sorted(range(60), key=lambda i: (-sum(w * v for w, v in zip(sharding.IMPORTANCE, share[i], strict=True)), i)):
+        dots = [sum(w * v * c for w, v, c in zip(sharding.IMPORTANCE, share[i], room, strict=True)) for room in left]
+        want[i] = max(range(4), key=lambda s: (round(dots[s], 9), -s))
+        left[want[i]] = [c - v for c, v in zip(left[want[i]], share[i], strict=True)]
+    assert sharding.pack(vectors, 4).tolist() == [want[i] for i in range(60)]
+
+
+def test_shards_with_a_column_of_that_name(spark, edge_docs):
+    from pyspark.sql import functions as F
+
+    out = shared_dir(spark, "test-shards")
+    docs = edge_docs.withColumn("shard", F.lit("mine")).withColumn("group", F.lit("mine"))
+    sharding.write_shards(docs, out)
+    assert sorted(map(str, rows(spark.read.parquet(out).select(*docs.columns)))) == sorted(map(str, rows(docs)))
+
+
 def test_packing(edge_docs, no_docs):
     e = encoder(vocabulary("word_bpe_49k.json"), False)
     pieces = rows(packing.pack(edge_docs, with_ids=True))
