@@ -199,6 +199,39 @@ def test_swaps_make_identity_terms_neutral():
     assert gap(w1) < gap(w0)
 
 
+def test_sentences_are_swapped_one_by_one():
+    made = toxicity.with_swaps("A woman sings. One muslim and one woman read! Rain")
+    sets = [{int(i) for i in at} for at, _ in made]
+    want = ["A woman sings one muslim and read Rain", "A woman man sings one muslim and read Rain", "A woman man sings one christian and read Rain"]
+    assert sets == [{int(i) for i in toxicity.features(t)[0]} for t in want]
+    assert len(toxicity.with_swaps("nobody here. none")) == len(toxicity.with_swaps(None)) == 1
+    assert len(toxicity.with_swaps("a blarg came.", toxicity.swaps((("blarg", "zonk"),)))) == 2
+
+
+def test_penalty_spares_neutral_mentions(spark):
+    """Insults that mostly name one group: held-out neutral mentions of it are flagged less with the penalty, and
+    held-out insults without any group are still found."""
+    r = np.random.default_rng(13)
+    calm, rude, other = "river bread window garden music letter".split(), [f"scum{c}le" for c in "abcdefghijkl"], ["christian", "jewish", "hindu", "buddhist"]
+    docs = []
+    for i in range(900):
+        words = list(r.choice(calm, 8))
+        toxic = i % 3 == 0
+        if toxic:
+            words += [str(r.choice(rude))] * int(r.random() < 0.9)
+            words += ["muslim"] if r.random() < 0.8 else []
+        elif i % 4 == 1:
+            words.append(str(r.choice(other)))
+        docs.append((i, " ".join(r.permutation(words)) + ".", int(toxic)))
+    docs += [(i, " ".join(r.choice(calm, 8)) + " muslim.", 0) for i in range(1000, 1100)] + [(i, " ".join(r.choice(calm, 8)) + f" {rude[i % 12]}.", 1) for i in range(1100, 1200)]
+    df, labels = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in docs if i < 1000], "doc_id long, toxic int")
+    flagged = {}
+    for weight in (0.0, 40.0):
+        found = {x["doc_id"]: x["predicted"] for x in rows(toxicity.classify(df, labels, swapped_weight=weight))}
+        flagged[weight] = sum(found[i] for i in range(1000, 1100)), sum(found[i] for i in range(1100, 1200))
+    assert flagged[0.0][0] >= 50 > 20 >= flagged[40.0][0] and flagged[40.0][1] >= 90, flagged
+
+
 def test_sharding(edge_docs, no_docs, spark):
     docs = spark.range(400).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 37 AS int)) AS text").union(spark.range(400, 500).selectExpr("id", "'copy of one'"))
     found = rows(sharding.assign(docs))
