@@ -424,3 +424,183 @@ def test_pipeline_stages_with_clashing_columns(edge_docs, spark):
             assert out.columns == docs.columns
             assert all(r[c] == c + ("" if r["doc_id"] is None else f" {r['doc_id']}") for r in found for c in CLASHING)
         docs = out
+
+
+def plain_components(sets, percent):
+    """The smallest id reachable over pairs of sets that are similar enough, compared pair by pair."""
+    top = {i: i for i in sets}
+
+    def root(i):
+        return i if top[i] == i else root(top[i])
+
+    ids = sorted(i for i in sets if sets[i])
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            same = len(sets[i] & sets[j])
+            if 100 * same >= percent * (len(sets[i]) + len(sets[j]) - same):
+                a, b = root(i), root(j)
+                top[max(a, b)] = min(a, b)
+    return {i: root(i) for i in sets}
+
+
+def word_sets(texts):
+    """5-word shingles as tuples of words, without the operator's hashes."""
+    out = {}
+    for i, t in texts.items():
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup_on_the_given_documents(spark, percent):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r["component_id"] for r in rows(near_dedup.near_duplicates(docs, percent))}
+    assert found == plain_components(word_sets({r.doc_id: r.text for r in docs.collect()}), percent)
+
+
+def test_near_dedup_of_a_dense_group_with_strays(spark):
+    """One large group of near copies, strays that share its buckets, ids that occur twice or not at all, repeats."""
+    r, base = np.random.default_rng(9), [f"w{i}" for i in range(100)]
+    docs = []
+    for i in range(300):
+        w = list(base)
+        for k in r.integers(0, 100, 1 if i % 10 else 6):
+            w[k] = f"e{i}_{k}"
+        docs.append((i if i % 50 else None, " ".join(w)))
+    docs += [(400 + i, " ".join(f"v{i}_{j}" for j in range(40))) for i in range(20)] + [(400, " ".join(base)), (5, "other text of five words"), (5, "other text of five words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = word_sets({n: t for n, (_, t) in enumerate(docs)})
+    comp = plain_components(sets, 85)
+    least = {}
+    for n, (i, _) in enumerate(docs):
+        if i is not None:
+            least[comp[n]] = min(i, least.get(comp[n], i))
+    want = sorted((str(i), len(sets[n]), str(least.get(comp[n])), i == least.get(comp[n])) for n, (i, _) in enumerate(docs))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in rows(near_dedup.near_duplicates(df))) == want
+    kept = sorted(str(r["doc_id"]) + r["text"] for r in rows(near_dedup.deduplicated(df, 85)))
+    members = {}
+    for n, (i, t) in enumerate(docs):
+        members.setdefault(comp[n], []).append((i is None, i or 0, t))
+    assert len({k for k in kept}) == len(members) and [k for k in kept if k.startswith("5other")] == ["5other text of five words"] * 2
+    for m in members.values():
+        none, i, _ = min(m)
+        assert any(k.startswith("None" if none else str(i)) for k in kept)
+
+
+def test_forests_join_what_the_links_join(spark):
+    r = np.random.default_rng(10)
+    links = [(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2)) if a != b]
+    top = plain_components({i: {1} for i in ()}, 80) or {i: i for i in range(400)}
+    for _ in range(400):
+        new = dict(top)
+        for a, b in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == top:
+            break
+        top = new
+    df = spark.createDataFrame(links, "a long, b long")
+    assert near_dedup.forest(df).count() < len(links)
+    assert {r["id"]: r["comp"] for r in rows(near_dedup.components(df))} == {i: c for i, c in top.items() if i in {x for e in links for x in e}}
+
+
+def test_pipeline_stages_against_plain_python(spark):
+    """Each stage's rows on the given documents, from what the stage before it kept."""
+    from collections import Counter as Bag
+    from hashlib import md5
+    from math import floor, log
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, stages = spark.read.parquet(f"{sf}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    weights = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    for name in stages:
+        before, out = rows(docs), stages[name](spark, docs, sf)
+        after = rows(out)
+        if name == "toxicity":
+            score = lambda t: 1 / (1 + np.exp(-float(weights[toxicity.features(t)[0]].sum(dtype=float) + weights[-1])))
+            want = Bag(r["doc_id"] for r in before if score(r["text"]) < 0.7)
+        elif name == "exact_dedup":
+            best = {}
+            for r in before:
+                best[lower(r["text"])] = max(r["doc_id"], best.get(lower(r["text"]), r["doc_id"]))
+            want = Bag(best.values())
+        elif name == "near_dedup":
+            want = Bag({i for i, c in plain_components(word_sets({r["doc_id"]: r["text"] for r in before}), 80).items() if i == c})
+        elif name == "mixing":
+            size = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in before}
+            source = {r["doc_id"]: r["source"] for r in before}
+            names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+            weight, own = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, {s: sum(n for d, n in size.items() if source[d] == s) for s in names}
+            target, open_, left = {}, set(names), float(sum(own.values()))
+            while open_:
+                rate = left / sum(weight[s] for s in open_)
+                full = {s for s in open_ if 3 * own[s] <= rate * weight[s]}
+                target |= {s: 3.0 * own[s] for s in full} if full else {s: rate * weight[s] for s in open_}
+                left, open_ = left - sum(3.0 * own[s] for s in full), open_ - full if full else set()
+            want = Bag()
+            chars = {r["doc_id"]: len(r["text"] or "") for r in before}
+            for s in names:
+                quality = {d: 1 / (1 + abs(chars[d] / size[d] - 7)) if size[d] else 0.125 for d in size if source[d] == s}
+                key = {d: -log((int(md5(str(d).encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / quality[d] for d in quality}
+                epochs = floor(target[s] / own[s]) if own[s] else 0
+                rest = floor(target[s]) - epochs * own[s]
+                for d in sorted(key, key=lambda d: (key[d], d)):
+                    part, rest = max(0, min(size[d], rest)), rest - size[d]
+                    want[d] += epochs + (2 * part >= max(size[d], 1))
+            want = +want
+        else:
+            e, got = encoder(vocabulary("word_bpe_49k.json"), False), {}
+            for p in after:
+                got.setdefault((p["sequence_id"], p["offset"]), []).append(p)
+            assert all(len(p) == 1 for p in got.values())
+            at = 0
+            for p in sorted(after, key=lambda p: (p["sequence_id"], p["offset"])):
+                assert p["sequence_id"] * 2048 + p["offset"] == at
+                at += p["length"]
+            ids = {r["doc_id"]: e.model.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in before}
+            assert Bag((p["doc_id"], p["start"]) for p in after if not p["start"]) == Bag((r["doc_id"], 0) for r in before)
+            assert at == sum(len(ids[r["doc_id"]]) for r in before)
+            assert all(p["ids_crc32"] == crc32(np.array(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]], "<u4").tobytes()) for p in after)
+            continue
+        assert Bag(r["doc_id"] for r in after) == want, name
+        texts = {r["doc_id"]: r["text"] for r in before}
+        assert all(r["text"] == texts[r["doc_id"]] for r in after) and out.columns == docs.columns
+        docs = corpus_pipeline.written(out, "test-stage")
+
+
+def test_pipeline_stages_on_an_empty_table(no_docs, spark):
+    import corpus_pipeline
+
+    docs, sf = no_docs, "/root/testdata/sf0.001"
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0
+
+
+def test_operators_ignore_columns_called_like_theirs(edge_docs, spark):
+    """Each operator gives the rows that it gives without the further columns."""
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    clashing = edge_docs.select("*", *[F.lit(c).alias(c) for c in CLASHING if c not in edge_docs.columns])
+
+    def tokens(docs):
+        out = shared_dir(spark, "test-tokens")
+        token_files.write_tokens(docs, out)
+        return token_files.read_tokens(spark, out)
+
+    for operator in (
+        mixing.mix,
+        lambda d: toxicity.classify(d, labels),
+        near_dedup.near_duplicates,
+        lambda d: quality.classify(d, labels),
+        lambda d: sharding.assign(d).drop("slot", "shard"),
+        exact_dedup.decisions,
+        lambda d: packing.pack(d).select("doc_id", "doc_tokens"),
+        token_counts.count_tokens,
+        tokens,
+    ):
+        assert sorted(map(str, rows(operator(clashing)))) == sorted(map(str, rows(operator(edge_docs))))
