@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
 of ``documents``. SQL cannot express the trained classifier, so there is no SQL for the whole; the tests compare each
-stage with a brute-force version.
+stage with a plain Python version.
+
+Every stage takes nulls in any column, rows that repeat, texts of any length and further columns of any name; documents
+without text have no words and stay until packing, where they are one end id. An empty table stays empty.
 """
 
 from __future__ import annotations
