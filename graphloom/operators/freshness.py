@@ -32,3 +32,20 @@ def fingerprint(files: DataFrame) -> DataFrame:
     """
     sig = F.concat_ws("|", "path", F.col("size").cast("string"), "hash")
     return files.groupBy(F.substring(F.md5("path"), 1, 3).alias("bucket")).agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(sig)), "\n"), 256).alias("fingerprint"))
+
+
+def whole_fingerprint(files: DataFrame) -> DataFrame:
+    """One row: files, fingerprint, the hash of the 4096 buckets' hashes in order (V1)."""
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "fingerprint"))), "\n")
+    return fingerprint(files).agg(F.sum("files").alias("files"), F.sha2(lines, 256).alias("fingerprint"))
+
+
+def gate(status: str, policy: str = "require_fresh") -> dict:
+    """Whether a query may run and whether a rebuild comes first, by freshness and policy.
+
+    'allow_stale' always runs; 'auto_rebuild' rebuilds what is not fresh; 'require_fresh' refuses it.
+    """
+    if policy not in ("allow_stale", "auto_rebuild", "require_fresh"):
+        raise ValueError(f"unknown policy: {policy}")
+    fresh = status == "fresh"
+    return {"status": status, "stale": not fresh, "run": fresh or policy != "require_fresh", "rebuild": not fresh and policy == "auto_rebuild"}

@@ -21,9 +21,10 @@ def depth_policy(depth: int | None, focus: str | None = None) -> int:
 def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "downstream") -> DataFrame:
     """depth, direction and the edge's columns: breadth-first from ``starts`` (id).
 
-    Every node nearer than ``depth`` gives out each of its edges once, also those back to nodes seen before. One join
-    per level between the frontier and the edges; each level is written to shared storage, so lineage stays short and
-    AQE picks the join by the frontier's real size.
+    Every node nearer than ``depth`` gives out each of its edges once, also those back to nodes seen before; ``edges``
+    may repeat rows, which are dropped after the join, where few are left. One join per level between the frontier and
+    the edges; each level is written to shared storage, so lineage stays short and AQE picks the join by the frontier's
+    real size.
     """
     own = edges.columns
     sides = {"downstream": ("src", "dst"), "upstream": ("dst", "src")}
@@ -33,7 +34,7 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "
     seen = frontier = starts.select("id").distinct()
     levels = []
     for d in range(1, depth + 1):
-        level = written(step.join(frontier.withColumnRenamed("id", "from_id"), "from_id").withColumn("depth", F.lit(d)), f"bfs-{d}")
+        level = written(step.join(frontier.withColumnRenamed("id", "from_id"), "from_id").distinct().withColumn("depth", F.lit(d)), f"bfs-{d}")
         levels.append(level)
         if d < depth:
             frontier = written(level.select(F.col("to_id").alias("id")).distinct().join(seen, "id", "left_anti"), f"frontier-{d}")
@@ -72,9 +73,9 @@ def merge_nodes(stream: DataFrame, key: str, seq: str, columns: list[str], empty
 
 
 def first_of(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The first row by ``seq`` of each key."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
+    """The first row by ``seq`` of each key (W6, A21, A22): a partial aggregation, no sort."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), seq).alias("_first")).select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
 def helpers_apart(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -84,29 +85,44 @@ def helpers_apart(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(a, "src", "left").join(b, "dst", "left").withColumn("related_helper", F.coalesce(F.col("file_a") == F.col("file_b"), F.lit(False))).drop("file_a", "file_b")
 
 
-def incident(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, type, direction, n, neighbours (sorted, joined) of the given nodes."""
+def incident(edges: DataFrame, ids: DataFrame, most: int = 25) -> DataFrame:
+    """id, type, direction, n, neighbours (the first ``most`` by id, joined) of the given nodes.
+
+    All neighbours are counted; ``neighbours_of`` lists them, a row each.
+    """
+    near = neighbours_of(edges, ids)
+    place = F.row_number().over(Window.partitionBy("id", "type", "direction").orderBy("other"))
+    first = near.select("id", "type", "direction", "other").distinct().withColumn("place", place).where(F.col("place") <= most)
+    first = first.groupBy("id", "type", "direction").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("neighbours"))
+    return near.groupBy("id", "type", "direction").agg(F.count(F.lit(1)).alias("n")).join(first, ["id", "type", "direction"])
+
+
+def neighbours_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, direction, other, type: a row for each edge of the given nodes."""
     e = edges.select(F.explode(F.array(F.struct(F.col("dst").alias("id"), F.lit("in").alias("direction"), F.col("src").alias("other"), "type"), F.struct(F.col("src").alias("id"), F.lit("out").alias("direction"), F.col("dst").alias("other"), "type"))).alias("x")).select("x.*")
-    near = e.join(ids.select("id"), "id", "left_semi")
-    return near.groupBy("id", "type", "direction").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("other")), ",").alias("neighbours"))
+    return e.join(ids.select("id"), "id", "left_semi")
 
 
 def effective(calls: DataFrame, requests: DataFrame, depth: int | None = None) -> DataFrame:
     """script, method, via_method, request: requests a method reaches through calls within its script.
 
-    Pairs (method, reached) grow by one call a round until none is new, so cycles end. New pairs after
-    ``depth`` rounds, if it is given, fail the query instead of being cut.
+    Each round joins the new pairs (method, reached) with all known ones, so the way known doubles, until none is new;
+    cycles end so too. New pairs after ``depth`` rounds, if it is given, fail the query instead of being cut.
     """
-    reach = calls.select("script", "method", F.col("method").alias("via_method")).union(requests.select("script", "method", F.col("method").alias("via_method"))).distinct()
-    new = reach
+    reach = calls.select("script", "method", F.col("callee").alias("via_method")).distinct()
+    new = reach = written(reach, "effective")
     for i in count():
-        step = new.join(calls.select("script", F.col("method").alias("via_method"), F.col("callee")), ["script", "via_method"]).select("script", "method", F.col("callee").alias("via_method")).distinct()
+        after = lambda df: df.select("script", F.col("method").alias("via_method"), F.col("via_method").alias("next"))
+        on = ["script", "via_method"]
+        step = new.join(after(reach), on).union(reach.join(after(new), on)).select("script", "method", F.col("next").alias("via_method")).distinct()
         new = written(step.join(reach, ["script", "method", "via_method"], "left_anti"), f"effective-{i}")
         if new.isEmpty():
             break
         if depth is not None and i >= depth:
             raise ValueError(f"calls reach further than {depth} rounds")
         reach = reach.union(new)
+    own = requests.select("script", "method", F.col("method").alias("via_method")).distinct()
+    reach = reach.union(own).distinct()
     return reach.join(requests.select("script", F.col("method").alias("via_method"), "request"), ["script", "via_method"]).select("script", "method", "via_method", "request").distinct()
 
 

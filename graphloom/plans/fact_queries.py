@@ -47,6 +47,11 @@ def fingerprint(spark, d):
     return V.fingerprint(_snapshots(spark, d)[1])
 
 
+def whole_fingerprint(spark, d):
+    """One hash over all files of the current snapshot."""
+    return V.whole_fingerprint(_snapshots(spark, d)[1])
+
+
 _HREF = r'href="([^"]*)"'
 
 
@@ -237,6 +242,9 @@ SELECT source, target, n, CASE WHEN source = target THEN 'state-cycle' ELSE 'sta
 SELECT *, CASE WHEN added + deleted + changed > 0 THEN 'stale' ELSE 'fresh' END AS status FROM g"""),
     "fingerprint": (fingerprint, f"""WITH c AS ({_CUR}), s AS (SELECT substr(md5(path), 1, 3) AS bucket, path||'|'||size||'|'||hash AS sig FROM c)
 SELECT bucket, count(*) AS files, sha256(string_agg(sig, chr(10) ORDER BY sig)) AS fingerprint FROM s GROUP BY 1"""),
+    "whole_fingerprint": (whole_fingerprint, f"""WITH c AS ({_CUR}), s AS (SELECT substr(md5(path), 1, 3) AS bucket, path||'|'||size||'|'||hash AS sig FROM c),
+b AS (SELECT bucket, count(*) AS files, sha256(string_agg(sig, chr(10) ORDER BY sig)) AS fingerprint FROM s GROUP BY 1)
+SELECT CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(bucket||':'||fingerprint, chr(10) ORDER BY bucket)) AS fingerprint FROM b"""),
     "href_edges": (href_edges, r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM h GROUP BY 1, 2"""),
     "html_title": (html_title, r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages"),
     "import_stats": (import_stats, r"""WITH h AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), g AS (SELECT count(*) AS total, count(*) FILTER (WHERE regexp_matches(href, '^https?://')) AS outside FROM h)

@@ -18,7 +18,7 @@ def _starts(spark, *ids):
 
 
 def bfs(start: tuple, direction: str, depth: int):
-    return lambda spark, d: G.traverse(edges(spark, d), _starts(spark, *start), depth, direction)
+    return lambda spark, d: G.traverse(edges(spark, d, repeated=True), _starts(spark, *start), depth, direction)
 
 
 def _bfs_sql(starts: tuple, depth: int, sides: tuple, name: str = "r") -> str:
@@ -34,7 +34,7 @@ DOWN, UP = ("downstream", "src", "dst"), ("upstream", "dst", "src")
 
 
 def data_access_summary(spark, d):
-    return G.data_access(G.traverse(edges(spark, d), _starts(spark, START), 4), nodes(spark, d))
+    return G.data_access(G.traverse(edges(spark, d, repeated=True), _starts(spark, START), 4), nodes(spark, d))
 
 
 def nodes_by_type(spark, d):
@@ -50,7 +50,7 @@ def incident_detail(spark, d):
 
 
 def focus_shaping(spark, d):
-    found = G.traverse(edges(spark, d), _starts(spark, START), 3)
+    found = G.traverse(edges(spark, d, repeated=True), _starts(spark, START), 3)
     return G.helpers_apart(found, nodes(spark, d)).groupBy("type", "related_helper").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -128,12 +128,13 @@ def effective_requests(spark, d):
     s = table(spark, d, "supplier")
     calls = s.alias("a").join(s.alias("b"), (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("b.s_suppkey") == F.col("a.s_suppkey") + 25)).select(F.col("a.s_nationkey").alias("script"), F.col("a.s_suppkey").alias("method"), F.col("b.s_suppkey").alias("callee"))
     requests = s.where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("script"), F.col("s_suppkey").alias("method"), F.col("s_name").alias("request"))
-    return G.effective(calls, requests, depth=1000)
+    return G.effective(calls, requests)
 
 
 _N, _E = f"WITH {NODES_SQL}", f"WITH {EDGES_SQL}"
 _SLUG = lambda c: f"lower(regexp_replace(regexp_replace(regexp_replace(trim({c}), '[^\\w.-]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'))"
 _TOK = lambda c: f"list_filter(string_split_regex(lower(trim(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_./:@-]', ' ', 'g'))), '\\s+'), lambda t: t <> '')"
+_SYN = lambda c: "list_concat(" + ", ".join(f"CASE WHEN contains(lower(trim({c})), '{k}') THEN [" + ", ".join(f"'{t}'" for t in tags) + "] ELSE [] END" for k, tags in T.SYNONYMS.items()) + ")"
 
 QUERIES = {
     "bfs_downstream": (bfs((START,), "downstream", 4), _bfs_sql((START,), 4, (DOWN,)) + " SELECT * FROM x"),
@@ -146,7 +147,7 @@ FROM a LEFT JOIN n ON n.id = a.dst GROUP BY 1, 2"""),
     "nodes_by_type": (nodes_by_type, f"{_N} SELECT type, count(*) AS n FROM n GROUP BY type"),
     "degree_topk": (degree_topk, f"{_E} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id ORDER BY degree DESC, id LIMIT 16"),
     "incident_detail": (incident_detail, f"""{_E}, i AS (SELECT dst AS id, 'in' AS direction, src AS other, type FROM e UNION ALL SELECT src, 'out', dst, type FROM e)
-SELECT id, type, direction, count(*) AS n, array_to_string(list_sort(list(DISTINCT other)), ',') AS neighbours FROM i WHERE id LIKE 'nation:%' OR id LIKE 'region:%' GROUP BY 1, 2, 3"""),
+SELECT id, type, direction, count(*) AS n, array_to_string(list_sort(list(DISTINCT other))[1:25], ',') AS neighbours FROM i WHERE id LIKE 'nation:%' OR id LIKE 'region:%' GROUP BY 1, 2, 3"""),
     "focus_shaping": (focus_shaping, _bfs_sql((START,), 3, (DOWN,)) + f""", {NODES_SQL}, mm AS (SELECT id, file FROM n WHERE type = 'method')
 SELECT x.type, coalesce(a.file = b.file, false) AS related_helper, count(*) AS n FROM x LEFT JOIN mm a ON a.id = src LEFT JOIN mm b ON b.id = dst GROUP BY 1, 2"""),
     "node_search": (node_search, f"{_N} SELECT * FROM n WHERE type = 'table' AND contains(lower(name||' '||id), 'red') AND area = 'data' AND NOT contains(lower(file), 'brand#1')"),
@@ -162,14 +163,14 @@ WHERE n.type = 'request' AND n.name = m||' /Orders//'||p||'/'"""),
     "area_longest_prefix": (area_longest_prefix, f"""{_N}, r(root, area) AS (VALUES ('brand#1', 'one'), ('brand#11', 'eleven'), ('brand#11/promo', 'promo'), ('brand#2', 'two'), ('brand#23', 'twenty-three'))
 SELECT n.id, coalesce(arg_max(r.area, length(root)), 'unknown') AS area FROM n LEFT JOIN r ON lower(n.file) = root OR starts_with(lower(n.file), root||'/') WHERE n.type = 'table' GROUP BY n.id"""),
     "suffix_match_impact": (suffix_match_impact, r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/+$', '') AS file FROM pages),
-c AS (SELECT DISTINCT array_to_string(list_slice(string_split(file, '/'), -2, -1), '/') AS changed FROM p WHERE page_id % 7 = 0)
+c AS (SELECT DISTINCT array_to_string(list_slice(string_split(file, '/'), -2, -1), '/') AS changed FROM p)
 SELECT changed, count(*) AS n FROM p JOIN c ON file = changed OR ends_with(file, '/'||changed) OR ends_with(changed, '/'||file) GROUP BY changed"""),
     "node_merge_lww": (node_merge_lww, """WITH e AS (SELECT 'user:'||user_id AS id, event_id AS seq, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS name, json_extract_string(props, '$.k') AS state FROM events)
 SELECT id, arg_max(name, seq) FILTER (WHERE name <> '') AS name, arg_max(state, seq) FILTER (WHERE state <> '') AS state FROM e GROUP BY id"""),
     "edge_dedup": (edge_dedup, "SELECT 'user:'||user_id AS src, event_type AS dst, min(event_id) AS seq FROM events GROUP BY 1, 2"),
     "slugify_paths": (slugify_paths, f"""SELECT p_partkey, {_SLUG('p_name')} AS slug, regexp_replace(replace(lower('A\\\\B//'||p_type), '\\', '/'), '/+', '/', 'g') AS path,
 regexp_replace('/'||p_brand||'//x/', '/+', '/', 'g') AS joined, lower('/'||p_brand) AS route FROM part"""),
-    "tokenize_tags": (tokenize_tags, f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_concat([lower(trim(p_name)), lower(trim(p_type))], list_concat({_TOK('p_name')}, {_TOK('p_type')})), lambda t: t <> ''))), ',') AS tags FROM part"""),
+    "tokenize_tags": (tokenize_tags, f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_concat([lower(trim(p_name)), lower(trim(p_type))], list_concat({_TOK('p_name')}, {_TOK('p_type')}, {_SYN('p_name')}, {_SYN('p_type')})), lambda t: t <> ''))), ',') AS tags FROM part"""),
     "risk_level": (risk_level, f"""SELECT CASE WHEN regexp_matches(lower(coalesce(text, '')), '{T.HIGH_RISK}') THEN 'high' WHEN regexp_matches(lower(coalesce(text, '')), '{T.MEDIUM_RISK}') THEN 'medium' WHEN length(coalesce(text, '')) > 0 THEN 'low' ELSE 'unknown' END AS risk, count(*) AS n FROM documents GROUP BY 1"""),
     "effective_requests": (effective_requests, """WITH RECURSIVE c AS (SELECT a.s_nationkey AS script, a.s_suppkey AS method, b.s_suppkey AS callee FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_suppkey = a.s_suppkey + 25),
 q AS (SELECT s_nationkey AS script, s_suppkey AS method, s_name AS request FROM supplier WHERE s_suppkey % 3 = 0),

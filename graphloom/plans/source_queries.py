@@ -92,6 +92,7 @@ _KEYWORDS = ", ".join(f"'{k}'" for k in X.KEYWORDS)
 _FACTS = "f AS (" + " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, trim(subject) AS subject, detail FROM (SELECT page_id, unnest(regexp_extract_all(html, $p${p}$p$, 1)) AS subject, unnest(regexp_extract_all(html, $p${p}$p$, 2)) AS detail FROM pages)" for k, p in X.RULES.items()) + f"), g AS (SELECT page_id, kind, subject, detail, count(*) AS n FROM f WHERE kind <> 'call' OR subject NOT IN ({_KEYWORDS}) GROUP BY ALL)"
 _EDGE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.EDGES.items()) + " END"
 _TOK = lambda c: f"list_filter(string_split_regex(lower(trim(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_./:@-]', ' ', 'g'))), '\\s+'), lambda t: t <> '')"
+_SYN = lambda c: "list_concat(" + ", ".join(f"CASE WHEN contains(lower(trim({c})), '{k}') THEN [" + ", ".join(f"'{t}'" for t in tags) + "] ELSE [] END" for k, tags in T.SYNONYMS.items()) + ")"
 
 QUERIES = {
     "page_facts": (page_facts, f"WITH {_FACTS} SELECT * FROM g"),
@@ -103,7 +104,7 @@ SELECT dst, type, count(*) AS pages, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY
     "request_targets": (request_targets, r"""WITH h AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
 SELECT regexp_replace(regexp_replace(regexp_replace(replace(href, '${API_BASE}', '/api'), '\$\{[^}]*\}', '', 'g'), '\?.*$', '', 'g'), '(^|[^:])/{2,}', '\1/', 'g') AS target, count(*) AS n FROM h GROUP BY 1"""),
     "search_grouped": (search_grouped, f"WITH {NODES_SQL} SELECT type, count(*) AS total, least(count(*), 20) AS returned, count(*) > 20 AS truncated FROM n WHERE contains(lower(name||' '||id), '1') GROUP BY 1"),
-    "edge_summary": (edge_summary, f"""WITH {NODES_SQL}, {EDGES_SQL}, g AS (SELECT src, type, dst, count(*) AS n FROM e WHERE type <> 'requests' GROUP BY 1, 2, 3),
+    "edge_summary": (edge_summary, f"""WITH {NODES_SQL}, {EDGES_SQL}, g AS (SELECT src, type, dst, count(*) AS n FROM e GROUP BY 1, 2, 3),
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY type, dst) AS INTEGER) AS place FROM g QUALIFY place <= 8)
 SELECT f.*, coalesce(a.name, src) AS src_name, coalesce(b.name, dst) AS dst_name FROM f LEFT JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst"""),
     "node_degrees": (node_degrees, f"WITH {EDGES_SQL} SELECT id, CAST(sum(i) AS BIGINT) AS incoming, CAST(sum(o) AS BIGINT) AS outgoing FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id"),
@@ -122,7 +123,7 @@ SELECT page_id, name, service_kind, target, package, first.host AS host, first.s
     "node_paths": (node_paths, """SELECT 'region:'||r_regionkey AS id, r_name AS path, 1 AS depth FROM region UNION ALL SELECT 'nation:'||n_nationkey, r_name||'/'||n_name, 2 FROM nation JOIN region ON r_regionkey = n_regionkey
 UNION ALL SELECT 'customer:'||c_custkey, r_name||'/'||n_name||'/'||c_name, 3 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
 UNION ALL SELECT 'orders:'||o_orderkey, r_name||'/'||n_name||'/'||c_name||'/'||o_orderkey, 4 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"""),
-    "tag_union": (tag_union, f"""WITH t AS (SELECT DISTINCT p_brand, unnest(list_concat([lower(trim(p_name)), lower(trim(p_type))], list_concat({_TOK('p_name')}, {_TOK('p_type')}))) AS tag FROM part)
+    "tag_union": (tag_union, f"""WITH t AS (SELECT DISTINCT p_brand, unnest(list_concat([lower(trim(p_name)), lower(trim(p_type))], list_concat({_TOK('p_name')}, {_TOK('p_type')}, {_SYN('p_name')}, {_SYN('p_type')}))) AS tag FROM part)
 SELECT p_brand, count(*) AS tags, min(tag) AS first, max(tag) AS last FROM t WHERE tag <> '' GROUP BY 1"""),
     "event_windows_stream": (event_windows_stream, "SELECT strftime(ts, '%Y-%m-%d %H') AS start, event_type, count(*) AS n, max(value) AS highest FROM events GROUP BY 1, 2"),
 }

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Folders that a scan leaves out.
-IGNORED = ("node_modules", ".git", "dist", "build", "coverage", ".cache", "temp", "library")
+IGNORED = (".git", ".runtime", ".next", ".nuxt", "build", "coverage", "dist", "node_modules", "out")
+
 
+def ignored(path: Column, more: tuple = ()) -> Column:
+    """Whether a path within a root has a folder that is left out, or a part of ``more``."""
+    low = F.lower(F.regexp_replace(path, r"\\", "/"))
+    found = F.arrays_overlap(F.split(low, "/"), F.array(*[F.lit(x) for x in IGNORED]))
+    for part in more:
+        found = found | F.contains(low, F.lit(part.lower()))
+    return found
 
-def ignored(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in IGNORED]))
 
+def scan(spark: SparkSession, root: str, globs: tuple = ("**",), more: tuple = ()) -> DataFrame:
+    """path (within ``root``), size, mtime_ms, content of the files below ``root`` that match a glob.
 
-def scan(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path, size, mtime_ms, content of the files below ``root``, without ignored folders."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.where(~ignored(F.col("path"))).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    Ignored folders are those within the root, whatever the root itself is called.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    place = re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"
+    within = F.regexp_replace("path", rf"^.*?\Q{place}\E", "")
+    files = files.withColumn("path", within).where(~ignored(F.col("path"), more) & T.any_glob(F.col("path"), list(globs)))
+    return files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
 
 
 def signatures(files: DataFrame) -> DataFrame:
@@ -35,14 +50,14 @@ def append_lines(df: DataFrame, path: str) -> None:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, kept: tuple = (), counted: str | None = None) -> DataFrame:
-    """Rows by ``key``: new values win, columns ``kept`` stay as first written, ``counted`` counts writes (K4, K6, K8)."""
+    """Rows by ``key``: new values win, columns ``kept`` stay as first written, ``counted`` sums writes (K4, K6, K8)."""
     o, n = old.alias("o"), new.alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
 
     def value(c: str) -> Column:
         a, b = F.col(f"o.{c}"), F.col(f"n.{c}")
         if c == counted:
-            return F.coalesce(a, F.lit(0)) + F.col(f"n.{key}").isNotNull().cast("int")
+            return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
         return F.coalesce(a, b) if c in kept else F.coalesce(b, a)
 
     return joined.select(*[value(c).alias(c) for c in old.columns])

@@ -25,10 +25,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(F.concat(F.lit(prefix + ":"), F.col(key)).alias("id"), F.lit(kind).alias("type"), name.alias("name"), file.alias("file"), F.lit(area).alias("area"))
 
     none = F.lit("")
-    path = F.concat(F.lit("/Orders//"), T.slugify(F.col("o_orderpriority")), F.lit("/"))
+    # Slugs are made once for each priority, not in every expression that asks for a name.
+    priorities = t("orders").select(F.col("o_orderpriority").alias("_priority")).distinct().withColumn("_slug", T.slugify(F.col("_priority")))
+    orders = t("orders").join(priorities, F.col("o_orderpriority").eqNullSafe(F.col("_priority")))
+    path = F.concat(F.lit("/Orders//"), F.col("_slug"), F.lit("/"))
     return (
         part(t("customer"), "method", "customer", "c_custkey", F.col("c_name"), F.concat_ws("/", "c_mktsegment", "c_name"), "frontend")
-        .union(part(t("orders"), "request", "order", "o_orderkey", F.concat_ws(" ", _method(F.col("o_orderstatus")), path), none, "contract"))
+        .union(part(orders, "request", "order", "o_orderkey", F.concat_ws(" ", _method(F.col("o_orderstatus")), path), none, "contract"))
         .union(part(t("part"), "table", "part", "p_partkey", F.col("p_name"), F.concat_ws("/", "p_brand", "p_type"), "data"))
         .union(part(t("supplier"), "external-service", "supplier", "s_suppkey", F.col("s_name"), none, "backend"))
         .union(part(t("nation"), "route", "nation", "n_nationkey", F.col("n_name"), none, "backend"))
@@ -36,8 +39,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, type, operation. Distinct only where the tables repeat a pair."""
+def edges(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
+    """src, dst, type, operation. Distinct only where the tables repeat a pair, and not at all if ``repeated``: what
+    joins few nodes with the edges drops repeats afterwards."""
+    once = (lambda df: df) if repeated else (lambda df: df.distinct())
     t = lambda n: table(spark, sf_dir, n)
 
     def link(df, a, ac, b, bc, kind, operation=None):
@@ -47,8 +52,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     access = F.when(F.col("l_returnflag") == "R", "writes").otherwise("reads")
     return (
         link(t("orders"), "customer", "o_custkey", "order", "o_orderkey", "requests")
-        .union(link(lines, "order", "l_orderkey", "part", "l_partkey", access, F.col("l_linestatus")).distinct())
-        .union(link(lines, "part", "l_partkey", "supplier", "l_suppkey", "depends_on").distinct())
+        .union(link(lines, "order", "l_orderkey", "part", "l_partkey", access, F.col("l_linestatus")).transform(once))
+        .union(link(lines, "part", "l_partkey", "supplier", "l_suppkey", "depends_on").transform(once))
         .union(link(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "binds"))
         .union(link(t("nation"), "region", "n_regionkey", "nation", "n_nationkey", "contains"))
     )

@@ -15,33 +15,42 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
 
 
 def window_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """start, event_type, n, highest: tumbling windows. State holds the open windows only; later events are dropped."""
+    """start, event_type, n, highest: tumbling windows. State holds the windows that end at most ``late`` before the
+    newest event seen in earlier batches; events of older windows are dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     grouped = timed.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("highest"))
     return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "highest")
 
 
-def drained(counts: DataFrame, name: str) -> DataFrame:
-    """Runs an aggregated stream over all that is there and gives the last state of the result, from shared storage.
+def drained(counts: DataFrame, name: str, keys: tuple = ("start", "event_type")) -> DataFrame:
+    """Runs an aggregated stream over all that is there and gives each key's last state, from shared storage.
 
-    Each batch writes a folder of its own, so a batch that runs again after a failure replaces what it wrote.
+    Only keys that a batch changes are written. Each batch writes a folder of its own, so a batch that runs again after
+    a failure replaces what it wrote.
     """
     spark, out = counts.sparkSession, shared_dir(counts.sparkSession, name)
-    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint")
-    query = query.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i:09d}")).trigger(availableNow=True).start()
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint")
+    query = query.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/states/batch={i:09d}")).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else None
-    return spark.createDataFrame([], counts.schema) if last is None else spark.read.schema(counts.schema).parquet(f"{out}/batch={last:09d}")
+    if query.lastProgress is None:
+        return spark.createDataFrame([], counts.schema)
+    states = spark.read.schema(counts.schema).option("basePath", f"{out}/states").parquet(f"{out}/states/batch=*").withColumn("_batch", F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1))
+    last = F.max_by(F.struct(*[c for c in counts.columns if c not in keys]), "_batch").alias("last")
+    return states.groupBy(*keys).agg(last).select(*keys, "last.*").select(*counts.columns)
 
 
-def merge_log(lines: DataFrame, out: str, key: str, kept: tuple = (), counted: str | None = None, checkpoint: str | None = None):
+def merge_log(lines: DataFrame, out: str, key: str, seq: str, kept: tuple = (), counted: str | None = None, checkpoint: str | None = None):
     """Merges a stream of log lines by ``key`` into versions below ``out``: each batch makes the next one (K5, K6).
 
-    Of lines with one key in a batch any holds; a repeated batch writes the same version again.
+    Of lines with one key in a batch the one with the largest ``seq`` holds, for columns ``kept`` that with the
+    smallest; ``counted`` is summed over all lines. A repeated batch writes the same version again. Each version is the
+    whole table, so batches should be large.
     """
 
     def merge(df: DataFrame, i: int) -> None:
-        new = df.dropDuplicates([key])
+        value = lambda c: F.sum(c) if c == counted else F.min_by(c, seq) if c in kept else F.max_by(c, seq)
+        new = df.groupBy(key).agg(*[value(c).alias(c) for c in df.columns if c != key]).select(*df.columns)
+        new = new.select(*[F.col(f.name).cast(f.dataType) for f in df.schema])
         if i:
             new = upsert(df.sparkSession.read.schema(df.schema).parquet(f"{out}/version={i - 1:09d}"), new, key, kept, counted)
         new.write.mode("overwrite").parquet(f"{out}/version={i:09d}")

@@ -37,11 +37,35 @@ def test_facts_and_imports(spark):
 
 
 def test_merge_log(spark):
+    """Every line of a key counts, and the last one holds, within a batch and between batches."""
     source, out = shared_dir(spark, "test-log"), shared_dir(spark, "test-merged")
-    for title in ("one", "two"):
-        spark.createDataFrame([("k", title, 1)], "id string, title string, hits int").coalesce(1).write.mode("append").parquet(source)
-        events.merge_log(events.event_stream(spark, source, "id string, title string, hits int"), out, "id", counted="hits").awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(f"{out}/version=000000001").collect()] == [("k", "two", 2)]
+    schema = "id string, title string, hits int, seq long, created string"
+    for batch in ([("k", "two", 1, 2, "b"), ("k", "one", 1, 1, "a"), ("k", "three", 1, 3, "c"), ("j", "x", 1, 1, "d")], [("k", "five", 1, 5, "e"), ("k", "four", 1, 4, "f")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        events.merge_log(events.event_stream(spark, source, schema), out, "id", "seq", kept=("created",), counted="hits").awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(f"{out}/version=000000001").collect()} == {("k", "five", 5, 5, "a"), ("j", "x", 1, 1, "d")}
+
+
+def test_drained_windows_keep_the_last_state(spark):
+    from datetime import datetime
+
+    source = shared_dir(spark, "test-events")
+    for hour in (1, 1, 2):
+        spark.createDataFrame([(datetime(2024, 1, 1, hour), "view", 1.0 * hour)], "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(source)
+    counts = events.window_counts(events.event_stream(spark, source, "ts timestamp, event_type string, value double", files_per_batch=1))
+    assert sorted((r.start.hour, r.n, r.highest) for r in events.drained(counts, "test-windows").collect()) == [(1, 2, 1.0), (2, 1, 2.0)]
+
+
+def test_scan_ignores_folders_within_its_root_only(spark, tmp_path):
+    from graphloom.sources import files
+
+    root = tmp_path / "build" / "project"
+    for p in ("src/a.ts", "src/deep/b.ts", "dist/c.ts", "src/node_modules/d.ts", "src/e.md", "Out/f.ts", "src/legacy/g.ts"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(p)
+    got = {r.path: bytes(r.content).decode() for r in files.scan(spark, str(root), ("**/*.ts",), more=("src/legacy",)).collect()}
+    assert got == {"src/a.ts": "src/a.ts", "src/deep/b.ts": "src/deep/b.ts"}
+    assert files.signatures(files.scan(spark, f"file://{root}")).count() == 4
 
 
 def test_external_services(spark):
