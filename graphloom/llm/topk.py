@@ -10,6 +10,7 @@ Blocks' best are merged.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,10 @@ from .shared import require, table, written
 K, QUERY_STEP = 5, 50
 #: Vectors of a block and queries of a batch: what one task holds at once. Vectors of the first block.
 BLOCK, BATCH, SEED = 4096, 4096, 512
-#: Queries whose bounds are held at once; steps in which lists are read to their end.
-TOGETHER, STEPS = 256, 32
+#: Queries whose bounds are held at once.
+TOGETHER = 256
+#: Parts of the lists after which bounds are compared: doubling up to half, then in small steps.
+STEPS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, *(s / 32 for s in range(16, 33)))
 #: Candidates left for one query at which reading stops.
 RESOLVE = 48
 
@@ -47,7 +50,7 @@ def no_random_access(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndar
     both = np.concatenate([np.where(q > 0, q, 0), np.where(q < 0, q, 0)], axis=1)
     floor = np.full(len(q), -np.inf) if floor is None else floor
     waiting = np.arange(len(q))
-    for depth in sorted({min(n, max(k, -(-n * s // STEPS))) for s in range(1, STEPS + 1)}):
+    for depth in sorted({min(n, max(k, ceil(n * s))) for s in STEPS}):
         if not len(waiting):
             return
         seen_top, seen_end = rank < depth, rank >= n - depth
