@@ -197,3 +197,17 @@ def test_text_functions(spark):
     assert value(spark, T.component_class(F.col("n"), F.col("r"), F.col("f"), F.lit("p.prefab")), ("A@1", "x", "a.ts"), ("cc.Button@2", "x", ""), ("n", "sp.Skeleton", ""), ("n", "x", "p.prefab"), schema="n string, r string, f string") == ["custom-script", "builtin", "builtin", "unresolved"]
     assert value(spark, T.same_path(F.col("a"), F.col("b")), ("A\\b//c", "a/b/c"), ("", ""), schema="a string, b string") == [True, False]
     assert value(spark, T.package_version(F.col("x")) < T.package_version(F.lit("1.10.0")), ("v1.9.3",), ("1.10",), ("2",), schema="x string") == [True, False, False]
+
+
+def test_prefabs(spark):
+    import json
+
+    from graphloom.operators import prefab
+
+    text = json.dumps([{"__type__": "cc.Prefab"}, {"__type__": "cc.Node", "_name": "root", "_parent": None}, {"__type__": "cc.Node", "_name": "ok", "_parent": {"__id__": 1}}, {"__type__": "cc.Button", "node": {"__id__": 2}, "clickEvents": [{"__id__": 4}], "n": 3}, {"__type__": "cc.ClickEvent", "target": {"__id__": 1}, "component": "Shop", "handler": "onOk"}, {"__type__": "CCPropertyOverrideInfo", "propertyPath": ["_lpos", "x"], "value": {"x": 1}}])
+    found = prefab.objects(spark.createDataFrame([("a.prefab", text), ("bad", "no json"), ("none", None)], "file string, text string"))
+    assert {(r.place, r.path, r.depth) for r in prefab.tree(found).collect()} == {(1, "root", 1), (2, "root/ok", 2)}
+    assert [tuple(r)[2:] for r in prefab.events(found).collect()] == [(1, "Shop", "onOk")]
+    assert [(r.property, r.value) for r in prefab.overrides(found).collect()] == [("_lpos.x", '{"x":1}')]
+    meta = spark.createDataFrame([("s/Shop.ts.meta", '{"uuid":"fc991dd7-0033-4b80-9d41-c8a86a702e59"}'), ("x.d.ts.meta", '{"uuid":"u"}'), ("p.prefab.meta", '{"uuid":"v"}'), ("p.png.meta", "{}"), ("p.ts", "")], "path string, text string")
+    assert {(r.path, r.kind, r.short) for r in prefab.catalog(meta).collect()} == {("s/Shop.ts", "script", "fc9913XADNLgJ1ByKhqcC5Z"), ("x.d.ts", "asset", "u"), ("p.prefab", "prefab", "v")}
