@@ -290,3 +290,10 @@ def package_version(c: Column) -> Column:
     """(major, minor, patch) of a version, comparable as a struct."""
     parts = F.split(F.regexp_replace(c, "^v", ""), r"[.+-]")
     return F.struct(*[F.coalesce(F.try_element_at(parts, F.lit(i + 1)).try_cast("int"), F.lit(0)).alias(n) for i, n in enumerate(("major", "minor", "patch"))])
+
+
+def type_name(c: Column) -> Column:
+    """The last part of a type's first name, without brackets, generics, null and undefined."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"\[\]|[<>{}|&,]", " "), r"\b(?:null|undefined|readonly)\b", " ")
+    first = F.regexp_replace(F.split(F.trim(plain), r"\s+")[0], r"[()?:=!]+", "")
+    return F.coalesce(F.try_element_at(F.filter(F.split(first, r"\."), lambda p: p != ""), F.lit(-1)), F.lit(""))
