@@ -28,6 +28,8 @@ _RETURNED = re.compile(r"(?<![\w$.])return\b[ \t]*([^;\n}]*)")
 #: Methods of arrays that are operations of their own.
 ARRAY_METHODS = ("filter", "map", "reduce", "find", "some", "every", "foreach", "sort")
 _NO_CALLS = frozenset("switch catch function return typeof await async new constructor super".split())
+METHOD = "array<struct<method: string, params: string, line: int, body: string>>"
+_NO_METHODS = frozenset("if for while switch catch function return typeof await async new super".split())
 OPERATION = "array<struct<type: string, target: string, detail: string, line: int, flag: boolean>>"
 BRACKETED = "array<struct<name: string, head: string, inside: string, parts: array<string>>>"
 DOC = "struct<description: string, params: map<string, struct<type: string, description: string>>, returns: string, returns_type: string, examples: array<string>, see: array<string>, since: string, deprecated: boolean>"
@@ -48,6 +50,11 @@ def _pairs(text: str) -> dict[int, tuple[int, list[int]]]:
     return found
 
 
+def _masked(text: str) -> str:
+    """The text with blanks for its comments, so that places and lines stay as they are."""
+    return _COMMENTED.sub(lambda m: m[1] or re.sub(r"[^\n]", " ", m[0]), text)
+
+
 def _short(text: str) -> str:
     """One line of 50 characters at most."""
     flat = " ".join(text.split())
@@ -57,6 +64,7 @@ def _short(text: str) -> str:
 def _operations(text: str | None) -> list[dict]:
     if not text:
         return []
+    text = _masked(text)
     breaks, pairs, found = [m.start() for m in re.finditer("\n", text)], _pairs(text), []
 
     def add(at: int, kind: str, target: str, detail: str, flag: bool = False) -> None:
@@ -85,6 +93,27 @@ def _operations(text: str | None) -> list[dict]:
     return [x for _, x in sorted(found, key=lambda x: x[0])]
 
 
+_VARIABLE = re.compile(r"(?<![\w$.])(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\(")
+_ARROW = re.compile(r"\s*(?::[^{}();=]*)?=>\s*\{")
+
+
+def _methods(text: str | None) -> list[dict]:
+    """Functions, methods and variables that hold an arrow function, with what is between their braces."""
+    if not text:
+        return []
+    whole, text = text, _masked(text)
+    breaks, pairs, found = [m.start() for m in re.finditer("\n", text)], _pairs(text), []
+    heads = [(m.start(3), m.end() - 1, m[3], _DECLARED) for m in _NAMED.finditer(text) if not (m[1] or m[2]) and m[3] not in _NO_METHODS]
+    heads += [(m.start(1), m.end() - 1, m[1], _ARROW) for m in _VARIABLE.finditer(text)]
+    for at, bracket, name, after in sorted(heads):
+        pair = pairs.get(bracket)
+        brace = after.match(text, pair[0] + 1) if pair else None
+        body = pairs.get(brace.end() - 1) if brace else None
+        if body:
+            found.append({"method": name, "params": " ".join(text[bracket + 1 : pair[0]].split()), "line": bisect_left(breaks, at) + 1, "body": whole[brace.end() : body[0]]})
+    return found
+
+
 def _doc(block: str | None) -> dict | None:
     if block is None:
         return None
@@ -275,3 +304,45 @@ def field_types(texts: DataFrame, names: DataFrame, file: str = "file", text: st
     sources = names.groupBy("file", F.col("identifier").alias("base")).agg(F.max("specifier").alias("imported"))
     own = F.when(F.col("raw").startswith("cc.") | (F.col("via") == "decorator"), "cc")
     return found.distinct().join(sources, ["file", "base"], "left").select("file", "field", "raw", "base", F.coalesce("imported", own).alias("specifier"), "via")
+
+
+def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """file, method, params, line, body: functions, methods and callable variables, with their place in the file (E5,
+    E6, S18). Comments hold none. A body that never closes gives none; a method inside another's body has a row of its own."""
+
+    def run(found: pd.Series) -> pd.Series:
+        return found.map(_methods)
+
+    return texts.select(F.col(file).alias("file"), F.explode(F.pandas_udf(run, METHOD)(text)).alias("m")).select("file", "m.*")
+
+
+def method_calls(found: DataFrame, names: DataFrame, fields: DataFrame) -> DataFrame:
+    """file, caller, callee, owner, kind, specifier, n: what methods call.
+
+    A call is local if its file declares the name and it has no owner but 'this'; imported if its name or its first
+    owner is imported; field if its owner is a typed field of the object; else unresolved. ``specifier`` is where
+    the callee comes from, null for local and unresolved ones.
+    """
+    ops = found.select("file", F.col("method").alias("caller"), F.explode(operations("body")).alias("o")).where("o.type = 'method_call'").select("file", "caller", F.regexp_replace("o.target", "^global:", "").alias("t"))
+    callee, owner = F.regexp_extract("t", r"([^.]*)$", 1), F.regexp_replace("t", r"\.?[^.]*$", "")
+    # Equal calls of a method are counted before they are joined.
+    calls = ops.select("file", "caller", callee.alias("callee"), owner.alias("owner")).groupBy("file", "caller", "callee", "owner").agg(F.count(F.lit(1)).alias("n"))
+    calls = calls.withColumn("first", F.when(F.col("owner") == "", F.col("callee")).otherwise(F.split("owner", r"\.")[0])).withColumn("field", F.regexp_extract("owner", r"^this\.([^.]+)$", 1))
+    own = found.select("file", F.col("method").alias("callee")).distinct().withColumn("declared", F.lit(True))
+    imported = names.groupBy("file", F.col("identifier").alias("first")).agg(F.max("specifier").alias("by_import"))
+    typed = fields.groupBy("file", "field").agg(F.max("specifier").alias("by_field"), F.lit(True).alias("typed"))
+    c = calls.join(own, ["file", "callee"], "left").join(imported, ["file", "first"], "left").join(typed, ["file", "field"], "left")
+    kind = F.when(F.col("declared") & F.col("owner").isin("", "this"), "local").when(F.col("by_import").isNotNull(), "imported").when(F.col("typed"), "field").otherwise("unresolved")
+    c = c.withColumn("kind", kind)
+    return c.select("file", "caller", "callee", "owner", "kind", F.when(F.col("kind") == "imported", F.col("by_import")).when(F.col("kind") == "field", F.col("by_field")).alias("specifier"), "n")
+
+
+def method_graph(found: DataFrame, calls: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of methods (B1, B2, B5): a node for each method of a file, synthetic if only calls name it; an
+    edge for each call that is local or whose specifier is a file. ``resolved`` as ``extract.resolved_imports``."""
+    to = resolved.where("target IS NOT NULL").select("file", "specifier", "target")
+    name = lambda file, method: F.concat_ws("#", file, method)
+    c = calls.where("kind <> 'unresolved'").join(to, ["file", "specifier"], "left").withColumn("at", F.when(F.col("kind") == "local", F.col("file")).otherwise(F.col("target"))).where("at IS NOT NULL")
+    edges = c.groupBy(name("file", "caller").alias("src"), name("at", "callee").alias("dst"), "kind").agg(F.sum("n").alias("n"))
+    known = found.select(name("file", "method").alias("id"), F.lit(0).alias("synthetic")).union(edges.select("dst", F.lit(1)))
+    return known.groupBy("id").agg((F.min("synthetic") == 1).alias("synthetic")), edges

@@ -29,7 +29,7 @@ export class Order{k} {
   open(id) { if (!id) { return; } for (const x of this.rows) { store.push(x, [1, 2]); } const y = id ?? "a,b(";
     const z = this.rows.filter((r) => r.id); return y; }
   bind() { Object.entries(this.handlers).forEach(([e, h]) => { eventBus.on(e, h, this); });
-    eventBus.once("{s}Ready", (m) => { load{p}(m); this.draw(m); }); }
+    eventBus.once("{s}Ready", (m) => { load{p}(m); this.draw(m); }); this.open(e); this.total.add(1); Alias.go(1); }
 }
 export const api{k} = { get kind() { return Kind{p}; }, other: Alias, local: Plain };
 """
@@ -59,6 +59,32 @@ def body_operations(spark, d):
     return s.groupBy("file", "o.type", "o.target", "o.detail", "o.flag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _methods(spark, d):
+    return B.methods(derived_bodies(spark, d))
+
+
+def _calls(spark, d):
+    names = _names(spark, d)
+    return B.method_calls(_methods(spark, d), names, B.field_types(_bare(spark, d), names))
+
+
+def body_methods(spark, d):
+    """Methods of the orders' classes and how long their bodies are."""
+    return _methods(spark, d).select("file", "method", "params", "line", F.length("body").alias("length"))
+
+
+def method_calls(spark, d):
+    """Calls of the orders' methods by kind."""
+    return _calls(spark, d).groupBy("caller", "callee", "owner", "kind").agg(F.sum("n").alias("n"))
+
+
+def method_graph(spark, d):
+    """Nodes of the graph of the orders' methods and the edges that end there."""
+    resolved = X.resolved_imports(X.facts(derived_bodies(spark, d), kinds=("import",)), table(spark, d, "orders").select(F.concat(F.lit("o/kinds/"), F.left("o_orderpriority", F.lit(1)), F.lit(".ts")).alias("file")).distinct())
+    found, edges = B.method_graph(_methods(spark, d), _calls(spark, d), resolved)
+    return found.join(edges.groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("calls")), "id", "left").select("id", "synthetic", F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
 def body_complexity(spark, d):
     """Counts, flows and complexity of each order's class."""
     return B.summaries(_bare(spark, d)).select("file", F.size("flows").alias("flows"), "branches", "loops", "calls", "complexity")
@@ -227,7 +253,7 @@ _OPS = (
     ("assignment", "'z'", "'this.rows.filter((r) => r.id)'", False), ("filter", "'this.rows'", "'(r) => r.id'", False), ("return", "''", "''", False), ("return", "''", "'y'", False), ("return", "''", "'Kind'||p", False),
     ("method_call", "'Object.entries'", "'this.handlers'", False), ("foreach", "'()'", "'([e, h]) => { eventBus.on(e, h, this); }'", False), ("method_call", "'eventBus.on'", "'e, h, this'", False),
     ("method_call", "'eventBus.once'", "CASE WHEN TRUE THEN left('\"'||s||'Ready\", (m) => { load'||p||'(m); this.draw(m); }', 47)||CASE WHEN length('\"'||s||'Ready\", (m) => { load'||p||'(m); this.draw(m); }') > 50 THEN '...' ELSE substr('\"'||s||'Ready\", (m) => { load'||p||'(m); this.draw(m); }', 48) END END", False),
-    ("method_call", "'global:load'||p", "'m'", False), ("method_call", "'this.draw'", "'m'", False), ("method_call", "'global:property'", "'{ type: Kind'||p||' }'", False),
+    ("method_call", "'global:load'||p", "'m'", False), ("method_call", "'this.draw'", "'m'", False), ("method_call", "'this.open'", "'e'", False), ("method_call", "'this.total.add'", "'1'", False), ("method_call", "'Alias.go'", "'1'", False), ("method_call", "'global:property'", "'{ type: Kind'||p||' }'", False),
     ("assignment", "'api'||k", "'{ get kind() { return Kind'||p", False),
 )
 _SQL_OPS = " UNION ALL ".join(f"SELECT file, '{t}' AS type, {target} AS target, {detail} AS detail, {str(flag).lower()} AS flag FROM b" for t, target, detail, flag in _OPS)
@@ -236,6 +262,16 @@ _A = f"{_O}, a AS (SELECT k, 'ui/c'||c||'.prefab' AS file, 'c'||c||'/o'||k AS no
 QUERIES = {
     "body_operations": (body_operations, f"WITH {_B}, x AS ({_SQL_OPS}) SELECT file, type, target, detail, flag, count(*) AS n FROM x GROUP BY ALL"),
     "body_complexity": (body_complexity, f"WITH {_B}, x AS ({_SQL_OPS}), g AS (SELECT file, CAST(count(*) FILTER (WHERE type IN ('assignment', 'filter')) AS INTEGER) AS flows, CAST(count(*) FILTER (WHERE type = 'condition') AS INTEGER) AS branches, CAST(count(*) FILTER (WHERE type = 'loop') AS INTEGER) AS loops, CAST(count(*) FILTER (WHERE type = 'method_call') AS INTEGER) AS calls FROM x GROUP BY 1) SELECT *, CASE WHEN branches + 2 * loops + 0.5 * calls <= 2 THEN 'low' WHEN branches + 2 * loops + 0.5 * calls <= 5 THEN 'medium' ELSE 'high' END AS complexity FROM g"),
+    "body_methods": (body_methods, f"""WITH {_B}, x AS (SELECT 'kind' AS method, '' AS params, 17 AS line, length(' return Kind'||p||'; ') AS length, file FROM b
+UNION ALL SELECT 'open', 'id', 12, length(' if (!id) {{ return; }} for (const x of this.rows) {{ store.push(x, [1, 2]); }} const y = id ?? "a,b(";
+    const z = this.rows.filter((r) => r.id); return y; '), file FROM b
+UNION ALL SELECT 'bind', '', 14, length(' Object.entries(this.handlers).forEach(([e, h]) => {{ eventBus.on(e, h, this); }});
+    eventBus.once("'||s||'Ready", (m) => {{ load'||p||'(m); this.draw(m); }}); this.open(e); this.total.add(1); Alias.go(1); '), file FROM b) SELECT file, method, params, line, CAST(length AS INTEGER) AS length FROM x"""),
+    "method_calls": (method_calls, f"""WITH {_B}, x AS (SELECT 'open' AS caller, 'push' AS callee, 'store' AS owner, 'unresolved' AS kind FROM b UNION ALL SELECT 'bind', 'entries', 'Object', 'unresolved' FROM b UNION ALL SELECT 'bind', 'on', 'eventBus', 'unresolved' FROM b
+UNION ALL SELECT 'bind', 'once', 'eventBus', 'unresolved' FROM b UNION ALL SELECT 'bind', 'load'||p, '', 'unresolved' FROM b UNION ALL SELECT 'bind', 'draw', 'this', 'unresolved' FROM b UNION ALL SELECT 'bind', 'open', 'this', 'local' FROM b
+UNION ALL SELECT 'bind', 'add', 'this.total', 'field' FROM b UNION ALL SELECT 'bind', 'go', 'Alias', 'imported' FROM b) SELECT *, count(*) AS n FROM x GROUP BY ALL"""),
+    "method_graph": (method_graph, f"""WITH {_B}, x AS (SELECT file||'#kind' AS id, false AS synthetic, 0 AS calls FROM b UNION ALL SELECT file||'#bind', false, 0 FROM b UNION ALL SELECT file||'#open', false, 1 FROM b
+UNION ALL SELECT 'o/kinds/'||p||'.ts#add', true, 1 FROM b UNION ALL SELECT 'o/kinds/'||p||'.ts#go', true, 1 FROM b) SELECT id, synthetic, CAST(sum(calls) AS BIGINT) AS calls FROM x GROUP BY 1, 2"""),
     "body_documentation": (body_documentation, f"WITH {_B} SELECT 'Order'||k AS name, 'Order '||k||' of the shop.' AS description, 'the '||s||' key' AS param, 'the row' AS returns, 'Promise<Row>' AS returns_type, 'Customer'||c AS see, false AS deprecated FROM b"),
     "body_snippets": (body_snippets, f"""WITH {_B}, t AS (SELECT *, 'return a; this.total = '||k||'; load'||p||'('||c||');'||CASE s WHEN 'F' THEN ' const finished = this.finish(rows, ids); this.finish(rows, ids);' ELSE '' END AS flat,
  CASE s WHEN 'F' THEN 'const finished = this.finish(rows, ids); ' ELSE '' END||'this.total = '||k||'; return a; load'||p||'('||c||')'||CASE s WHEN 'F' THEN '; finish(rows, ids)' ELSE '' END AS shown FROM b)

@@ -41,6 +41,23 @@ def test_operations(spark):
     assert {r.file: (r.calls, r.complexity) for r in bodies.summaries(rows).collect()} == {"a": (0, "low"), "b": (1, "low")}
 
 
+def test_methods_and_calls(spark):
+    text = "/* no() {} */\nfunction top(a,\n b) { return inner(a); }\nclass A {\n  item: Item;\n  run() { // stop() {}\n    top(1); this.run(); this.item.show(); lib(); lib.x.y(2); lib(); gone.z(); }\n}\nconst inner = async (x) => { top(x, 1); };\nconst no = (x) => x;\nfunction open() {"
+    files = spark.createDataFrame([("src/a.ts", text), ("b.ts", None), ("src/lib.ts", "")], "file string, text string")
+    found = bodies.methods(files)
+    assert {(r.method, r.params, r.line) for r in found.collect()} == {("top", "a, b", 2), ("run", "", 6), ("inner", "x", 9)}
+    names = spark.createDataFrame([("src/a.ts", "./lib", "lib", "default", "default"), ("src/a.ts", "./item", "Item", "Item", "named")], "file string, specifier string, identifier string, imported string, kind string")
+    calls = bodies.method_calls(found, names, bodies.field_types(files, names))
+    assert {(r.caller, r.owner, r.callee, r.kind, r.specifier, r.n) for r in calls.collect()} == {
+        ("top", "", "inner", "local", None, 1), ("inner", "", "top", "local", None, 1), ("run", "", "top", "local", None, 1), ("run", "this", "run", "local", None, 1), ("run", "this.item", "show", "field", "./item", 1),
+        ("run", "", "lib", "imported", "./lib", 2), ("run", "lib.x", "y", "imported", "./lib", 1), ("run", "gone", "z", "unresolved", None, 1),
+    }
+    resolved = spark.createDataFrame([("src/a.ts", "./lib", "src/lib.ts"), ("src/a.ts", "./item", None)], "file string, specifier string, target string")
+    nodes, edges = bodies.method_graph(found, calls, resolved)
+    assert {tuple(r) for r in nodes.collect()} == {("src/a.ts#top", False), ("src/a.ts#run", False), ("src/a.ts#inner", False), ("src/lib.ts#lib", True), ("src/lib.ts#y", True)}
+    assert ("src/a.ts#run", "src/lib.ts#lib", "imported", 2) in {tuple(r) for r in edges.collect()}
+
+
 def test_documentation(spark):
     text = "/** Does\n * it.\n * @deprecated\n * @param {a|b} x - the x\n * @param y\n * @example\n * f(1)\n * @since 2 */\nexport async function run() {}\n/***/\n"
     first, second = bodies.documentation(spark.createDataFrame([("f", text), ("g", None)], "file string, text string")).collect()
