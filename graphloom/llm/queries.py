@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, token_files, topk, toxicity
+from . import collocations, exact_dedup, mixing, near_dedup, packing, periodic_runs, quality, sentence_pieces, sharding, token_counts, token_files, topk, toxicity
 
-MODULES = [mixing, topk, toxicity, near_dedup, quality, sharding, exact_dedup, packing, token_counts, token_files]
+MODULES = [mixing, topk, toxicity, near_dedup, quality, sharding, exact_dedup, packing, token_counts, token_files, sentence_pieces, collocations, periodic_runs]
 
 
 def queries() -> dict:
