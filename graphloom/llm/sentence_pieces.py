@@ -24,9 +24,9 @@ from .tokens import vocabulary
 
 MARK = "▁"
 #: Characters that are encoded at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 #: Distinct words that a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Symbols of a segment above which pairs come from a heap.
 LONG = 2048
 _NONE = np.int32(2**31 - 1)
@@ -234,22 +234,37 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, with_decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids: one row per row of ``docs``; ``ids`` are little-endian unsigned 32-bit, with begin and end.
 
-    Null and empty texts have the two marks only; whole texts of any length are encoded, in memory proportional to the
-    longest; repeated rows are encoded each; doc_id may be null; an empty table gives an empty result.
+    ``with_decoded`` adds ``decoded`` as ``decode`` gives it, in the same pass. Null and empty texts have the two marks
+    only; whole texts of any length are encoded, in memory proportional to the longest; repeated rows are encoded each;
+    doc_id may be null; an empty table gives an empty result.
     """
     require(docs, "doc_id", "text")
     path = path or vocabulary("piece_bpe_32k.model")
 
+    def part(model: Pieces, doc_ids: list, texts: list) -> pa.RecordBatch:
+        ids = list(model.encode(texts))
+        columns = [pa.array(doc_ids, pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())]
+        more = [pa.array(map(model.decode, ids), pa.string())] if with_decoded else []
+        return pa.RecordBatch.from_arrays(columns + more, names=["doc_id", "n_tokens", "ids", "decoded"][: 3 + with_decoded])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            ids = list(model.encode(t.as_py() for t in batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            doc_ids, texts, chars = [], [], 0
+            for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                doc_ids.append(i.as_py())
+                texts.append(t.as_py() or "")
+                chars += len(texts[-1])
+                if chars >= AT_ONCE:
+                    yield part(model, doc_ids, texts)
+                    doc_ids, texts, chars = [], [], 0
+            yield part(model, doc_ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded string" * with_decoded
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -260,15 +275,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            raws = [i.as_py() for i in batch.column("ids")]
-            texts = [None if raw is None else model.decode(np.frombuffer(raw, "<u4")) for raw in raws]
+            texts = [None if raw.as_py() is None else model.decode(np.frombuffer(raw.as_py(), "<u4")) for raw in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op11_sentence_pieces(spark, sf_dir):
-    found = decode(encode(table(spark, sf_dir, "documents")))
+    found = encode(table(spark, sf_dir, "documents"), with_decoded=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
