@@ -129,7 +129,7 @@ def survivors(docs: DataFrame, parts: int, least: int, bits: int) -> DataFrame:
             order = np.argsort(part << np.uint64(32) | slot)
             part, slot, n = part[order].astype(np.int32), slot[order].astype("<u4"), n[order]
             first = np.flatnonzero(np.diff(part, prepend=-1))
-            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
+            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=False))
             yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array([slot[i:j].tobytes() for i, j in cuts], pa.binary()), pa.array([n[i:j].tobytes() for i, j in cuts], pa.binary())], names=["part", "slots", "counts"])
 
     def merge(arrived: pa.Table) -> pa.Table:

@@ -29,7 +29,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, featu
     """(label, features) of at most ``rows`` labelled documents.
 
     Only (doc_id, label) of the sample is sent to the documents, at most ``rows`` pairs; features are made where the
-    documents are read. Null labels and labels of no document are left out; of several labels the largest holds.
+    documents are read. Null labels and labels of no document are left out; of several labels the largest holds, and of
+    several documents with one doc_id that of the smallest hash of its text, so no more than ``rows`` reach the driver.
     """
     require(labels, "doc_id", label)
     picked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -41,10 +42,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, featu
             made = [x if isinstance(x, list) else [x] for x in made]
             cols = [[len(x) for x in made]] + [[b"".join(np.asarray(v[k], t).tobytes() for v in x) for x in made] for k, t in ((0, "<i4"), (1, "<f4"))]
             sizes = [[len(v[0]) for v in x] for x in made]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(sizes, pa.list_(pa.int32())), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["doc_id", "y", "sizes", "at", "value"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "y", "hash")), pa.array(sizes, pa.list_(pa.int32())), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["doc_id", "y", "hash", "sizes", "at", "value"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
-    found = joined.mapInArrow(run, "doc_id long, y int, sizes array<int>, at binary, value binary").collect()
+    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "y", F.xxhash64("text").alias("hash"), "text")
+    made = joined.mapInArrow(run, "doc_id long, y int, hash long, sizes array<int>, at binary, value binary")
+    found = made.groupBy("doc_id", "y").agg(F.min_by(F.struct("sizes", "at", "value"), "hash").alias("x")).select("doc_id", "y", "x.*").collect()
     out = []
     for r in sorted(found, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["at"])):
         cuts = np.cumsum(r["sizes"])[:-1]

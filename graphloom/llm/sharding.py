@@ -2,9 +2,9 @@
 
 Each group of equal texts is a vector of shares; vectors go, largest first, to the shard whose residual capacity has
 the highest dot product with them. A group stays whole unless it is above a quarter of a shard's share of bytes, tokens
-or rows; such a group is packed in pieces of at most about a sixteenth. What is packed is bounded whatever the input: a
-group above 1/HEAVY of a total is packed by itself (at most three times HEAVY of them), and all smaller groups are
-gathered by hash into CELLS items.
+or rows; such a group is packed in pieces of at most about a sixteenth. Groups above 1/HEAVY of a total (at most three
+times HEAVY of them) are packed first, in one place; all smaller ones, each by its own vector, are packed in tasks of
+about PACKED groups, and each task fills its share of the room that the large ones leave in every shard.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, require, table, written
 
-SHARDS, HEAVY, CELLS = 8, 2048, 8192
+SHARDS, HEAVY = 8, 2048
+#: Cells in which slots are counted, and groups that one task packs.
+CELLS, PACKED = 8192, 1 << 17
 #: A group above 1/WHOLE of a shard's share is cut into pieces of about 1/PIECE of it.
 WHOLE, PIECE = 4, 16
 #: Weight of bytes, tokens and rows in the dot product: the law is near-equal bytes.
@@ -25,26 +28,29 @@ DIMENSIONS = ("bytes", "tokens", "rows")
 IMPORTANCE = (16.0, 1.0, 1.0)
 
 
-def pack(vectors: np.ndarray, shards: int, importance: tuple = IMPORTANCE) -> np.ndarray:
+def pack(vectors: np.ndarray, shards: int, importance: tuple = IMPORTANCE, total: np.ndarray | None = None, residual: np.ndarray | None = None) -> np.ndarray:
     """The shard of each row of ``vectors`` (items x dimensions), largest first by the weighted share.
 
-    Residuals are counted against an equal split, so the highest dot product is the shard that lacks most of what the
-    item brings. Ties go to the lower shard.
+    Residuals are counted against an equal split of ``total`` (default: of these items), so the highest dot product is
+    the shard that lacks most of what the item brings; ``residual`` (default: all free) is what is left of each shard,
+    in these units, and is updated. Ties go to the lower shard.
     """
-    total = vectors.sum(axis=0).astype(float)
+    total = np.asarray(vectors.sum(axis=0) if total is None else total, dtype=float)
     share = vectors / np.where(total > 0, total, 1) * shards
     weights = np.asarray(importance)
-    residual, out = np.ones((shards, vectors.shape[1])), np.zeros(len(vectors), dtype=int)
+    residual = np.ones((shards, vectors.shape[1])) if residual is None else residual
+    out = np.zeros(len(vectors), dtype=int)
     for i in np.argsort(-(share * weights).sum(axis=1), kind="stable"):
         out[i] = s = int(np.argmax(residual @ (share[i] * weights)))
         residual[s] -= share[i]
     return out
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, size, tokens, text_crc32, group, mix: a row per document. Null texts are as empty ones.
 
-    ``mix`` deals rows of one group: by doc_id, and rows without one by their number.
+    ``mix`` deals the rows of one group: a number of the row, so that rows that repeat everything are dealt as well.
+    ``whole`` adds the document itself as ``row``.
     """
     require(docs, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -54,63 +60,88 @@ def measured(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("group"),
-        F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id")).alias("mix"),
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("mix"),
+        *[F.struct(*docs.columns).alias("row")] * whole,
     )
 
 
+def _placed(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (written) with group's cell, part and shard: parts of heavy groups, or -1."""
+    spark = rows.sparkSession
+    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "shard-groups")
+    count, *total = groups.agg(F.count(F.lit(1)), *[F.sum(c) for c in DIMENSIONS]).first()
+    total = [x or 0 for x in total]
+    share = F.greatest(*[F.col(c) / F.lit(float(max(t, 1))) for c, t in zip(DIMENSIONS, total, strict=True)])
+    pieces = F.when(F.col("share") * shards * WHOLE > 1, F.ceil(F.col("share") * shards * PIECE)).otherwise(1).cast("int")
+    # At most 3 * HEAVY rows of 16 bytes.
+    heavy = groups.select("group", share.alias("share")).where(F.col("share") > 1 / HEAVY)
+    heavy = heavy.select("group", pieces.alias("pieces"), (pieces * F.ceil(F.col("share") * CELLS / pieces)).cast("int").alias("parts"))
+    marked = rows.join(F.broadcast(heavy), "group", "left").withColumn("part", F.coalesce(F.pmod("mix", F.col("parts").cast("long")).cast("int"), F.lit(-1)))
+    loads = marked.where("part >= 0").groupBy("group", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.min("pieces").alias("pieces"), F.min("parts").alias("parts"))
+    # At most 3 * (CELLS + 3 * HEAVY * 2) rows reach the driver, whatever the input.
+    found = sorted(loads.collect(), key=lambda r: (r["group"], r["part"]))
+    items = [(r["group"], r["part"] * r["pieces"] // r["parts"]) for r in found]
+    vectors: dict = defaultdict(lambda: np.zeros(len(DIMENSIONS), dtype=np.int64))
+    for i, r in zip(items, found, strict=True):
+        vectors[i] += [r[c] for c in DIMENSIONS]
+    residual = np.ones((shards, len(DIMENSIONS)))
+    shard_of = dict(zip(vectors, pack(np.array(list(vectors.values())).reshape(-1, len(DIMENSIONS)), shards, total=total, residual=residual).tolist(), strict=True))
+    large = spark.createDataFrame([(r["group"], r["part"], shard_of[i]) for i, r in zip(items, found, strict=True)], "group long, part int, shard int")
+    packers = max(1, -(-count // PACKED))
+
+    def run(own: pa.Table) -> pa.Table:
+        names = own.column("group").to_numpy()
+        order = np.argsort(names, kind="stable")
+        v = np.stack([own.column(c).to_numpy() for c in DIMENSIONS], axis=1)[order]
+        mine = v.sum(axis=0) / np.where(np.asarray(total) > 0, total, 1) * shards
+        room = residual.sum(axis=0)
+        left = residual * np.where(room > 0, mine / np.where(room > 0, room, 1), 0)
+        return pa.table({"group": names[order], "shard": pa.array(pack(v, shards, total=total, residual=left), pa.int32())})
+
+    small = groups.join(F.broadcast(heavy.select("group")), "group", "left_anti").withColumn("packer", F.pmod(F.xxhash64("group"), F.lit(packers)))
+    small = small.groupBy("packer").applyInArrow(run, "group long, shard int")
+    few, many = marked.where("part >= 0"), marked.where("part < 0")
+    few = few.join(F.broadcast(large), ["group", "part"]).withColumn("cell", F.col("group"))
+    many = many.join(small, "group").withColumn("cell", F.pmod(F.col("group"), F.lit(CELLS)))
+    return few.unionByName(many)
+
+
+def _slotted(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with shard and slot, counted in cells of about 1/CELLS of a total, so no task holds a large group."""
+    placed = written(_placed(rows, shards), "shard-placed")
+    # At most CELLS for each shard and the parts of heavy groups.
+    cells = sorted(placed.groupBy("cell", "part", "shard").count().collect(), key=lambda r: (r["shard"], r["part"], r["cell"]))
+    plan, before = [], [0] * shards
+    for r in cells:
+        plan.append((r["cell"], r["part"], r["shard"], before[r["shard"]]))
+        before[r["shard"]] += r["count"]
+    plan = rows.sparkSession.createDataFrame(plan, "cell long, part int, shard int, first long")
+    inside = Window.partitionBy("cell", "part", "shard").orderBy("doc_id", "text_crc32", "mix")
+    return placed.join(F.broadcast(plan), ["cell", "part", "shard"]).withColumn("slot", F.col("first") + F.row_number().over(inside) - 1)
+
+
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, group, shard, slot: one row per row of ``docs``; slots are gapless from 0 in a shard.
 
     Equal texts stay together unless they are above 1/WHOLE of a shard's share of all bytes, tokens or rows; the pieces
-    of such a group are packed like groups. Rows without text have size 1 and are packed like others; repeated rows
-    count each; an empty table gives an empty result.
-
-    Slots are counted in cells of about 1/CELLS of a total, so no task holds a large group.
+    of such a group are packed like groups, and its rows are dealt by a number of their own, so rows that repeat doc_id
+    and text are spread too. Rows without text have size 1 and are packed like others; repeated rows count each; an
+    empty table gives an empty result.
     """
-    rows = written(measured(docs), "shard-rows")
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    groups = written(groups, "shard-groups")
-    total = groups.agg(*[F.sum(c).alias(c) for c in DIMENSIONS]).first()
-    share = F.greatest(*[F.col(c) / F.lit(float(max(total[c] or 0, 1))) for c in DIMENSIONS])
-    heavy = groups.select("group", share.alias("share")).where(F.col("share") > 1 / HEAVY)
-    pieces = F.when(F.col("share") * shards * WHOLE > 1, F.ceil(F.col("share") * shards * PIECE)).otherwise(1).cast("int")
-    # At most 3 * HEAVY rows of 16 bytes.
-    heavy = heavy.select("group", pieces.alias("pieces"), (pieces * F.ceil(F.col("share") * CELLS / pieces)).cast("int").alias("parts"))
-    placed = rows.join(F.broadcast(heavy), "group", "left").withColumn("part", F.coalesce(F.pmod("mix", F.col("parts").cast("long")).cast("int"), F.lit(-1)))
-    placed = placed.withColumn("cell", F.when(F.col("part") < 0, F.pmod(F.col("group"), F.lit(CELLS))).otherwise(F.col("group")))
-    loads = placed.groupBy("cell", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.min("pieces").alias("pieces"), F.min("parts").alias("parts"))
-    # At most CELLS and, of heavy groups, 3 * (CELLS + 3 * HEAVY * 2) rows reach the driver, whatever the input.
-    cells = sorted(loads.collect(), key=lambda r: (r["part"] >= 0, r["cell"], r["part"]))
-    item = [(r["cell"], -1 if r["part"] < 0 else r["part"] * r["pieces"] // r["parts"]) for r in cells]
-    vectors: dict = defaultdict(lambda: np.zeros(3, dtype=np.int64))
-    for i, r in zip(item, cells, strict=True):
-        vectors[i] += [r[c] for c in DIMENSIONS]
-    shard_of = dict(zip(vectors, pack(np.array(list(vectors.values())).reshape(-1, 3), shards).tolist(), strict=True))
-    before, plan = [0] * shards, []
-    for i, r in zip(item, cells, strict=True):
-        plan.append((r["cell"], r["part"], shard_of[i], before[shard_of[i]]))
-        before[shard_of[i]] += r["rows"]
-    plan = docs.sparkSession.createDataFrame(plan, "cell long, part int, shard int, first long")
-    inside = Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")
-    slot = (F.col("first") + F.row_number().over(inside) - 1).alias("slot")
-    return placed.join(F.broadcast(plan), ["cell", "part"]).select("doc_id", "size", "text_crc32", "group", "shard", slot)
+    return _slotted(written(measured(docs), "shard-rows"), shards).select("doc_id", "size", "text_crc32", "group", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
     """Writes the documents with their shard as Parquet folders ``shard=0`` to ``shard=N``; returns the assignment.
 
-    If documents have a column ``shard``, the folders are called ``shard_`` (and so on). Rows that repeat doc_id and
-    text go to one of their shards together.
+    If documents have a column ``shard``, the folders are called ``shard_`` (and so on).
     """
-    found = written(assign(docs, shards), "shards")
-    plan = found.groupBy(F.col("doc_id").alias("__gl_id"), F.col("text_crc32").alias("__gl_crc")).agg(F.min("shard").alias("__gl_shard"))
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    found = written(_slotted(written(measured(docs, whole=True), "shard-rows"), shards), "shards")
     name = "shard"
     while name in [c.lower() for c in docs.columns]:
         name += "_"
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__gl_id")) & (crc == F.col("__gl_crc")))
-    joined.select(*docs.columns, F.col("__gl_shard").alias(name)).write.partitionBy(name).parquet(path)
-    return found
+    found.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return found.select("doc_id", "size", "text_crc32", "group", "shard", "slot")
 
 
 def op6_sharding(spark, sf_dir):

@@ -35,6 +35,7 @@ class Counter:
         for piece, score in pieces.items():
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
+        self.longest = max(map(len, pieces))
         self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
 
@@ -45,21 +46,28 @@ class Counter:
         return self._part(MARK + word)
 
     def _part(self, text: str) -> int:
-        found: list[list] = [[] for _ in text]
-        for last, (length, score) in self.matches.iter(text):
-            found[last].append((last + 1 - length, score))
-        score, count, unknown = [0.0] * (len(text) + 1), [0] * (len(text) + 1), [False] * (len(text) + 1)
+        # No piece reaches back further than the longest: scores and counts lie in a ring of one place more.
+        ring = self.longest + 1
+        score, count, unknown = [0.0] * ring, [0] * ring, False
+        matches = self.matches.iter(text)
+        last, match = next(matches, (-1, None))
         for end in range(1, len(text) + 1):
-            best, single = None, False
-            for begin, s in sorted(found[end - 1]):
-                if best is None or score[begin] + s > best:
-                    best, count[end], unknown[end] = score[begin] + s, count[begin] + 1, False
+            found = []
+            while last == end - 1:
+                found.append((end - match[0], match[1]))
+                last, match = next(matches, (-1, None))
+            best, n, single, known = None, 0, False, unknown
+            unknown = False
+            for begin, s in sorted(found):
+                if best is None or score[begin % ring] + s > best:
+                    best, n = score[begin % ring] + s, count[begin % ring] + 1
                 single |= begin == end - 1
             # A character's unknown candidate begins at it, after all longer pieces that end here.
-            if not single and (best is None or score[end - 1] + self.unknown > best):
-                best, count[end], unknown[end] = score[end - 1] + self.unknown, count[end - 1] + (not unknown[end - 1]), True
-            score[end] = best
-        return count[-1]
+            before = (end - 1) % ring
+            if not single and (best is None or score[before] + self.unknown > best):
+                best, n, unknown = score[before] + self.unknown, count[before] + (not known), True
+            score[end % ring], count[end % ring] = best, n
+        return count[len(text) % ring]
 
     def text(self, text: str | None) -> int:
         total, known = 0, self.known
@@ -95,8 +103,8 @@ def pieces_of(path: str) -> dict[str, float]:
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_words, n_tokens: one row per row of ``docs``, over whole texts.
 
-    Null and empty texts have 0; a word of any length is counted whole, in memory proportional to it; repeated rows
-    are counted each; an empty table gives an empty result.
+    Null and empty texts have 0; a word of any length is counted whole, with scores held for the length of a piece
+    only; repeated rows are counted each; an empty table gives an empty result.
     """
     require(docs, "doc_id", "text")
     path = path or vocabulary("piece_bpe_32k.model")
