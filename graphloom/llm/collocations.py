@@ -28,7 +28,7 @@ LEAST, WORDS, INSIDE = 10, 3, 50
 #: Phrases reported per language.
 TOP = 2000
 #: Bytes of text whose phrases a task counts at once, and bytes of text per hash partition.
-CHUNK, SHARE = 1 << 24, 1 << 25
+CHUNK, SHARE = 1 << 23, 1 << 24
 #: Bits of the filter in all, and of one partition's part of it at most.
 FILTER, SLICE = 1 << 28, 1 << 23
 #: Ways a part that occurs in many phrases is dealt.
@@ -167,7 +167,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Slices of 64 bits are the smallest, so the filter stays within its bound.
     parts = min(max(1, -(-size // SHARE)), FILTER // 64)
-    bits = min(FILTER // parts, SLICE)
+    bits = min(FILTER // parts, SLICE) // 8 * 8
     marks = np.zeros((parts, bits // 8), dtype=np.uint8)
     # FILTER / 8 bytes at most (32 MB), whatever the input.
     for r in survivors(docs, parts, least, bits).toLocalIterator():
@@ -192,6 +192,10 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= least))
 
 
+def _salt():
+    return F.expr(f"pmod(xxhash64(phrase), {SALT})").cast("int")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE) -> DataFrame:
     """lang, phrase, a, l, r, n, score of all phrases of 2 and 3 words that occur ``least`` times or more.
 
@@ -207,7 +211,7 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE) -> D
     # Parts such as an article are in many phrases: they are dealt SALT ways, and counts are held ready in each.
     salted = counts.where("size > 0").select("lang", F.col("phrase").alias("part"), "n", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
     cuts = phrases.select("lang", "phrase", "size", "a", F.explode(F.expr("sequence(1, size - 1)")).alias("k"))
-    cuts = cuts.select("*", F.expr("substring_index(phrase, ' ', k)").alias("first"), F.expr("substring_index(phrase, ' ', k - size)").alias("rest"), F.expr(f"pmod(xxhash64(phrase), {SALT})").cast("int").alias("salt"))
+    cuts = cuts.select("*", F.expr("substring_index(phrase, ' ', k)").alias("first"), F.expr("substring_index(phrase, ' ', k - size)").alias("rest"), _salt().alias("salt"))
     for side, name in (("first", "l"), ("rest", "r")):
         cuts = cuts.join(salted.withColumnsRenamed({"part": side, "n": name}), ["lang", side, "salt"])
     score = F.expr("(cast(1000000 as decimal(38,0)) * cast(a as decimal(20,0)) * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) * cast(r as decimal(20,0)))")
@@ -215,16 +219,17 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE) -> D
     held = phrases.where("size = 3").select("lang", "a", F.explode(F.array(F.expr("substring_index(phrase, ' ', 2)"), F.expr("substring_index(phrase, ' ', -2)"))).alias("phrase"))
     held = held.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     left = lowest.join(held, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("cut.a")))
-    # One row per language.
-    left = left.join(words, F.col("lang") == F.col("lang_"))
+    # One row per language, held ready in each of the ways that its phrases are dealt.
+    words = words.withColumn("salt_", F.explode(F.array(*map(F.lit, range(SALT)))))
+    left = left.join(words, (F.col("lang") == F.col("lang_")) & (_salt() == F.col("salt_")))
     return left.select("lang", "phrase", "cut.a", "cut.l", "cut.r", F.col("words").alias("n"), "cut.score")
 
 
 def ranked(found: DataFrame, top: int = TOP) -> DataFrame:
     """Each language's first ``top`` phrases by score, then a, descending, then phrase; ``rank`` from 1."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # First among those of a hash, so that no task sorts a whole language.
-    some = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.expr("pmod(xxhash64(phrase), 64)")).orderBy(*order))).where(F.col("rank") <= top).drop("rank")
+    # First among those of a hash, so that no task sorts a whole language; SALT * top rows of one are left at most.
+    some = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", _salt()).orderBy(*order))).where(F.col("rank") <= top).drop("rank")
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
