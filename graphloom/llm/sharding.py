@@ -2,7 +2,7 @@
 
 Each group of equal texts is a vector of shares; vectors go, largest first, to the shard whose residual capacity has
 the highest dot product with them. A group stays whole unless it is above a quarter of a shard's share of bytes, tokens
-or rows; such a group is packed in pieces of at most about a sixteenth. Groups above 1/HEAVY of a total (at most three
+or rows; such a group is packed in pieces of about a 64th. Groups above 1/HEAVY of a total (at most three
 times HEAVY of them) are packed first, in one place; all smaller ones, each by its own vector, are packed in tasks of
 about PACKED groups, and each task fills its share of the room that the large ones leave in every shard.
 """
@@ -22,7 +22,7 @@ SHARDS, HEAVY = 8, 2048
 #: Cells in which slots are counted, and groups that one task packs.
 CELLS, PACKED = 8192, 1 << 17
 #: A group above 1/WHOLE of a shard's share is cut into pieces of about 1/PIECE of it.
-WHOLE, PIECE = 4, 16
+WHOLE, PIECE = 4, 64
 #: Weight of bytes, tokens and rows in the dot product: the law is near-equal bytes.
 DIMENSIONS = ("bytes", "tokens", "rows")
 IMPORTANCE = (16.0, 1.0, 1.0)
@@ -78,7 +78,7 @@ def _placed(rows: DataFrame, shards: int) -> DataFrame:
     heavy = heavy.select("group", pieces.alias("pieces"), (pieces * F.ceil(F.col("share") * CELLS / pieces)).cast("int").alias("parts"))
     marked = rows.join(F.broadcast(heavy), "group", "left").withColumn("part", F.coalesce(F.pmod("mix", F.col("parts").cast("long")).cast("int"), F.lit(-1)))
     loads = marked.where("part >= 0").groupBy("group", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.min("pieces").alias("pieces"), F.min("parts").alias("parts"))
-    # At most 3 * (CELLS + 3 * HEAVY * 2) rows reach the driver, whatever the input.
+    # At most 3 * (CELLS + SHARDS * PIECE + 3 * HEAVY) rows reach the driver, whatever the input.
     found = sorted(loads.collect(), key=lambda r: (r["group"], r["part"]))
     items = [(r["group"], r["part"] * r["pieces"] // r["parts"]) for r in found]
     vectors: dict = defaultdict(lambda: np.zeros(len(DIMENSIONS), dtype=np.int64))
