@@ -116,6 +116,14 @@ def glob_pattern(glob: str) -> str:
     return "^" + "".join(parts.get(t) or re.escape(t) for t in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]", glob)) + "$"
 
 
+def glob_column(glob: Column) -> Column:
+    """As ``glob_pattern``, for globs in a column; '[...]' is a set of characters."""
+    p = F.regexp_replace(glob, r"([.+^$(){}|\\])", r"\\$1")
+    for a, b in ((r"\*\*/", "\x01"), (r"\*\*", "\x02"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\x01", "(?:.*/)?"), ("\x02", ".*")):
+        p = F.regexp_replace(p, a, b)
+    return F.concat(F.lit("^"), p, F.lit("$"))
+
+
 def any_glob(c: Column, globs: list[str]) -> Column:
     """Equality with, or a match of, any of the globs."""
     found = F.lit(False)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import data_access, degrees, traverse
-from .search import score_nodes, top
+from ..sources.storage import written
+from .graph import data_access, degrees, edges_from, steps, walk
+from .search import score_nodes, suffix_matches, top
 from .selectors import meta
 
 #: Meta keys that a compact node keeps.
@@ -95,17 +96,18 @@ def changed_features(features: DataFrame, changed: DataFrame, related: DataFrame
     A feature is touched directly by a changed file below one of its specific roots or that is its evidence: 100. Each
     touched root counts 10 and each evidence 12 a file; for what is only related, 20 at most.
 
-    Files meet features by equality of keys: a root with each folder above a file, evidence by the last part of paths.
+    Files meet features by equality of keys: a root with each folder above a file, evidence by what paths end with.
     """
     roots = features.select("key", F.explode("roots").alias("root")).where(T.specific_root(F.col("root"))).select("key", F.regexp_replace(T.normal(F.col("root")), "/+$", "").alias("at"))
-    proofs = features.select("key", F.explode("evidence.file").alias("proof")).where("proof <> ''").select("key", "proof", F.substring_index(T.normal(F.col("proof")), "/", -1).alias("leaf"))
+    proofs = features.select("key", F.explode("evidence.file").alias("proof")).where("proof <> ''").select("key", T.normal(F.col("proof")).alias("proof")).distinct()
 
     def hits(files: DataFrame) -> DataFrame:
         f = files.select("file").where("file <> ''").distinct()
         parts = F.split(T.normal(F.col("file")), "/")
         above = f.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("at"))
         by_root = above.join(roots, "at").select("key", "file").distinct().withColumn("points", F.lit(10))
-        by_proof = f.withColumn("leaf", F.substring_index(T.normal(F.col("file")), "/", -1)).join(proofs, "leaf").where(T.ends_like(F.col("proof"), F.col("file"))).select("key", "file").distinct().withColumn("points", F.lit(12))
+        paths = f.select("file", T.normal(F.col("file")).alias("path")).where("path <> ''")
+        by_proof = suffix_matches(proofs, paths, "proof", "path").select("key", "file").distinct().withColumn("points", F.lit(12))
         return by_root.union(by_proof).groupBy("key").agg(F.sum("points").alias("points"))
 
     own, near = hits(changed), hits(related)
@@ -117,20 +119,18 @@ def changed_features(features: DataFrame, changed: DataFrame, related: DataFrame
 
 
 def matched_nodes(nodes: DataFrame, changed: DataFrame) -> DataFrame:
-    """The nodes whose file a changed file (file) is or ends like; joined by the last part of the paths."""
-    leaf = lambda c: F.substring_index(T.normal(F.col(c)), "/", -1).alias("_leaf")
-    c = changed.select(F.col("file").alias("_changed"), leaf("file")).where("_leaf <> ''").distinct()
-    hit = nodes.select("id", "file", leaf("file")).join(c, "_leaf").where(T.ends_like(F.col("file"), F.col("_changed"))).select("id").distinct()
+    """The nodes whose file a changed file (file) is or ends like, whatever its case; joined by what paths end with."""
+    c = changed.select(T.normal(F.col("file")).alias("_changed")).where("_changed <> ''").distinct()
+    hit = suffix_matches(nodes.select("id", T.normal(F.col("file")).alias("_file")).where("_file <> ''"), c, "_file", "_changed").select("id").distinct()
     return nodes.join(hit, "id", "left_semi")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """(related nodes with ``matched``, traversed edges) of changed files, both ways."""
-    matched = matched_nodes(nodes, changed).select("id").distinct()
-    found = traverse(edges, matched, depth, "both")
-    ids = matched.withColumn("matched", F.lit(True)).union(found.select(F.explode(F.array("src", "dst")).alias("id"), F.lit(False).alias("matched")))
-    related = nodes.join(ids.groupBy("id").agg(F.max("matched").alias("matched")), "id")
-    return related, found
+    step = steps(edges, "both")
+    near = walk(step, matched_nodes(nodes, changed).select("id"), depth)
+    related = nodes.join(near.select("id", (F.col("depth") == 0).alias("matched")), "id")
+    return related, edges_from(step, near, depth).select("depth", "direction", *edges.columns)
 
 
 def risk(related: DataFrame, found: DataFrame) -> DataFrame:
@@ -141,11 +141,55 @@ def risk(related: DataFrame, found: DataFrame) -> DataFrame:
     return every.agg(F.max(place).alias("n")).select(F.when(F.col("n") == 3, "high").when(F.col("n") == 2, "medium").when(F.col("n") == 1, "low").otherwise("unknown").alias("level"))
 
 
+def impact_report(nodes: DataFrame, edges: DataFrame, features: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
+    """section, name, n: one answer on changed files (file) (R5): types of the nodes they match and of those related,
+    touched features with their scores, and the highest risk that any related word tells (X33)."""
+    related, found = impact(nodes, edges, changed, depth)
+    related = written(related, "impact-related")
+    count = lambda df, section: df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(section).alias("section"), F.col("type").alias("name"), "n")
+    touched = changed_features(features, changed, related.select("file")).select(F.lit("features").alias("section"), F.col("key").alias("name"), F.col("score").cast("long").alias("n"))
+    level = risk(related, found).select(F.lit("risk").alias("section"), F.col("level").alias("name"), F.lit(1).cast("long").alias("n"))
+    return count(related.where("matched"), "matched").unionByName(count(related, "related")).unionByName(touched).unionByName(level)
+
+
+def relevant_rules(rules: DataFrame, words: list[str], files: list[str] = (), k: int = 8) -> DataFrame:
+    """id, title, score of the best rules (id, title, body, category, tags, files) for terms and files.
+
+    A term in any of a rule's texts counts 6 with a slash, else 3; a file 8. Ties go by title, then id. Terms and files
+    are those of one task, so the sum is one expression per rule.
+    """
+    some = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
+    text = F.lower(F.concat_ws(" ", "title", "body", "category", some("tags"), some("files")))
+    score = F.lit(0)
+    for points, asked in ((3, words), (8, files)):
+        for w in (x.strip().lower() for x in asked):
+            if w:
+                score = score + F.when(F.contains(text, F.lit(w)), 6 if points == 3 and "/" in w else points).otherwise(0)
+    return rules.select("id", "title", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "title", "id").limit(k)
+
+
+#: How many values of each kind a summary of recalled records keeps.
+SUMMARISED = {"files": 16, "validation": 12, "observations": 16}
+
+
+def recall_summary(best: DataFrame) -> DataFrame:
+    """section, place, value, n of recalled records (place, files, validation, observations) (R11, A9): files and
+    validations by how often they occur, observations in order of appearance."""
+    each = None
+    for section in SUMMARISED:
+        rows = best.select(F.lit(section).alias("section"), "place", F.explode(section).alias("value"))
+        each = rows if each is None else each.union(rows)
+    g = each.where("value <> ''").groupBy("section", "value").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    order = F.when(F.col("section") == "observations", F.col("first")).otherwise(-F.col("n"))
+    g = g.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy(order, "value")))
+    most = F.coalesce(*[F.when(F.col("section") == s, F.lit(n)) for s, n in SUMMARISED.items()])
+    return g.where(F.col("place") <= most).select("section", "place", "value", "n")
+
+
 def task_context(nodes: DataFrame, edges: DataFrame, words: list[str], k: int = 8, depth: int = 4, most: int = 12) -> DataFrame:
     """type, place, id, name, score, start: the best nodes of a task, and what lies near them, the first of each type."""
     best = top(score_nodes(nodes, words), k, "name", "id").select("id", "score")
-    found = traverse(edges, best, depth, "both")
-    near = found.select(F.explode(F.array("src", "dst")).alias("id")).union(best.select("id")).distinct()
+    near = walk(steps(edges, "both"), best, depth).select("id")
     rows = nodes.select("id", "type", "name").join(near, "id", "left_semi").join(F.broadcast(best), "id", "left")  # k rows
     place = F.row_number().over(Window.partitionBy("type").orderBy(F.desc_nulls_last("score"), "name", "id"))
     return rows.withColumn("place", place).where(F.col("place") <= most).select("type", "place", "id", "name", F.coalesce("score", F.lit(0)).alias("score"), F.col("score").isNotNull().alias("start"))
@@ -160,6 +204,57 @@ def feature_card(nodes: DataFrame, edges: DataFrame, most: int = 16) -> DataFram
     return types.unionByName(methods).unionByName(tables).withColumn("place", place).where(F.col("place") <= most).select("section", "place", "id", "name", F.col("n").cast("long").alias("n"))
 
 
+def flows(members: DataFrame, edges: DataFrame, depth: int = 3, leading: int = 4, otherwise: int = 3, most: int = 12) -> DataFrame:
+    """feature, start, place, depth, src, dst, type: the first edges below the leading nodes of every feature.
+
+    ``members``: feature, id, type and place (the order of the feature's nodes); ``edges`` have a column ``feature`` too.
+    A feature's flows begin at its first ``leading`` endpoints or requests, else at its first ``otherwise`` methods. All
+    starts of all features go forward in one join a level, each within its own feature.
+    """
+    first = lambda df, n: df.withColumn("start_place", F.row_number().over(Window.partitionBy("feature").orderBy("place", "id"))).where(F.col("start_place") <= n)
+    entries = first(members.where(F.col("type").isin("endpoint", "request")), leading)
+    methods = first(members.where("type = 'method'"), otherwise).join(entries.select("feature"), "feature", "left_anti")
+    starts = entries.unionByName(methods).select("feature", F.col("id").alias("start"), "id")
+    step, keys = steps(edges), ("feature", "start")
+    near = walk(step, starts, depth - 1, keys, ("feature",))
+    found = edges_from(step, near, depth, keys, ("feature",)).select(*keys, "depth", "src", "dst", "type").distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("depth", "src", "type", "dst"))
+    return found.withColumn("place", place).where(F.col("place") <= most).select(*keys, "place", "depth", "src", "dst", "type")
+
+
+#: Fixed value: names and files of methods that touch a boundary of security.
+SECURITY = r"(?i)auth|session|token|encrypt|decrypt"
+
+
+def feature_cards(members: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
+    """feature, section, place, id, name, n of every feature at once (R4, G15, G16): its nodes and edges in all and by
+    type, its methods by degree, its tables by access, its services, and what to watch in an edit.
+
+    ``members``: feature, id, type, name, file, place; ``edges`` with ``feature``. Risks are of the sections themselves:
+    routes, models (named after users, or others), services, and core methods or their files that name a boundary.
+    """
+    count = F.count(F.lit(1)).alias("n")
+    row = lambda df, section, id, name, n="n": df.select("feature", F.lit(section).alias("section"), id.alias("id"), name.alias("name"), F.col(n).cast("long").alias("n"))
+    types = row(members.groupBy("feature", "type").agg(count), "types", F.col("type"), F.col("type"))
+    counts = row(members.groupBy("feature").agg(count), "counts", F.lit("nodes"), F.lit("nodes")).unionByName(row(edges.groupBy("feature").agg(count), "counts", F.lit("edges"), F.lit("edges")))
+    ends = edges.select("feature", F.explode(F.array("src", "dst")).alias("id")).groupBy("feature", "id").agg(count)
+    place = lambda *order: F.row_number().over(Window.partitionBy("feature", "section").orderBy(*order))
+    first = lambda df: df.withColumn("place", place(F.desc("n"), "name", "id")).where(F.col("place") <= most)
+    methods = first(row(members.where("type = 'method'").join(ends, ["feature", "id"]), "core-methods", F.col("id"), F.col("name")))
+    access = edges.where("type IN ('reads', 'writes')").groupBy("feature", F.col("dst").alias("id")).agg(count)
+    tables = first(row(access.join(members.where("type = 'table'").select("feature", "id", "name"), ["feature", "id"]), "tables", F.col("id"), F.col("name")))
+    services = members.where("type = 'external-service'").groupBy("feature", "name").agg(F.min("id").alias("id"), count)
+    services = first(row(services, "services", F.col("id"), F.col("name")))
+    files = methods.join(members.select("feature", "id", "file"), ["feature", "id"])
+    has = members.groupBy("feature").agg(F.bool_or(F.col("type") == "endpoint").alias("routes"), F.bool_or((F.col("type") == "table") & F.contains(F.lower("name"), F.lit("user"))).alias("users"), F.bool_or(F.col("type") == "table").alias("models"), F.bool_or(F.col("type") == "external-service").alias("services"))
+    guarded = files.groupBy("feature").agg(F.bool_or(F.concat_ws(" ", "name", "file").rlike(SECURITY)).alias("guarded"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    risks = F.array_compact(F.array(F.when(yes("routes"), "routes"), F.when(yes("users"), "user-models").when(yes("models"), "models"), F.when(yes("services"), "services"), F.when(yes("guarded"), "security")))
+    risks = has.join(guarded, "feature", "left").select("feature", F.explode(F.when(F.size(risks) > 0, risks).otherwise(F.array(F.lit("none")))).alias("risk"), F.lit(1).alias("n"))
+    rest = types.unionByName(counts).unionByName(row(risks, "risks", F.col("risk"), F.col("risk"))).withColumn("place", place(F.desc("n"), "name"))
+    return rest.unionByName(methods).unionByName(tables).unionByName(services).select("feature", "section", "place", "id", "name", "n")
+
+
 def access_entries(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """table, entries: who reads and writes each table, sorted by method, operation and depth."""
     access = found.where(F.col("type").isin("reads", "writes")).select(F.col("dst").alias("table"), F.col("src").alias("method"), "type", "operation", "depth").distinct()

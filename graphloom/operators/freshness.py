@@ -25,6 +25,32 @@ def status(changes: DataFrame) -> DataFrame:
     return g.withColumn("status", F.when(F.col("added") + F.col("deleted") + F.col("changed") > 0, "stale").otherwise("fresh"))
 
 
+#: Why a table is not fresh, in this order.
+REASONS = ("missing-kb", "missing-kb-config", "missing-source-snapshot", "source-snapshot-version-unsupported", "source-files-added", "source-files-deleted", "source-files-changed", "tool-version-changed")
+
+
+def states(tables: DataFrame, changes: DataFrame, tool: str = "") -> DataFrame:
+    """key, status, stale, reasons, action of knowledge tables (V3): missing, unknown, stale or fresh.
+
+    ``tables``: key, built (boolean), configured (boolean), snapshot (the version of its snapshot, null if it has none),
+    tool (the version it was built with); ``changes``: key, path, change as ``diff`` gives it. One that was never built is
+    missing. Without its configuration, without a snapshot, or with one of another version than ``VERSION``, it is
+    unknown; else it is stale if a file was added, deleted or changed. One built by another version than ``tool``, if both
+    are told, is stale in any case.
+    """
+    g = changes.groupBy("key").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "deleted", "changed")])
+    j = tables.join(g, "key", "left")
+    has = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    built, configured = F.coalesce("built", F.lit(False)), F.coalesce("configured", F.lit(False))
+    known = built & configured & F.col("snapshot").eqNullSafe(VERSION)
+    other = built & F.lit(tool != "") & (F.coalesce("tool", F.lit("")) != "") & (F.coalesce("tool", F.lit("")) != tool)
+    tests = (~built, built & ~configured, built & configured & F.col("snapshot").isNull(), built & configured & (F.coalesce("snapshot", F.lit(VERSION)) != VERSION), known & has("added"), known & has("deleted"), known & has("changed"), other)
+    reasons = F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS, strict=True)]))
+    source = F.when(~built, "missing").when(~known, "unknown").when(has("added") | has("deleted") | has("changed"), "stale").otherwise("fresh")
+    found = j.select("key", F.when(other, "stale").otherwise(source).alias("status"), reasons.alias("reasons"))
+    return found.select("key", "status", (F.col("status") != "fresh").alias("stale"), "reasons", F.when(F.col("status") == "fresh", "").otherwise("rebuild").alias("action"))
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
     """bucket, files, fingerprint: hashes of the sorted signatures in 4096 buckets by path, whose hash is the whole's.
 

@@ -18,33 +18,53 @@ def depth_policy(depth: int | None, focus: str | None = None) -> int:
     return max(d, DEPTH_FULL) if focus == "fullstack" else d
 
 
+_SIDES = {"downstream": ("src", "dst"), "upstream": ("dst", "src")}
+
+
+def steps(edges: DataFrame, direction: str = "downstream") -> DataFrame:
+    """The edges with ``direction``, ``from_id`` and ``to_id``; both ways, each edge is there twice."""
+    chosen = list(_SIDES) if direction == "both" else [direction]
+    each = [edges.withColumn("direction", F.lit(d)).withColumn("from_id", F.col(_SIDES[d][0])).withColumn("to_id", F.col(_SIDES[d][1])) for d in chosen]
+    return each[0] if len(each) == 1 else each[0].unionByName(each[1])
+
+
+def walk(step: DataFrame, starts: DataFrame, depth: int | None, keys: tuple = (), within: tuple = ()) -> DataFrame:
+    """``keys``, id, depth: the nodes at most ``depth`` steps (from_id, to_id; None: any number) from the starts of the same
+    keys, each at its least depth (G1, G2).
+
+    The frontier is made of (keys, node), so any number of sets of starts goes forward in one join a level. Steps that
+    have the columns ``within``, which are some of the keys, are taken by sets of the same values only. What is carried
+    are nodes, not edges; the steps' ends are written once and read at each level, and each level is written, so
+    lineage stays short and AQE picks the join by the frontier's real size.
+    """
+    on = [*keys, "id"]
+    seen = frontier = written(starts.select(*on).distinct().withColumn("depth", F.lit(0)), "walk-0")
+    ends = step.select(*within, "from_id", "to_id")
+    if depth is None or depth > 1:
+        ends = written(ends, "steps")
+    for d in count(1) if depth is None else range(1, depth + 1):
+        reached = ends.join(frontier.select(*keys, F.col("id").alias("from_id")), [*within, "from_id"]).select(*keys, F.col("to_id").alias("id")).distinct()
+        frontier = written(reached.join(seen.select(*on), on, "left_anti").withColumn("depth", F.lit(d)), f"walk-{d}")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def edges_from(step: DataFrame, near: DataFrame, depth: int, keys: tuple = (), within: tuple = ()) -> DataFrame:
+    """The steps out of walked nodes that are nearer than ``depth``, each once, with the keys and their own depth from 1."""
+    nodes = near.where(F.col("depth") < depth).select(*keys, F.col("id").alias("from_id"), (F.col("depth") + 1).alias("depth"))
+    return step.join(nodes, [*within, "from_id"]).distinct()
+
+
 def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "downstream") -> DataFrame:
     """depth, direction and the edge's columns: breadth-first from ``starts`` (id).
 
     Every node nearer than ``depth`` gives out each of its edges once, also those back to nodes seen before; ``edges``
-    may repeat rows, which are dropped after the join, where few are left. One join per level between the frontier and
-    the edges; each level is written to shared storage, so lineage stays short and AQE picks the join by the frontier's
-    real size.
+    may repeat rows, which are dropped after the join, where few are left.
     """
-    own = edges.columns
-    sides = {"downstream": ("src", "dst"), "upstream": ("dst", "src")}
-    chosen = ["downstream", "upstream"] if direction == "both" else [direction]
-    steps = [edges.withColumn("direction", F.lit(d)).withColumn("from_id", F.col(sides[d][0])).withColumn("to_id", F.col(sides[d][1])) for d in chosen]
-    step = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-    seen = frontier = starts.select("id").distinct()
-    levels = []
-    for d in range(1, depth + 1):
-        level = written(step.join(frontier.withColumnRenamed("id", "from_id"), "from_id").distinct().withColumn("depth", F.lit(d)), f"bfs-{d}")
-        levels.append(level)
-        if d < depth:
-            frontier = written(level.select(F.col("to_id").alias("id")).distinct().join(seen, "id", "left_anti"), f"frontier-{d}")
-            if frontier.isEmpty():
-                break
-            seen = seen.union(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out.select("depth", "direction", *own)
+    step = steps(edges, direction)
+    return edges_from(step, walk(step, starts, depth - 1), depth).select("depth", "direction", *edges.columns)
 
 
 def data_access(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -126,18 +146,19 @@ def effective(calls: DataFrame, requests: DataFrame, depth: int | None = None) -
     return reach.join(requests.select("script", F.col("method").alias("via_method"), "request"), ["script", "via_method"]).select("script", "method", "via_method", "request").distinct()
 
 
-def node_paths(tree: DataFrame, rounds: int = 6) -> DataFrame:
-    """id, path, depth: the names from the root to each node of (id, parent, name), joined by '/' (E27).
+def node_paths(tree: DataFrame, keys: tuple = ()) -> DataFrame:
+    """``keys``, id, path, depth: the names from the root to each node of (keys, id, parent, name), joined by '/' (E27).
 
     Each round doubles the part of the way that is known, so a tree of depth d takes log2(d) joins by id. An unknown
-    parent is as none. A chain longer than 2 ** ``rounds``, as a cycle is, fails the query instead of being cut.
+    parent is as none. After as many rounds as any chain of these nodes could take, what is left is a circle, which fails
+    the query.
     """
-    known = tree.select("id", F.col("parent").alias("up"), F.coalesce("name", F.lit("")).alias("path"), F.lit(1).alias("depth"))
-    for _ in range(rounds + 1):
-        known = written(known, "node-paths")
+    on = [*keys, "id"]
+    known = written(tree.select(*on, F.col("parent").alias("up"), F.coalesce("name", F.lit("")).alias("path"), F.lit(1).alias("depth")), "node-paths")
+    for _ in range(known.count().bit_length() + 1):
         if known.where("up IS NOT NULL").isEmpty():
-            return known.select("id", "path", "depth")
-        above = known.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("start"), F.col("depth").alias("more"))
-        joined = known.join(above, "up", "left")
-        known = joined.select("id", F.col("next").alias("up"), F.concat_ws("/", "start", "path").alias("path"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    raise ValueError(f"a node has more than {2**rounds} others above it, or is above itself")
+            return known.select(*on, "path", "depth")
+        above = known.select(*keys, F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("start"), F.col("depth").alias("more"))
+        joined = known.join(above, [*keys, "up"], "left")
+        known = written(joined.select(*on, F.col("next").alias("up"), F.concat_ws("/", "start", "path").alias("path"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "node-paths")
+    raise ValueError("a node is above itself")

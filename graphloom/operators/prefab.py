@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import written
 from .graph import node_paths
 
 #: Digits of the short form of a script's id.
@@ -34,19 +35,19 @@ def catalog(files: DataFrame) -> DataFrame:
 def objects(prefabs: DataFrame) -> DataFrame:
     """file, place, type, name, parent, node, fields (map to JSON) of each object of prefabs (file, text).
 
-    A text that is no JSON array gives none.
+    A text that is no JSON array gives none. Each text is parsed once: the objects are written to shared storage, and
+    who needs no fields does not read them.
     """
     each = prefabs.select("file", F.posexplode(F.from_json("text", "array<map<string,string>>")).alias("place", "fields"))
     get = lambda k: F.try_element_at("fields", F.lit(k))
     ref = lambda k: F.regexp_extract(F.coalesce(get(k), F.lit("")), r'"__id__"\s*:\s*(\d+)', 1).try_cast("int")
-    return each.select("file", "place", get("__type__").alias("type"), F.coalesce(get("_name"), F.lit("")).alias("name"), ref("_parent").alias("parent"), ref("node").alias("node"), "fields")
+    return written(each.select("file", "place", get("__type__").alias("type"), F.coalesce(get("_name"), F.lit("")).alias("name"), ref("_parent").alias("parent"), ref("node").alias("node"), "fields"), "prefab-objects")
 
 
 def tree(found: DataFrame) -> DataFrame:
     """file, place, path, depth of the node objects."""
-    at = lambda c: F.concat_ws("#", "file", F.col(c).cast("string"))
-    nodes = found.where("type = 'cc.Node'").select(at("place").alias("id"), F.when(F.col("parent").isNotNull(), at("parent")).alias("parent"), "name")
-    return node_paths(nodes).select(F.substring_index("id", "#", 1).alias("file"), F.substring_index("id", "#", -1).cast("int").alias("place"), "path", "depth")
+    nodes = found.where("type = 'cc.Node'").select("file", F.col("place").alias("id"), "parent", "name")
+    return node_paths(nodes, ("file",)).select("file", F.col("id").alias("place"), "path", "depth")
 
 
 def components(found: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -61,6 +62,43 @@ def components(found: DataFrame, scripts: DataFrame) -> DataFrame:
     return c.select("file", "place", "node", "path", "type", "script", kind.alias("class"))
 
 
+#: How much an answer on components tells, from least to most.
+DETAILS = ("counts", "summary", "grouped", "full")
+
+
+def component_groups(parts: DataFrame, detail: str = "full", groups: int | None = None, paths: int | None = None, instances: int | None = None) -> DataFrame:
+    """file, class, component, instances, and by ``detail`` more, of the components of prefabs.
+
+    'counts': one row for each file and class, with the number of its components and instances. 'summary': one for each
+    component, its script, else its type, most used first. 'grouped': with the paths of its nodes; 'full': also with its
+    instances (place, path). ``groups``, ``paths`` and ``instances`` limit what is listed of a file's class or of a
+    component, after sorting; the numbers are those of all, and ``truncated`` says whether groups were left out.
+    """
+    if detail not in DETAILS:
+        raise ValueError(f"unknown detail: {detail}")
+    c = parts.select("file", "class", F.coalesce("script", "type").alias("component"), "place", "path")
+    every = ["file", "class", "component"]
+    n = c.groupBy(*every).agg(F.count(F.lit(1)).alias("instances"))
+    if detail == "counts":
+        return n.groupBy("file", "class").agg(F.count(F.lit(1)).alias("components"), F.sum("instances").alias("instances"))
+    place = F.row_number().over(Window.partitionBy("file", "class").orderBy(F.desc("instances"), "component"))
+    total = F.count(F.lit(1)).over(Window.partitionBy("file", "class"))
+    n = n.withColumn("group", place).withColumn("truncated", total > F.lit(groups if groups else 1 << 30))
+    n = n.where(F.col("group") <= groups) if groups else n
+    if detail == "summary":
+        return n
+
+    def first(of: DataFrame, value: Column, name: str, most: int | None) -> DataFrame:
+        if most:
+            of = of.withColumn("_n", F.row_number().over(Window.partitionBy(*every).orderBy(value))).where(F.col("_n") <= most)
+        return of.groupBy(*every).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+    n = n.join(first(c.select(*every, "path").where("path IS NOT NULL").distinct(), F.col("path"), "node_paths", paths), every, "left")
+    if detail == "full":
+        n = n.join(first(c, F.struct("place", "path"), "each", instances), every, "left")
+    return n
+
+
 def references(found: DataFrame, assets: DataFrame) -> DataFrame:
     """file, place, field, kind, target of the fields of components (J20, E26): node, component, asset or missing."""
     field = found.where("node IS NOT NULL").select("file", "place", F.explode("fields").alias("field", "value")).where(~F.col("field").isin(*OWN_FIELDS))

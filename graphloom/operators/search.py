@@ -93,12 +93,19 @@ def longest_prefix(items: DataFrame, roots: list[tuple[str, str]], path: str = "
     return items.withColumn("area", area.otherwise("unknown") if area is not None else F.lit("unknown"))
 
 
+def suffixes(path: Column) -> Column:
+    """A path and all that is left of it after a slash, the longest first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def suffix_matches(nodes: DataFrame, files: DataFrame, file: str = "file", changed: str = "changed") -> DataFrame:
-    """Pairs of a node's file and a changed file where one ends with the other at a slash.
+    """Pairs of a node's file and a changed file where one is the other or ends with it at a slash.
 
-    The last part of both paths must agree, so that is the join key; the suffix is tested on what meets.
+    The join is by whole paths: a node's file, or what is left of it after a slash, is a changed file; or what is left of
+    a changed file is a node's. A last part that most paths share is no key by itself, so it is no hot key either.
     """
-    a = nodes.withColumn("_leaf", F.substring_index(file, "/", -1))
-    b = files.withColumn("_leaf", F.substring_index(changed, "/", -1))
-    ends = (F.col(file) == F.col(changed)) | F.endswith(F.col(file), F.concat(F.lit("/"), changed)) | F.endswith(F.col(changed), F.concat(F.lit("/"), file))
-    return a.join(b, "_leaf").where(ends).drop("_leaf")
+    longer = nodes.withColumn("_key", F.explode(suffixes(F.col(file)))).join(files.withColumn("_key", F.col(changed)), "_key")
+    left = F.explode(F.filter(suffixes(F.col(changed)), lambda s, i: i > 0))
+    shorter = nodes.withColumn("_key", F.col(file)).join(files.withColumn("_key", left), "_key")
+    return longer.unionByName(shorter).drop("_key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -93,12 +94,13 @@ def compact_nodes(spark, d):
 
 
 def edge_evidence(spark, d):
-    """Edges as evidence, by what of their ends is a method or request."""
-    return C.edge_evidence(edges(spark, d).where("type = 'requests'"), nodes(spark, d), "requested", "high").drop("reason")
+    """All edges as evidence, by what of their ends is a method or request, with the names of the ends."""
+    n = nodes(spark, d)
+    return C.named_edges(C.edge_evidence(edges(spark, d), n, "linked", "high").drop("reason"), n)
 
 
 def feature_card(spark, d):
-    """Types, core methods and tables of the whole graph."""
+    """Types, core methods and tables of the whole graph; feature_cards and feature_flows are of every feature."""
     return C.feature_card(nodes(spark, d), edges(spark, d))
 
 
@@ -115,6 +117,28 @@ def change_impact(spark, d):
     return related.groupBy("type", "matched").agg(F.count(F.lit(1)).alias("n"))
 
 
+def impact_report(spark, d):
+    """One answer on the changed files: related nodes, the features they touch, and the risk."""
+    p = table(spark, d, "part").select("p_brand", "p_type")
+    none = F.array().cast("array<struct<name:string,file:string>>")
+    features = p.groupBy(F.col("p_brand").alias("key")).agg(F.collect_set(F.concat_ws("/", "p_brand", "p_type")).alias("roots")).select("key", "roots", none.alias("evidence"))
+    return C.impact_report(nodes(spark, d), edges(spark, d, repeated=True), features, _changed(spark, d), 1)
+
+
+def relevant_rules(spark, d):
+    """The conversations' turns as rules: the most relevant for some terms and files."""
+    r = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("t"), F.col("turn") % 4).alias("title"), F.col("text").alias("body"), "role", F.array(F.concat(F.lit("src/c"), "conv_id", F.lit(".ts"))).alias("files"))
+    return C.relevant_rules(r.select("id", "title", "body", F.col("role").alias("category"), F.array(F.lit("tag")).alias("tags"), "files"), ["the", "user", "src/c1"], ["c7.ts", "src/C12.ts"], 40)
+
+
+def memory_summary(spark, d):
+    """What the best turns have in common: their files, roles and first words."""
+    o = outcomes(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id", "turn", F.coalesce("task", F.lit("")).alias("task"))
+    best = o.where("length(task) > 0").orderBy(F.desc(F.length("task")), "id").limit(50).withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.length("task")), "id")))
+    rows = best.select("place", F.array(F.concat(F.lit("f"), F.col("conv_id") % 9)).alias("files"), F.array(F.concat(F.lit("turn"), F.col("turn") % 3)).alias("validation"), F.array(F.substring_index("task", " ", 1)).alias("observations"))
+    return C.recall_summary(rows)
+
+
 def task_context(spark, d):
     """The best nodes for a task's terms and the first of each type that lie near them."""
     return C.task_context(nodes(spark, d), edges(spark, d, repeated=True), ["promo", "steel", "data"], 5, 2)
@@ -134,7 +158,7 @@ def mounted_endpoints(spark, d):
     """Endpoints of each order status, under every base that mounts their file."""
     o = table(spark, d, "orders").select("o_orderstatus", T.slugify(F.col("o_orderpriority")).alias("p")).distinct()
     endpoints = o.select(F.concat(F.lit("routes/"), "o_orderstatus", F.lit(".ts")).alias("file"), F.lit("GET").alias("method"), F.concat(F.lit("/list/"), "p").alias("path"))
-    mounts = table(spark, d, "nation").where("n_regionkey < 2").select(F.lit("routes/F.ts").alias("file"), F.concat(F.lit("/api/"), F.lower("n_name")).alias("base"))
+    mounts = table(spark, d, "nation").select(F.concat(F.lit("routes/"), F.when(F.col("n_regionkey") == 3, "O").otherwise("F"), F.lit(".ts")).alias("file"), F.concat(F.lit("/api/"), F.lower("n_name")).alias("base"))
     return L.mounted(endpoints, mounts)
 
 
@@ -277,7 +301,8 @@ b AS (SELECT src AS id, array_to_string(list_sort(list(DISTINCT dst))[1:8], ',')
 SELECT rn.id, type, name, coalesce(incoming, 0) AS incoming, coalesce(outgoing, 0) AS outgoing, coalesce(binds, '') AS binds, CASE type WHEN 'request' THEN http_method||' '||target WHEN 'route' THEN route WHEN 'external-service' THEN host WHEN 'table' THEN kind ELSE file END AS label
 FROM rn LEFT JOIN g ON g.id = rn.id LEFT JOIN b ON b.id = rn.id"""),
     "compact_nodes": (compact_nodes, f"WITH {RICH_SQL} " + " UNION ALL ".join(f"SELECT id, '{k}' AS key, {c} AS value FROM rn WHERE {c} <> ''" for k, c in (("protocol", "protocol"), ("target", "target"), ("host", "host"), ("serviceKind", "service_kind"), ("route", "route")))),
-    "edge_evidence": (edge_evidence, f"WITH {NODES_SQL}, {EDGES_SQL} SELECT 'edge' AS kind, e.type, src, dst, coalesce(a.name, '') AS method, coalesce(b.name, '') AS endpoint, 'high' AS confidence FROM e LEFT JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst WHERE e.type = 'requests'"),
+    "edge_evidence": (edge_evidence, f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT 'edge' AS kind, e.type, src, dst, coalesce(CASE WHEN a.type = 'method' THEN a.name END, CASE WHEN b.type = 'method' THEN b.name END, '') AS method,
+ coalesce(CASE WHEN a.type IN ('endpoint', 'request') THEN a.name END, CASE WHEN b.type IN ('endpoint', 'request') THEN b.name END, '') AS endpoint, 'high' AS confidence, coalesce(a.name, src) AS src_name, coalesce(b.name, dst) AS dst_name FROM e LEFT JOIN n a ON a.id = src LEFT JOIN n b ON b.id = dst"""),
     "feature_card": (feature_card, f"""WITH {NODES_SQL}, {EDGES_SQL}, g AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1),
 u AS (SELECT 'types' AS section, type AS id, type AS name, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'core-methods', n.id, name, g.n FROM n JOIN g ON g.id = n.id WHERE type = 'method'
  UNION ALL SELECT 'tables', dst, coalesce(min(name), dst), count(*) FROM e LEFT JOIN n ON n.id = dst WHERE e.type IN ('reads', 'writes') GROUP BY 2)
@@ -286,6 +311,20 @@ SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY n DESC, na
 m AS (SELECT id FROM n WHERE lower(file) IN (SELECT file FROM c)),
 r(id, d) AS (SELECT id, 0 FROM m UNION SELECT t, d + 1 FROM r JOIN s ON f = id WHERE d < 2), k AS (SELECT DISTINCT id FROM r)
 SELECT type, id IN (SELECT id FROM m) AS matched, count(*) AS n FROM n JOIN k USING (id) GROUP BY 1, 2"""),
+    "impact_report": (impact_report, f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {_BOTH}, c AS (SELECT DISTINCT lower(p_brand||'/'||p_type) AS file FROM part WHERE {CHANGED}),
+m AS (SELECT id FROM n WHERE lower(file) IN (SELECT file FROM c)), r(id, d) AS (SELECT id, 0 FROM m UNION SELECT t, d + 1 FROM r JOIN s ON f = id WHERE d < 1), k AS (SELECT DISTINCT id FROM r),
+w AS (SELECT n.*, n.id IN (SELECT id FROM m) AS matched FROM n JOIN k USING (id)), fe AS (SELECT DISTINCT p_brand AS key, lower(p_brand||'/'||p_type) AS root FROM part),
+h AS (SELECT key, count(DISTINCT CASE WHEN root IN (SELECT file FROM c) THEN root END) AS own, count(DISTINCT CASE WHEN root IN (SELECT lower(file) FROM w) THEN root END) AS near FROM fe GROUP BY 1),
+t AS (SELECT lower(type||' '||name||' '||file) AS t FROM w UNION ALL SELECT lower(e.type||' '||e.operation) FROM e WHERE src IN (SELECT id FROM m) OR dst IN (SELECT id FROM m))
+SELECT 'matched' AS section, type AS name, count(*) AS n FROM w WHERE matched GROUP BY 2 UNION ALL SELECT 'related', type, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'features', key, CASE WHEN own > 0 THEN 100 + 10 * own ELSE least(10 * near, 20) END FROM h WHERE own + near > 0
+UNION ALL SELECT 'risk', CASE WHEN bool_or(regexp_matches(t, '{T.HIGH_RISK}')) THEN 'high' WHEN bool_or(regexp_matches(t, '{T.MEDIUM_RISK}')) THEN 'medium' ELSE 'low' END, 1 FROM t"""),
+    "relevant_rules": (relevant_rules, """WITH t AS (SELECT conv_id||'-'||turn AS id, 't'||(turn % 4) AS title, lower(concat_ws(' ', 't'||(turn % 4), text, role, 'tag', 'src/c'||conv_id||'.ts')) AS t FROM conversations),
+s AS (SELECT id, title, CASE WHEN contains(t, 'the') THEN 3 ELSE 0 END + CASE WHEN contains(t, 'user') THEN 3 ELSE 0 END + CASE WHEN contains(t, 'src/c1') THEN 6 ELSE 0 END + CASE WHEN contains(t, 'c7.ts') THEN 8 ELSE 0 END + CASE WHEN contains(t, 'src/c12.ts') THEN 8 ELSE 0 END AS score FROM t)
+SELECT id, title, score FROM s WHERE score > 0 ORDER BY score DESC, title, id LIMIT 40"""),
+    "memory_summary": (memory_summary, f"""WITH {_OC}, b AS (SELECT conv_id, turn, task, row_number() OVER (ORDER BY length(task) DESC, conv_id||'-'||turn) AS place FROM o WHERE length(coalesce(task, '')) > 0 QUALIFY place <= 50),
+v AS (SELECT 'files' AS section, 'f'||(conv_id % 9) AS value, place FROM b UNION ALL SELECT 'validation', 'turn'||(turn % 3), place FROM b UNION ALL SELECT 'observations', split_part(task, ' ', 1), place FROM b),
+g AS (SELECT section, value, count(*) AS n, min(place) AS first FROM v WHERE value <> '' GROUP BY 1, 2)
+SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = 'observations' THEN first ELSE -n END, value) AS INTEGER) AS place, value, n FROM g QUALIFY place <= CASE section WHEN 'validation' THEN 12 ELSE 16 END"""),
     "task_context": (task_context, f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {_BOTH}, x AS (SELECT id, name, type, lower(type||' '||name||' '||file||' '||area) AS t FROM n),
 z AS (SELECT id, name, {" + ".join(f"CASE WHEN lower(trim(name)) = '{w}' THEN 12 WHEN contains(t, '{w}') THEN 5 ELSE 0 END" for w in ("promo", "steel", "data"))} + CASE type WHEN 'request' THEN 3 WHEN 'method' THEN 2 WHEN 'table' THEN 1 WHEN 'external-service' THEN 1 ELSE 0 END AS score FROM x),
 b AS (SELECT id, score FROM z WHERE score > 0 ORDER BY score DESC, name, id LIMIT 5),
@@ -294,8 +333,8 @@ SELECT type, CAST(row_number() OVER (PARTITION BY type ORDER BY score DESC NULLS
     "affected_features": (affected_features, """WITH p AS (SELECT p_brand AS key, lower(p_brand||'/'||replace(p_type, ' ', '/')) AS file, lower(p_brand||'/'||split_part(p_type, ' ', 1)) AS root, p_size FROM part),
 r AS (SELECT DISTINCT key, root FROM p), h AS (SELECT r.key, count(DISTINCT CASE WHEN p_size = 50 THEN file END) AS own, count(DISTINCT file) AS near FROM r JOIN p ON p.root = r.root WHERE p_size >= 45 GROUP BY 1)
 SELECT key, own > 0 AS direct, CAST(CASE WHEN own > 0 THEN 100 + 10 * own ELSE least(10 * near, 20) END AS INTEGER) AS score, CASE WHEN own > 0 THEN 'high' ELSE 'medium' END AS confidence FROM h"""),
-    "mounted_endpoints": (mounted_endpoints, """WITH x AS (SELECT DISTINCT 'routes/'||o_orderstatus||'.ts' AS file, '/list/'||lower(regexp_replace(o_orderpriority, '[^a-zA-Z0-9_.-]+', '-', 'g')) AS p FROM orders), m AS (SELECT '/api/'||lower(n_name) AS base FROM nation WHERE n_regionkey < 2)
-SELECT file, 'GET' AS method, coalesce(base, '')||p AS path, p AS original, base FROM x LEFT JOIN m ON file = 'routes/F.ts'"""),
+    "mounted_endpoints": (mounted_endpoints, """WITH x AS (SELECT DISTINCT 'routes/'||o_orderstatus||'.ts' AS file, '/list/'||lower(regexp_replace(o_orderpriority, '[^a-zA-Z0-9_.-]+', '-', 'g')) AS p FROM orders), m AS (SELECT '/api/'||lower(n_name) AS base, CASE WHEN n_regionkey = 3 THEN 'routes/O.ts' ELSE 'routes/F.ts' END AS spot FROM nation)
+SELECT file, 'GET' AS method, coalesce(base, '')||p AS path, p AS original, base FROM x LEFT JOIN m ON file = spot"""),
     "service_routes": (service_routes, """WITH a AS (SELECT DISTINCT l_suppkey AS k, l_linenumber AS l FROM lineitem), r AS (SELECT k, l, s_nationkey, CASE l WHEN 1 THEN '' WHEN 2 THEN 'app.rpc.' WHEN 3 THEN 'remote.' END AS pre FROM a JOIN supplier ON s_suppkey = k WHERE l <= 3)
 SELECT k||'-'||l AS id, pre||'n'||s_nationkey||'.s'||k||'.GO' AS route, 'x/app/servers/n'||s_nationkey||'/remote/S'||k||'.ts' AS file, 'go' AS name FROM r"""),
     "call_links": (call_links, """WITH c AS (SELECT DISTINCT 'p'||l_partkey AS caller, 's'||l_suppkey AS callee, CASE l_returnflag WHEN 'R' THEN 'field' WHEN 'A' THEN 'imported' ELSE 'local' END AS kind FROM lineitem), g AS (SELECT caller, callee, string_agg(kind, ',' ORDER BY kind) AS how FROM c GROUP BY 1, 2),

@@ -13,7 +13,7 @@ from ..operators import graph as G
 from ..operators import linking as L
 from ..operators import selectors as S
 from ..sources import files as S_files
-from ..sources.tables import edges, message_facts, nodes, table
+from ..sources.tables import NODES_SQL, edges, message_facts, nodes, table
 from .graph_queries import START, _bfs_sql, _starts
 
 #: What is written for each supplier: kind of fact, line (with {k}, {n}, {m} for key, nation and key modulo 3), and
@@ -86,7 +86,7 @@ def import_bindings(spark, d):
 
 
 def source_graph(spark, d):
-    """The edges of the graph of the derived sources."""
+    """The edges of the graph of the derived sources."""
     return X.graph(X.facts(derived_sources(spark, d), kinds=KINDS))[1]
 
 
@@ -138,7 +138,7 @@ def protocol_search(spark, d):
 
 
 def access_entries(spark, d):
-    """Who reads and writes the tables of a customer's graph, in order."""
+    """Who reads and writes the tables of a customer's graph, in order."""
     return C.access_entries(G.traverse(edges(spark, d, repeated=True), _starts(spark, START), 4), nodes(spark, d)).drop("operation")
 
 
@@ -158,8 +158,8 @@ def needed_actions(spark, d):
 
 
 def evidence_rows(spark, d):
-    """Services and tables as evidence."""
-    return C.node_evidence(nodes(spark, d).where("type IN ('external-service', 'method')"), "seen", "low").drop("reason")
+    """All nodes as evidence."""
+    return C.node_evidence(nodes(spark, d), "seen", "low").drop("reason")
 
 
 _S = "s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 3 AS m, 'src/n'||s_nationkey||'/s'||s_suppkey||'.ts' AS file FROM supplier)"
@@ -188,6 +188,5 @@ SELECT "table", method, type, depth, CAST(row_number() OVER (PARTITION BY "table
     "health_checks": (health_checks, """WITH g AS (SELECT s_nationkey AS id, count(*) FILTER (WHERE s_acctbal < 0) AS fail, count(*) FILTER (WHERE s_acctbal BETWEEN 0 AND 1000) AS warn FROM supplier GROUP BY 1)
 SELECT *, greatest(0, least(100, 100 - 30 * fail - 10 * warn)) AS score, CASE WHEN fail > 0 THEN 'blocked' WHEN warn > 0 THEN 'needs_action' ELSE 'ready' END AS status FROM g"""),
     "needed_actions": (needed_actions, "SELECT s_nationkey AS id, CASE min(CASE s_suppkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 5 END) WHEN 0 THEN 'restart_codex_mcp' WHEN 3 THEN 'rebuild_project_kb' WHEN 4 THEN 'reinstall_skill' ELSE 'proceed' END AS action FROM supplier GROUP BY 1"),
-    "evidence_rows": (evidence_rows, """SELECT 'node' AS kind, 'supplier:'||s_suppkey AS id, 'external-service' AS type, s_name AS name, '' AS file, '' AS method, '' AS endpoint, 'low' AS confidence FROM supplier
-UNION ALL SELECT 'node', 'customer:'||c_custkey, 'method', c_name, c_mktsegment||'/'||c_name, c_name, '', 'low' FROM customer"""),
+    "evidence_rows": (evidence_rows, f"WITH {NODES_SQL} SELECT 'node' AS kind, id, type, name, file, CASE WHEN type = 'method' THEN name ELSE '' END AS method, CASE WHEN type IN ('endpoint', 'request') THEN name ELSE '' END AS endpoint, 'low' AS confidence FROM n"),
 }

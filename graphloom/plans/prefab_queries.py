@@ -62,6 +62,17 @@ def component_classes(spark, d):
     return P.components(_objects(spark, d), derived_catalog(spark, d)).groupBy("class", F.coalesce("script", "type").alias("key")).agg(F.count(F.lit(1)).alias("instances"), F.count_distinct("path").alias("paths")).drop("key")
 
 
+def component_counts(spark, d):
+    """The least detail on the components of each prefab."""
+    return P.component_groups(P.components(_objects(spark, d), derived_catalog(spark, d)), "counts")
+
+
+def component_details(spark, d):
+    """The first two groups of each prefab's classes, their first three nodes and their first instance."""
+    g = P.component_groups(P.components(_objects(spark, d), derived_catalog(spark, d)), "full", groups=2, paths=3, instances=1)
+    return g.select("file", "class", "component", "instances", "group", "truncated", F.array_join("node_paths", ",").alias("node_paths"), F.col("each")[0]["place"].alias("first"))
+
+
 def binding_statuses(spark, d):
     """Statuses of parts' fields by brand, against what lines hold and override."""
     p, line = table(spark, d, "part"), table(spark, d, "lineitem")
@@ -71,7 +82,9 @@ def binding_statuses(spark, d):
 
 
 _O = """o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus = 'F' AS f, left(o_orderpriority, 1) AS p, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS i FROM orders)"""
-_C = f"""{_O}, c AS (SELECT 'ui/c'||c||'.prefab' AS file, 'c'||c||'/o'||k AS path, CASE WHEN NOT f AND p <> '5' THEN 's/P'||p||'.ts' END AS script, CASE WHEN f THEN 'builtin' WHEN p <> '5' THEN 'custom-script' ELSE 'unresolved' END AS class, p FROM o)"""
+_C = f"""{_O}, c AS (SELECT 'ui/c'||c||'.prefab' AS file, 'c'||c||'/o'||k AS path, CASE WHEN NOT f AND p <> '5' THEN 's/P'||p||'.ts' END AS script, CASE WHEN f THEN 'builtin' WHEN p <> '5' THEN 'custom-script' ELSE 'unresolved' END AS class, CASE WHEN f THEN 'B' ELSE p END AS g, p, 2 * i + 1 AS place FROM o)"""
+#: The short id of the script of priority 5.
+_SHORT = "'00000AAAABAAIAAAAAAAAAF'"
 
 QUERIES = {
     "prefab_tree": (prefab_tree, f"WITH {_O} SELECT DISTINCT 'ui/c'||c||'.prefab' AS file, 1 AS place, 'c'||c AS path, 1 AS depth FROM o UNION ALL SELECT 'ui/c'||c||'.prefab', 2 * i, 'c'||c||'/o'||k, 2 FROM o"),
@@ -80,6 +93,11 @@ QUERIES = {
 SELECT file, field, kind, count(*) AS n FROM r GROUP BY ALL"""),
     "prefab_graph": (prefab_graph, f"WITH {_C} SELECT 'contains' AS type, count(*) AS n, count(*) AS ends FROM c UNION ALL SELECT 'binds', count(script), count(DISTINCT script) FROM c"),
     "component_classes": (component_classes, f"WITH {_C} SELECT class, count(*) AS instances, count(DISTINCT path) AS paths FROM c GROUP BY class, script"),
+    "component_counts": (component_counts, f"WITH {_C} SELECT file, class, count(DISTINCT coalesce(script, g)) AS components, count(*) AS instances FROM c GROUP BY 1, 2"),
+    "component_details": (component_details, f"""WITH {_C}, u AS (SELECT *, CASE WHEN class = 'builtin' THEN 'cc.Button' WHEN script IS NOT NULL THEN script ELSE {_SHORT} END AS component FROM c),
+g AS (SELECT file, class, component, count(*) AS instances, array_to_string(list_sort(list(DISTINCT path))[1:3], ',') AS node_paths, min(place) AS first FROM u GROUP BY 1, 2, 3),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY file, class ORDER BY instances DESC, component) AS INTEGER) AS "group", count(*) OVER (PARTITION BY file, class) > 2 AS truncated FROM g)
+SELECT file, class, component, instances, "group", truncated, node_paths, CAST(first AS INTEGER) AS first FROM r WHERE "group" <= 2"""),
     "binding_statuses": (binding_statuses, """WITH l AS (SELECT l_partkey AS k, bool_or(l_linenumber = 1) AS s, bool_or(l_returnflag = 'R' AND l_linenumber = 2) AS o FROM lineitem GROUP BY 1),
 x AS (SELECT p_brand AS script, CASE WHEN o THEN 'o' WHEN s AND p_size <= 25 THEN 'c' WHEN s THEN 'b' WHEN p_size <= 25 THEN 'd' WHEN p_size > 48 THEN 'u' ELSE 'm' END AS st FROM part LEFT JOIN l ON k = p_partkey)
 SELECT script, """ + ", ".join(f"count(*) FILTER (WHERE st = '{c}') AS {n}" for c, n in (("o", "override_bound"), ("c", "configured"), ("b", "bound"), ("d", "script_default"), ("u", "unsupported"), ("m", "missing"))) + " FROM x GROUP BY 1"),
