@@ -1,7 +1,8 @@
 """What lies inside source texts: documentation, bracketed parts, operations, inline and mapped events, members.
 
 Where brackets and quotes must be matched, a small Arrow-batched helper walks each text once; the rest are joins and
-expressions. Regular-expression literals are not told from divisions. Null and empty texts give nothing.
+expressions. A regular expression is told from a division by what stands before it. Null and empty texts give nothing.
+``lexing`` finds methods and operations from rows of tokens instead.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 _QUOTED = r""""[^"\\]*(?:\\.[^"\\]*)*"?|'[^'\\]*(?:\\.[^'\\]*)*'?|`[^`\\]*(?:\\.[^`\\]*)*`?"""
-_COMMENTED = re.compile(rf"({_QUOTED})|//[^\n]*\n?|/\*.*?(?:\*/|\Z)", re.DOTALL)
-_TOKEN = re.compile(rf"{_QUOTED}|//[^\n]*|/\*.*?(?:\*/|\Z)|[()\[\]{{}},]", re.DOTALL)
+#: A regular expression with what stands before it, which tells it from a division.
+_REGEX = r"(?:[=(,:\[!&|?{};>]|\b(?:return|typeof|case))\s*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_COMMENTED = re.compile(rf"({_QUOTED}|{_REGEX})|//[^\n]*\n?|/\*.*?(?:\*/|\Z)", re.DOTALL)
+_TOKEN = re.compile(rf"{_QUOTED}|//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<regex>{_REGEX})|[()\[\]{{}},]", re.DOTALL)
 _NAMED = re.compile(r"(?:(?<![\w$.])((?:[A-Za-z_$][\w$]*\s*\.\s*)*)|(?<=[)\]])(\s*\.\s*))([A-Za-z_$][\w$]*)\s*\(")
 _EARLY = re.compile(r"\s*(?:return\b|\{\s*return\b[^;{}]*;?\s*\})")
 _DECLARED = re.compile(r"\s*(?::[^{}();=]*)?\{")
@@ -39,7 +42,7 @@ def _pairs(text: str) -> dict[int, tuple[int, list[int]]]:
     """Where each closed bracket opens, to where it closes and the commas directly inside."""
     found, open_ = {}, []
     for m in _TOKEN.finditer(text):
-        c = m[0]
+        c = m[0][0] if m["regex"] else m[0]
         if c in ("(", "[", "{"):
             open_.append((m.start(), []))
         elif open_ and c == ",":

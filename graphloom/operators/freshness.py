@@ -51,19 +51,31 @@ def states(tables: DataFrame, changes: DataFrame, tool: str = "") -> DataFrame:
     return found.select("key", "status", (F.col("status") != "fresh").alias("stale"), "reasons", F.when(F.col("status") == "fresh", "").otherwise("rebuild").alias("action"))
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """bucket, files, fingerprint: hashes of the sorted signatures in 4096 buckets by path, whose hash is the whole's.
+def fingerprint(files: DataFrame, digits: int = 3) -> DataFrame:
+    """bucket, files, fingerprint: hashes of the sorted signatures in buckets by the first ``digits`` of the path's hash.
 
     No task sorts the whole list: what is hashed together is one bucket.
     """
     sig = F.concat_ws("|", "path", F.col("size").cast("string"), "hash")
-    return files.groupBy(F.substring(F.md5("path"), 1, 3).alias("bucket")).agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(sig)), "\n"), 256).alias("fingerprint"))
+    return files.groupBy(F.substring(F.md5("path"), 1, digits).alias("bucket")).agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(sig)), "\n"), 256).alias("fingerprint"))
 
 
-def whole_fingerprint(files: DataFrame) -> DataFrame:
-    """One row: files, fingerprint, the hash of the 4096 buckets' hashes in order (V1)."""
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "fingerprint"))), "\n")
-    return fingerprint(files).agg(F.sum("files").alias("files"), F.sha2(lines, 256).alias("fingerprint"))
+#: Signatures that a bucket holds on average at most.
+HELD = 256
+
+
+def whole_fingerprint(files: DataFrame, held: int = HELD) -> DataFrame:
+    """One row: files, fingerprint: a tree of hashes (V1). The leaves are buckets of about ``held`` files, as many digits as
+    that takes, three at least; each level above hashes the 4096 buckets below it, in order."""
+    digits, n = 3, files.count()
+    while n > held << 4 * digits:
+        digits += 3
+    level = fingerprint(files, digits)
+    for up in range(digits - 3, -1, -3):
+        lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "fingerprint"))), "\n")
+        level = level.groupBy(F.substring("bucket", 1, up).alias("bucket")).agg(F.sum("files").alias("files"), F.sha2(lines, 256).alias("fingerprint"))
+    # An empty list has a fingerprint too.
+    return level.agg(F.coalesce(F.max("files"), F.lit(0)).alias("files"), F.coalesce(F.max("fingerprint"), F.sha2(F.lit("").cast("binary"), 256)).alias("fingerprint"))
 
 
 def gate(status: str, policy: str = "require_fresh") -> dict:

@@ -170,9 +170,11 @@ def _short(c: Column) -> Column:
 
 
 def operations(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """file, type, target, method, detail, flag, times, line, at, until of the operations of each text.
+    """file, type, target, method, detail, flag, times, line, at, until, arguments of the operations of each text (E22, X29,
+    X36).
 
-    Calls have their owner's text as ``target`` ('global' if none) and their arguments as ``detail``; those of
+    Calls have their owner's text as ``target`` ('global' if none), their ``arguments`` whole and, on one line of 50
+    characters at most, as ``detail``; those of
     ``ARRAY_METHODS`` are types of their own, with the first argument. A call that is a whole statement counts twice, as
     statement and as expression. Conditions have ``flag`` if all they do is return; loops have their kind, for_of,
     for_in, for or while, as ``method``, and what they run over; declarations of one name and assignments their target
@@ -250,7 +252,7 @@ def operations(texts: DataFrame, file: str = "file", text: str = "text") -> Data
     whole_call = (F.col("what") == "call") & F.col("chain_begins") & ((F.col("last_in_chain") == F.col("bracket.n")) | ((F.col("next") == "<") & (F.col("last_in_chain") == F.col("n")))) & F.coalesce(F.col("bracket.end") >= F.col("statement_end"), no)
     fallback = single & F.col("f_fallback").isNotNull() & (F.col("f_end").isNull() | (F.col("f_end") > F.col("f_fallback")))
     flag = F.when(F.col("what") == "condition", F.coalesce("early", no)).otherwise(F.coalesce(fallback, no))
-    return rows.select("file", kind.alias("type"), target.alias("target"), method.alias("method"), detail.alias("detail"), flag.alias("flag"), F.when(F.coalesce(whole_call, no), 2).otherwise(1).alias("times"), "line", "at", F.coalesce(F.col("bracket.end"), F.col("statement_end")).alias("until"))
+    return rows.select("file", kind.alias("type"), target.alias("target"), method.alias("method"), detail.alias("detail"), flag.alias("flag"), F.when(F.coalesce(whole_call, no), 2).otherwise(1).alias("times"), "line", "at", F.coalesce(F.col("bracket.end"), F.col("statement_end")).alias("until"), F.when(F.col("what") == "call", arguments).otherwise("").alias("arguments"))
 
 
 def summaries(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import lexing
 from .bodies import unquoted
 
@@ -118,6 +119,46 @@ def merged(better: DataFrame, other: DataFrame, keys: tuple) -> DataFrame:
     return better.unionByName(other.join(hit, [*keys, "at", "until"], "left_anti").select(*better.columns))
 
 
+#: Calls that ask a server, and the verbs that a client's own methods stand for.
+FETCHERS, VERBS = ("fetch", "fetchJSON", "EventSource"), ("get", "post", "put", "delete", "patch")
+_RPC = r"^(?:this\.app|app|global\.App)\.rpc\.([A-Za-z_$][\w$]*)\.([A-Za-z_$][\w$]*)$"
+
+
+def requests(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """file, callee, target, protocol, http_method, transport, line: what calls ask of servers.
+
+    Messages of tables and requests of the net ('Net.inst'), with a table's command as 'cmd:x'; remote calls through
+    'rpc', by their route; ``FETCHERS``, with the method of their second argument, else GET; 'axios' and its verbs,
+    and calls of 'request' on it with an address in an object; and the verbs of a client of one's own, a class that
+    hands a base path to its parent: 'this.get(path)' asks for the two joined. A target is as ``text.target`` makes it.
+    """
+    ops = lexing.operations(texts, file, text).where(F.col("type") == "method_call")
+    owner = F.regexp_replace(F.regexp_replace(F.when(F.col("target") == "global", F.lit("")).otherwise(F.col("target")), r"\s+", ""), r"\?\.", ".")
+    callee = F.concat_ws(".", F.nullif(owner, F.lit("")), F.col("method"))
+    base = F.regexp_extract(text, r"""\bsuper\s*\(\s*["']([^"']*)["']""", 1)
+    o = ops.select("file", "line", "method", owner.alias("owner"), callee.alias("callee"), F.trim("arguments").alias("a")).join(texts.select(F.col(file).alias("file"), base.alias("base")), "file")
+    first = F.regexp_extract("a", r"""^("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|[^,]*)""", 1)
+    said = lambda key: F.regexp_extract("a", rf"""[{{,]\s*["']?{key}["']?\s*:\s*["'`]([^"'`]*)["'`]""", 1)
+    low, verb = F.lower("method"), F.lower("callee")
+    net = F.col("callee").isin("Net.inst.tableMsg", "Net.inst.request")
+    cmd = F.regexp_extract("a", r"""\bcmd\s*:\s*['"]([^'"]+)['"]""", 1)
+    rpc = F.col("owner").rlike(_RPC)
+    fetched = F.col("callee").isin(*FETCHERS)
+    axios = (F.col("owner") == "axios") & low.isin(*VERBS)
+    configured = (F.col("callee") == "axios") | ((F.col("owner") == "axios") & (F.col("method") == "request"))
+    wrapped = verb.isin(*[f"this.{v}" for v in VERBS]) & (F.col("base") != "") & (F.trim(first) != "")
+    plain = unquoted(first)
+    target = (
+        F.when(net & (F.col("method") == "tableMsg") & (cmd != ""), F.concat(F.lit("cmd:"), cmd)).when(net, plain).when(rpc, F.concat_ws(".", F.regexp_extract("owner", _RPC, 1), F.regexp_extract("owner", _RPC, 2), "method"))
+        .when(configured, F.when(said("url") != "", T.target(said("url"))).otherwise(F.col("callee"))).when(wrapped, T.join_path(F.col("base"), plain)).otherwise(F.coalesce(F.nullif(T.target(plain), F.lit("")), F.col("callee")))
+    )
+    method = F.when(net | rpc, "").when(fetched | configured, F.upper(F.when(said("method") != "", said("method")).otherwise("GET"))).otherwise(F.upper("method"))
+    protocol = F.when(net, "").when(rpc, "pinus-rpc").otherwise("http")
+    transport = F.when(net, "net").when(rpc, "pinus-rpc").when(fetched, F.lower("method")).when(wrapped, "http-client").otherwise("axios")
+    found = o.where(net | rpc | fetched | axios | configured | wrapped)
+    return found.select("file", F.when(rpc, "pinus.rpc").otherwise(F.col("callee")).alias("callee"), target.alias("target"), protocol.alias("protocol"), method.alias("http_method"), transport.alias("transport"), "line")
+
+
 def _bus(c: Column) -> Column:
     return F.coalesce(*[F.when((c == b) | F.endswith(c, F.lit("." + b)), F.lit(b)) for b in BUSES])
 

@@ -131,6 +131,23 @@ def code_field_flow(spark, d):
     return L.field_flow(facts, "COUNT").groupBy("side", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What an order asks for in its script, by its priority's digit; {c} its customer modulo 9.
+ASKED = {
+    "1": "fetch(`${API_BASE}/orders/{c}?x=1`, { method: 'post', body: f(1) });\n",
+    "2": "Net.inst.tableMsg({ cmd: 'buy{c}', n: 1 }, (r) => { this.app.rpc.shop.cart.add{c}(r); });\n",
+    "3": "class K extends Http {\n  constructor() { super('/base{c}'); }\n  load() { return this.get('items//{c}'); }\n}\n",
+    "4": "axios.put(\"//host/{c}\", a, b); axios({ url: '/q{c}', method: 'Patch' });\n",
+    "5": "this.get('/nothing'); // fetch('/no{c}')\nconst s = \"fetch('/quoted')\"; global.App.rpc.a.b.c{c}();\n",
+}
+
+
+def code_requests(spark, d):
+    """What the orders' scripts ask of servers: by fetch, tables, remote calls, clients of their own and axios."""
+    o = table(spark, d, "orders").select("o_orderkey", F.left("o_orderpriority", F.lit(1)).alias("p"), (F.col("o_custkey") % 9).alias("c"))
+    text = F.coalesce(*[F.when(F.col("p") == k, _filled(t, c=F.col("c"))) for k, t in ASKED.items()], F.lit(""))
+    return M.requests(o.select(F.col("o_orderkey").alias("file"), text.alias("text")))
+
+
 #: What an event writes into its user's script: {v} its value's whole part modulo 7.
 SUBSCRIPTIONS = {
     "click": 'eventBus.on("c{v}", this.take);\n',
@@ -265,6 +282,10 @@ SELECT *, 1 AS n FROM c"""),
     "code_states": (code_states, f"WITH {_L}, {_STATES} SELECT file, method, state, access FROM st"),
     "code_handler_states": (code_handler_states, f"WITH {_L}, {_STATES} SELECT l_returnflag AS message, string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM st GROUP BY 1"),
     "code_field_flow": (code_field_flow, f"""WITH {_L}, {_STATES} SELECT CASE WHEN pr < '2' THEN 'frontend' WHEN pr < '4' THEN 'backend' ELSE 'other' END AS side, access AS kind, count(*) AS n FROM st WHERE contains(state, 'count') GROUP BY 1, 2"""),
+    "code_requests": (code_requests, """WITH o AS (SELECT o_orderkey AS file, left(o_orderpriority, 1) AS p, o_custkey % 9 AS c FROM orders)
+SELECT file, 'fetch' AS callee, '/api/orders/'||c AS target, 'http' AS protocol, 'POST' AS http_method, 'fetch' AS transport, 1 AS line FROM o WHERE p = '1' UNION ALL SELECT file, 'Net.inst.tableMsg', 'cmd:buy'||c, '', '', 'net', 1 FROM o WHERE p = '2'
+UNION ALL SELECT file, 'pinus.rpc', 'shop.cart.add'||c, 'pinus-rpc', '', 'pinus-rpc', 1 FROM o WHERE p = '2' UNION ALL SELECT file, 'this.get', '/base'||c||'/items/'||c, 'http', 'GET', 'http-client', 3 FROM o WHERE p = '3'
+UNION ALL SELECT file, 'axios.put', '/host/'||c, 'http', 'PUT', 'axios', 1 FROM o WHERE p = '4' UNION ALL SELECT file, 'axios', '/q'||c, 'http', 'PATCH', 'axios', 1 FROM o WHERE p = '4' UNION ALL SELECT file, 'pinus.rpc', 'a.b.c'||c, 'pinus-rpc', '', 'pinus-rpc', 2 FROM o WHERE p = '5'"""),
     "event_subscriptions": (event_subscriptions, """WITH e AS (SELECT user_id AS file, event_type AS t, CAST(floor(value) AS BIGINT) % 7 AS v FROM events),
 u AS (SELECT file, 'eventBus' AS bus, 'on' AS mode, 'c'||v AS event, 'take' AS handler, 'tokens' AS via FROM e WHERE t = 'click' UNION ALL SELECT file, 'oops.message', 'once', 'v'||v, '', 'tokens' FROM e WHERE t = 'view' UNION ALL SELECT file, 'eventBus', 'on', 'inner'||v, 'other', 'tokens' FROM e WHERE t = 'view'
  UNION ALL SELECT file, 'eventBus', 'once', 'gone'||v, 'lost', 'pattern' FROM e WHERE t = 'purchase' UNION ALL SELECT file, 'director', 'on', 's'||v, '', 'tokens' FROM e WHERE t = 'signup' UNION ALL SELECT file, 'eventBus', 'on', 'quoted'||v, 'no', 'pattern' FROM e WHERE t = 'error')
