@@ -4,7 +4,8 @@ Keys are 64-bit hashes of the normalised text. A directory addresses buckets by
 are stored on shared files; while one holds too many keys, its keys are written anew, split by one more bit, and the
 directory doubles where that needs more bits than it has. Texts go to buckets through the directory and are combined
 there by all their bytes; texts whose keys collide form a chain. The index is written dealt by bucket, so that each
-owner task holds whole key ranges, and rows are looked up through slot, bucket and chain.
+owner task holds whole key ranges, and rows are looked up through slot and bucket. The directory begins at the depth
+that the number of keys makes likely, so splits and doublings run where a bucket is over its capacity all the same.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def decisions(docs: DataFrame, **index_options) -> DataFrame:
     counts as kept. Rows that repeat both a doc_id and its text are one document: each is reported alike. An empty
     table gives an empty result. Texts of any length are hashed and compared whole.
 
-    A row finds its text in its bucket by key and place in the chain. Both sides of that join are dealt by its keys
+    A row finds its text through its slot, in its bucket, by key and the digest of its bytes. Both sides of that join are dealt by its keys
     alone, so that Spark splits the partition of a large group.
     """
     rows, index = build_index(docs, **index_options)

@@ -24,8 +24,8 @@ K, QUERY_STEP = 5, 50
 BLOCK, BATCH, SEED = 4096, 4096, 512
 #: Queries whose bounds are held at once.
 TOGETHER = 256
-#: Parts of the lists after which bounds are compared: doubling up to half, then in small steps.
-STEPS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, *(s / 32 for s in range(16, 33)))
+#: Parts of the lists after which bounds are compared: doubling up to half, then in steps.
+STEPS = (1 / 8, 1 / 4, *(s / 16 for s in range(8, 17)))
 #: Candidates left for one query at which reading stops.
 RESOLVE = 48
 
@@ -97,7 +97,8 @@ def search(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, with_depth: b
     blocks, batches = max(1, -(-n // BLOCK)), max(1, -(-queries.count() // BATCH))
 
     def dealt(df: DataFrame, key: str, n: int, other: str, m: int) -> DataFrame:
-        return df.withColumn(key, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        # By a number of the row, so that rows that repeat an id or a vector are dealt too; what is found is the same.
+        return df.withColumn(key, F.pmod(F.xxhash64(df.columns[0], F.monotonically_increasing_id()), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
