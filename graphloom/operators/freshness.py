@@ -64,11 +64,11 @@ def fingerprint(files: DataFrame, digits: int = 3) -> DataFrame:
 HELD = 256
 
 
-def whole_fingerprint(files: DataFrame, held: int = HELD) -> DataFrame:
+def whole_fingerprint(files: DataFrame, held: float = HELD) -> DataFrame:
     """One row: files, fingerprint: a tree of hashes (V1). The leaves are buckets of about ``held`` files, as many digits as
     that takes, three at least; each level above hashes the 4096 buckets below it, in order."""
     digits, n = 3, files.count()
-    while n > held << 4 * digits:
+    while n > held * 16**digits:
         digits += 3
     level = fingerprint(files, digits)
     for up in range(digits - 3, -1, -3):

@@ -29,6 +29,37 @@ def test_comments_and_brackets(spark):
     assert one(spark, None, bodies.bracketed("text", r"(f)\(")) == [] and one(spark, "f(" * 5000, bodies.bracketed("text", r"(f)\(")) == []
 
 
+def test_brackets_in_regular_expressions(spark):
+    text = "a() { const r = /[{(]/, n = x / y / z; }\nb() { return /\\/\\/(/.test(s) && [/}/]; } // c() {"
+    rows = spark.createDataFrame([("f", text)], "file string, text string")
+    assert [(r.method, r.body) for r in bodies.methods(rows).orderBy("line").collect()] == [("a", " const r = /[{(]/, n = x / y / z; "), ("b", " return /\\/\\/(/.test(s) && [/}/]; ")]
+    assert one(spark, "x = /a\\/\\/b/; // gone", bodies.without_comments("text")) == "x = /a\\/\\/b/; \n"
+
+
+def test_requests_through_wrappers(spark):
+    from graphloom.operators import members
+
+    text = "class K extends Http { constructor() { super('/base'); }\n load() { this.get('x'); this.other('y'); } }\nfetch(`/a/${id}?q=1`, { method: 'put' });\nglobal.App.rpc.s.t.u(1); this.app?.rpc.s.t.v();\nNet.inst.tableMsg({ cmd: 'buy' });\nNet.inst.request('go', (r) => { fetch('/in') });\naxios.get('/b', c); axios({ method: 'post' }); // fetch('/no')\nconst s = \"fetch('/quoted')\";"
+    rows = spark.createDataFrame([("f", text)], "file string, text string")
+    got = {(r.callee, r.target, r.protocol, r.http_method, r.line) for r in members.requests(rows).collect()}
+    assert got == {
+        ("this.get", "/base/x", "http", "GET", 2), ("fetch", "/a/", "http", "PUT", 3), ("pinus.rpc", "s.t.u", "pinus-rpc", "", 4), ("pinus.rpc", "s.t.v", "pinus-rpc", "", 4), ("Net.inst.tableMsg", "cmd:buy", "", "", 5),
+        ("Net.inst.request", "go", "", "", 6), ("fetch", "/in", "http", "GET", 6), ("axios.get", "/b", "http", "GET", 7), ("axios", "axios", "http", "POST", 7),
+    }
+
+
+def test_fingerprints_are_a_tree(spark):
+    from graphloom.operators import freshness
+
+    files = spark.range(3000).selectExpr("concat('p', id) AS path", "id AS size", "'h' AS hash")
+    flat, deep = freshness.whole_fingerprint(files).first(), freshness.whole_fingerprint(files, held=0.1).first()
+    assert flat.files == deep.files == 3000 and flat.fingerprint != deep.fingerprint
+    assert freshness.whole_fingerprint(files.repartition(7), held=0.1).first().fingerprint == deep.fingerprint
+    other = files.where("path <> 'p17'")
+    assert freshness.whole_fingerprint(other, held=0.1).first().fingerprint != deep.fingerprint
+    assert freshness.whole_fingerprint(files.limit(0)).first().files == 0
+
+
 def test_operations(spark):
     text = "if (a) return;\nif (b) { x = 1; return; }\nfor (let i = 0; i < 3; i++) go();\nfor (const k in o) {}\nwhile (w) {}\nlist.map(f).forEach((x) => x);\nfunction no(a) {}\nopen(): void {}\nthis.v = q ?? r;"
     got = [tuple(r) for r in one(spark, text, bodies.operations("text"))]

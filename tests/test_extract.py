@@ -86,4 +86,4 @@ def test_node_paths(spark):
     got = {r.id: (r.path, r.depth) for r in graph.node_paths(spark.createDataFrame(deep, "id string, parent string, name string")).collect()}
     assert got["19"] == ("/".join(f"n{i}" for i in range(20)), 20) and got["0"] == ("n0", 1) and got["x"] == ("", 1) and len(got) == 21
     with pytest.raises(ValueError):
-        graph.node_paths(spark.createDataFrame([("a", "b", "a"), ("b", "a", "b")], "id string, parent string, name string"), rounds=3)
+        graph.node_paths(spark.createDataFrame([("a", "b", "a"), ("b", "a", "b")], "id string, parent string, name string"))
