@@ -117,12 +117,11 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     if it has any. A declaration without a body, and a head in a comment, string or regular expression, gives nothing.
     """
     d = siblings(nested(tokens(texts, file, text)))
-    mark = lambda *t: F.col("t").isin(*t) & (F.col("kind") == "mark")
-    is_paren = mark("(")
+    is_paren = _mark("(")
     block = F.struct("n", (F.col("at") + 1).alias("at"), F.col("inner_end").alias("until"))
-    d = d.select("*", _next(block, mark("{") & ~F.col("prev").isin(*_BEFORE_TYPE)).alias("f_body"), _next("n", mark(";", "=")).alias("f_stop"), _next("n", mark(";")).alias("f_semicolon"), _before("end").alias("prev_end"), _after("at").alias("next_at"), _after("inner_end").alias("next_inner"))
+    d = d.select("*", _next(block, _mark("{") & ~F.col("prev").isin(*_BEFORE_TYPE)).alias("f_body"), _next("n", _mark(";", "=")).alias("f_stop"), _next("n", _mark(";")).alias("f_semicolon"), _before("end").alias("prev_end"), _after("at").alias("next_at"), _after("inner_end").alias("next_inner"))
     # Where an expression that begins after this token ends.
-    d = d.withColumn("expression_end", F.coalesce(_next("prev_end", mark(",", ";") | F.col("begins")), F.max("end").over(Window.partitionBy("file", "parent"))))
+    d = d.withColumn("expression_end", F.coalesce(_next("prev_end", _mark(",", ";") | F.col("begins")), F.max("end").over(Window.partitionBy("file", "parent"))))
     arrow = F.struct("n", F.when(F.col("next") == "{", F.col("next_at") + 1).otherwise(F.col("next_at")).alias("at"), F.when(F.col("next") == "{", F.col("next_inner")).otherwise(F.col("expression_end")).alias("until"))
     d = d.withColumn("f_arrow", _next(arrow, F.col("t") == "=>"))
     params = F.struct("n", (F.col("at") + 1).alias("at"), F.col("inner_end").alias("until"), "next", "f_body", "f_arrow", "f_stop")
@@ -135,19 +134,19 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     head = F.when(F.col("next") == "(", F.col("direct")).when((F.col("next") == "<") & after_types & ~of_type, F.col("generic"))
     ends_before = lambda p, what: p[what].isNotNull() & (p["f_stop"].isNull() | (p["f_stop"] > p[what]["n"]))
     open_to = lambda p, what, first: (p["next"] == first) | ((p["next"] == ":") & ends_before(p, what))
-    form = lambda name, p, a, body: F.struct(F.lit(name).alias("form"), p["at"].alias("p_at"), p["until"].alias("p_until"), body["at"].alias("at"), body["until"].alias("until"))
+    form = lambda name, p, body: F.struct(F.lit(name).alias("form"), p["at"].alias("p_at"), p["until"].alias("p_until"), body["at"].alias("at"), body["until"].alias("until"))
     name_ok = (F.col("kind") == "word") & ~F.col("t").isin(*KEYWORDS) & ~F.coalesce(F.col("prev").isin(".", "?.", "new"), F.lit(False))
-    declared = F.when(name_ok & open_to(head, "f_body", "{"), form("declared", head, None, head["f_body"]))
+    declared = F.when(name_ok & open_to(head, "f_body", "{"), form("declared", head, head["f_body"]))
     # A function as a value that begins at this token.
     p = F.when(is_paren, F.col("paren")).when((F.col("t") == "<") & after_types, F.col("generic"))
     bare = (F.col("kind") == "word") & (F.col("next") == "=>")
-    value = F.when(p.isNotNull() & open_to(p, "f_arrow", "=>"), form("arrow", p, None, p["f_arrow"]))
+    value = F.when(p.isNotNull() & open_to(p, "f_arrow", "=>"), form("arrow", p, p["f_arrow"]))
     value = F.coalesce(value, F.when(bare, F.struct(F.lit("arrow").alias("form"), F.col("at").alias("p_at"), F.col("until").alias("p_until"), F.col("f_arrow.at").alias("at"), F.col("f_arrow.until").alias("until"))))
-    value = F.coalesce(value, F.when((F.col("t") == "function") & F.col("any_paren.f_body").isNotNull(), form("function", F.col("any_paren"), None, F.col("any_paren")["f_body"])))
+    value = F.coalesce(value, F.when((F.col("t") == "function") & F.col("any_paren.f_body").isNotNull(), form("function", F.col("any_paren"), F.col("any_paren")["f_body"])))
     d = d.withColumn("declared", declared).withColumn("value", value)
     d = d.withColumn("value", F.coalesce(F.when(F.col("t") == "async", _after("value")), "value"))
-    d = d.withColumn("given", F.when(mark("=", ":"), _after("value")))
-    d = d.select("*", _after("given").alias("own"), _next(F.struct("n", "given"), mark("=")).alias("typed"), _next("n", mark(";")).alias("next_stop"), _next("n", mark(",")).alias("next_comma"), _next("n", mark("<")).alias("next_types"))
+    d = d.withColumn("given", F.when(_mark("=", ":"), _after("value")))
+    d = d.select("*", _after("given").alias("own"), _next(F.struct("n", "given"), _mark("=")).alias("typed"), _next("n", _mark(";")).alias("next_stop"), _next("n", _mark(",")).alias("next_comma"), _next("n", _mark("<")).alias("next_types"))
     at_head = F.coalesce(F.col("prev").isin(*_MODIFIERS), F.lit(False)) | F.col("begins")
     named = F.col("kind").isin("word") & ~F.col("t").isin(*KEYWORDS) & ~F.coalesce(F.col("prev").isin(".", "?."), F.lit(False))
     # A comma ends a type unless it is one of type arguments.
@@ -163,53 +162,53 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     return whole.select("file", "method", "form", F.trim(F.regexp_replace(cut("p_at", "p_until"), r"\s+", " ")).alias("params"), "line", cut("at", "until").alias("body"), "at", "until")
 
 
+def _mark(*t: str) -> Column:
+    return F.col("t").isin(*t) & (F.col("kind") == "mark")
+
+
 def _short(c: Column) -> Column:
     """One line of 50 characters at most."""
     flat = F.trim(F.regexp_replace(c, r"\s+", " "))
     return F.when(F.length(flat) > 50, F.concat(F.left(flat, F.lit(47)), F.lit("..."))).otherwise(flat)
 
 
-def operations(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """file, type, target, method, detail, flag, times, line, at, until, arguments of the operations of each text (E22, X29,
-    X36).
-
-    Calls have their owner's text as ``target`` ('global' if none), their ``arguments`` whole and, on one line of 50
-    characters at most, as ``detail``; those of
-    ``ARRAY_METHODS`` are types of their own, with the first argument. A call that is a whole statement counts twice, as
-    statement and as expression. Conditions have ``flag`` if all they do is return; loops have their kind, for_of,
-    for_in, for or while, as ``method``, and what they run over; declarations of one name and assignments their target
-    and source, and ``flag`` for a fallback; a statement of several declarations or of a pattern is one
-    'multi_assignment'. Constructors, do-while loops and compound assignments are none.
-    """
+def _chains(texts: DataFrame, file: str, text: str) -> DataFrame:
+    """Siblings with the chain that each belongs to, what follows them, and the nearest bodies, stops and ends after them."""
     d = siblings(nested(tokens(texts, file, text)))
-    mark = lambda *t: F.col("t").isin(*t) & (F.col("kind") == "mark")
-    brace, no = mark("{"), F.lit(False)
+    brace, no = _mark("{"), F.lit(False)
     # What hangs together by dots, calls and indices is a chain; chains count from the last.
     value_before = (F.col("prev_kind").isin("word", "template", "string", "regex") & ~F.coalesce(F.col("prev").isin(*KEYWORDS), no)) | F.col("prev").isin("(", "[")
-    joined = F.coalesce(mark(".", "?.") | (F.col("prev").isin(".", "?.") & (F.col("prev_kind") == "mark")) | (mark("(", "[") & value_before & ~F.col("begins")), no)
+    joined = F.coalesce(_mark(".", "?.") | (F.col("prev").isin(".", "?.") & (F.col("prev_kind") == "mark")) | (_mark("(", "[") & value_before & ~F.col("begins")), no)
     chain = F.coalesce(F.sum(F.when(joined, 0).otherwise(1)).over(_back().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("chain")
     # A bracket as who stands before it sees it: what follows it, and where the nearest body and the nearest stop are.
-    d = d.select("*", chain, _next("n", brace & ~F.col("prev").isin(*_BEFORE_TYPE)).alias("f_body_n"), _next("n", mark(";", "=")).alias("f_stop_n"), _next("n", mark(*_NO_TYPE) | (brace & ~F.col("prev").isin(*_BEFORE_TYPE)) | (mark("(") & (F.col("prev") != ">")) | F.col("begins")).alias("f_stop"), _before("at").alias("prev_at"), _before("prev").alias("prev2"))
+    d = d.select("*", chain, _next("n", brace & ~F.col("prev").isin(*_BEFORE_TYPE)).alias("f_body_n"), _next("n", _mark(";", "=")).alias("f_stop_n"), _next("n", _mark(*_NO_TYPE) | (brace & ~F.col("prev").isin(*_BEFORE_TYPE)) | (_mark("(") & (F.col("prev") != ">")) | F.col("begins")).alias("f_stop"), _before("at").alias("prev_at"), _before("prev").alias("prev2"))
     d = d.withColumn("self", F.struct("n", "t", "at", "inner_end", "next", "end", "f_body_n", "f_stop_n"))
-    ends = mark(";") | F.col("begins")
+    ends = _mark(";") | F.col("begins")
     d = d.select(
-        "*", _after("self").alias("after"), _after("self", 2).alias("after2"), _next("self", mark("(") & (F.col("prev") == ">")).alias("f_generic"), F.coalesce(_next("at", ends), F.col("parent_end")).alias("statement_end"),
-        _next(F.struct("n", "end"), mark("=")).alias("f_equals"), _next("n", mark(",")).alias("f_comma"), _next("n", ends).alias("f_end"), _next("n", mark("??")).alias("f_fallback"),
+        "*", _after("self").alias("after"), _after("self", 2).alias("after2"), _next("self", _mark("(") & (F.col("prev") == ">")).alias("f_generic"), F.coalesce(_next("at", ends), F.col("parent_end")).alias("statement_end"),
+        _next(F.struct("n", "end"), _mark("=")).alias("f_equals"), _next("n", _mark(",")).alias("f_comma"), _next("n", ends).alias("f_end"), _next("n", _mark("??")).alias("f_fallback"),
     )
     chained = Window.partitionBy("file", "parent", "chain").orderBy("n")
     whole = chained.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last = F.first(F.struct("at", "prev", "begins")).over(whole), F.last(F.struct("n", "next", "end")).over(whole)
-    calls_before = F.coalesce(F.sum(F.when(mark("("), 1).otherwise(0)).over(chained.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    calls_before = F.coalesce(F.sum(F.when(_mark("("), 1).otherwise(0)).over(chained.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.select("*", first.alias("chain_first"), last.alias("chain_last"), calls_before.alias("calls_before"))
     d = d.select("*", F.col("chain_first.at").alias("chain_at"), F.col("chain_first.prev").alias("chain_prev"), F.col("chain_first.begins").alias("chain_begins"), F.col("chain_last.n").alias("last_in_chain"), F.col("chain_last.next").alias("chain_next"), F.col("chain_last.end").alias("chain_end"))
     # Read below in several ways, so it is written once.
     d = written(d.drop("self", "chain_first", "chain_last", "prev_line", "until"), "code-tokens")
-    # What directly lies in a bracket, for its own row: the first token, how many statements, and the words of a loop's head.
-    inside = d.groupBy("file", F.col("parent").alias("bracket")).agg(F.min_by("t", "n").alias("first_in"), F.count_if(F.col("begins") & ~mark(";")).alias("statements"), F.max(F.when((F.col("kind") == "word") & F.col("t").isin("of", "in"), F.struct("n", "t", "end"))).alias("each"))
+    return d
+
+
+def _in_chain() -> Column:
+    return F.coalesce(F.col("prev").isin(".", "?.") & (F.col("prev_kind") == "mark"), F.lit(False))
+
+
+def _kinds(d: DataFrame) -> DataFrame:
+    """Rows of ``_chains`` with ``bracket``, the brackets of a call, ``what`` they begin, if anything, and ``assigns``."""
+    no, in_chain = F.lit(False), _in_chain()
     # A call: a name or chain before a bracket, directly, after '?.', or after type arguments.
     bracket = F.when(F.col("next") == "(", F.col("after")).when((F.col("next") == "?.") & (F.col("after2.t") == "("), F.col("after2")).when((F.col("next") == "<") & (F.coalesce(F.col("f_stop"), F.col("f_generic.n") + 1) > F.col("f_generic.n")), F.col("f_generic"))
     word = (F.col("kind") == "word") & bracket.isNotNull()
-    in_chain = F.coalesce(F.col("prev").isin(".", "?.") & (F.col("prev_kind") == "mark"), no)
     call = word & (in_chain | ~F.col("t").isin(*KEYWORDS)) & ~((F.col("chain_prev") == "new") & (F.col("calls_before") == 0) & F.col("chain_prev").isNotNull()) & ~F.coalesce(F.col("chain_prev").isin("function", "*"), no)
     # A method's own head is no call: a body follows its bracket, or a type and a body.
     d = d.withColumn("bracket", bracket).withColumn("call", F.coalesce(call, no))
@@ -220,22 +219,46 @@ def operations(texts: DataFrame, file: str = "file", text: str = "text") -> Data
     kinds = kinds.when(F.col("t").isin("for", "while") & ~in_chain & F.col("next").isin("(", "await") & ~F.coalesce(do_block, no), "loop").when((F.col("t") == "return") & (F.col("kind") == "word") & ~in_chain & ~F.coalesce(F.col("next") == ":", no), "return")
     kinds = kinds.when(F.col("t").isin("const", "let", "var") & (F.col("kind") == "word") & ~in_chain & (F.col("begins") | F.coalesce(F.col("prev").isin("export", "declare"), no)), "declaration")
     simple = F.col("begins") & (F.col("kind") == "word") & ~F.col("t").isin(*KEYWORDS, *_MODIFIERS)
-    d = d.withColumn("what", kinds).withColumn("assigns", simple)
+    return d.withColumn("what", kinds).withColumn("assigns", simple)
+
+
+def _statements(d: DataFrame) -> DataFrame:
+    """The rows of ``_kinds`` that are operations, with what their brackets hold: the word of a loop's head, an early return."""
+    brace = _mark("{")
+    # What directly lies in a bracket, for its own row: the first token, how many statements, and the words of a loop's head.
+    inside = d.groupBy("file", F.col("parent").alias("bracket")).agg(F.min_by("t", "n").alias("first_in"), F.count_if(F.col("begins") & ~_mark(";")).alias("statements"), F.max(F.when((F.col("kind") == "word") & F.col("t").isin("of", "in"), F.struct("n", "t", "end"))).alias("each"))
     # A statement that begins with a chain and '=' right after it assigns.
     rows = d.where("what IS NOT NULL OR (assigns AND chain_next = '=')")
     head = F.when(F.col("next") == "await", F.col("after2")).otherwise(F.col("after"))
     rows = rows.withColumn("head", F.when(F.col("what").isin("condition", "loop"), head)).withColumn("key", F.when(F.col("what").isin("condition", "loop"), F.col("head.n")))
     of_head = inside.select("file", F.col("bracket").alias("key"), "each")
     rows = rows.join(of_head, ["file", "key"], "left")
-    d2 = d.where(mark("(")).select("file", F.col("n").alias("key"), F.col("next").alias("then"), F.col("after.n").alias("then_n")).where("then IN ('{', 'return')")
+    d2 = d.where(_mark("(")).select("file", F.col("n").alias("key"), F.col("next").alias("then"), F.col("after.n").alias("then_n")).where("then IN ('{', 'return')")
     blocks = inside.select("file", F.col("bracket").alias("then_n"), "first_in", "statements")
     early = d2.join(blocks, ["file", "then_n"], "left").select("file", "key", ((F.col("then") == "return") | ((F.col("first_in") == "return") & (F.col("statements") == 1))).alias("early"))
     rows = rows.join(early, ["file", "key"], "left")
     earlier = Window.partitionBy("file", "parent").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     last_n = lambda c: F.coalesce(F.last(F.when(c, F.col("n")), ignorenulls=True).over(earlier), F.lit(-1))
     # Heads of loops, whose declarations are no statements, and bodies of classes, whose fields are none.
-    heads = d.withColumn("class_n", last_n(F.col("t") == "class")).withColumn("block_n", last_n(mark("{", ";"))).where((mark("(") & F.col("prev").isin("for", "await")) | (brace & (F.col("class_n") > F.col("block_n"))))
+    heads = d.withColumn("class_n", last_n(F.col("t") == "class")).withColumn("block_n", last_n(_mark("{", ";"))).where((_mark("(") & F.col("prev").isin("for", "await")) | (brace & (F.col("class_n") > F.col("block_n"))))
     rows = rows.join(heads.select("file", F.col("n").alias("parent"), F.lit(True).alias("in_head")), ["file", "parent"], "left").where("in_head IS NULL OR (what IS NOT NULL AND what <> 'declaration')")
+    return rows
+
+
+def operations(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """file, type, target, method, detail, flag, times, line, at, until, arguments of the operations of each text (E22, X29,
+    X36).
+
+    Calls have their owner's text as ``target`` ('global' if none), their ``arguments`` whole and, on one line of 50
+    characters at most, as ``detail``; those of
+    ``ARRAY_METHODS`` are types of their own. A call that is a whole statement counts twice, as
+    statement and as expression. Conditions have ``flag`` if all they do is return; loops have their kind, for_of,
+    for_in, for or while, as ``method``, and what they run over; declarations of one name and assignments their target
+    and source, and ``flag`` for a fallback; a statement of several declarations or of a pattern is one
+    'multi_assignment'. Constructors, do-while loops and compound assignments are none.
+    """
+    no, in_chain = F.lit(False), _in_chain()
+    rows = _statements(_kinds(_chains(texts, file, text)))
     rows = rows.join(texts.select(F.col(file).alias("file"), F.col(text).alias("_text")), "file")
     cut = lambda a, b: F.substring("_text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     owner = F.when(in_chain, cut(F.col("chain_at"), F.col("prev_at"))).otherwise("global")
