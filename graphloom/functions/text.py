@@ -305,3 +305,10 @@ def type_name(c: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(c, r"\[\]|[<>{}|&,]", " "), r"\b(?:null|undefined|readonly)\b", " ")
     first = F.regexp_replace(F.split(F.trim(plain), r"\s+")[0], r"[()?:=!]+", "")
     return F.coalesce(F.try_element_at(F.filter(F.split(first, r"\."), lambda p: p != ""), F.lit(-1)), F.lit(""))
+
+
+def workspace_relative(c: Column, root: str) -> Column:
+    """A path without the workspace's root, whatever its case, with single kinds of slashes; others stay as they are."""
+    p = F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", "/")
+    r = root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(F.startswith(F.lower(p), F.lit(r.lower())), F.substring(p, len(r) + 1, 1 << 20)).otherwise(p)

@@ -172,6 +172,15 @@ def relevant_rules(rules: DataFrame, words: list[str], files: list[str] = (), k:
 SUMMARISED = {"files": 16, "validation": 12, "observations": 16}
 
 
+def compact_outcomes(records: DataFrame, scores: DataFrame) -> DataFrame:
+    """id, task, outcome, recorded, changed, validation, observations, score, confidence of scored records (P10): the first
+    12 files, 8 validations and 8 observations."""
+    none = F.array().cast("array<string>")
+    some = lambda c, n: F.slice(F.coalesce(F.col(c), none), 1, n).alias(c)
+    joined = records.join(scores.select("id", "score"), "id")
+    return joined.select("id", F.coalesce("task", F.lit("")).alias("task"), F.coalesce("outcome", F.lit("")).alias("outcome"), "recorded", some("changed", 12), some("validation", 8), some("observations", 8), "score", T.bucket(F.col("score"), 20, 8).alias("confidence"))
+
+
 def recall_summary(best: DataFrame) -> DataFrame:
     """section, place, value, n of recalled records (place, files, validation, observations) (R11, A9): files and
     validations by how often they occur, observations in order of appearance."""

@@ -10,11 +10,21 @@ from .search import area_of
 from .selectors import meta
 
 #: Words that are no part of a feature's key.
-STOP_WORDS = tuple("app api assets client common component components controller controllers handler http index lib message method node project request response route routes rpc script server service services src state utils view views workspace".split())
+STOP_WORDS = (
+    "app", "api", "assets", "client", "common", "component", "components", "controller", "controllers", "handler", "http", "index", "lib", "message",
+    "method", "node", "project", "request", "response", "route", "routes", "rpc", "script", "server", "service", "services", "src", "state", "utils",
+    "view", "views", "workspace",
+)
 #: Words at which an address stops telling the feature.
-ACTION_WORDS = tuple("add create delete fetch find get list load post query remove save set sync update".split())
+ACTION_WORDS = (
+    "add", "create", "delete", "fetch", "find", "get", "list", "load", "post", "query", "remove", "save", "set", "sync", "update",
+)
 #: Parts of paths that tell no feature.
-LOW_VALUE = tuple("activity api app assets bundle common commom config effect effects game handler http lobby listmode list-mode majiang mj mj-common modelmj model-mj pk-common poker campaign campaigns prefab prefabs remote routes script servers settlement src ui zp-common zipai".split())
+LOW_VALUE = (
+    "activity", "api", "app", "assets", "bundle", "common", "commom", "config", "effect", "effects", "game", "handler", "http", "lobby", "listmode",
+    "list-mode", "majiang", "mj", "mj-common", "modelmj", "model-mj", "pk-common", "poker", "campaign", "campaigns", "prefab", "prefabs", "remote",
+    "routes", "script", "servers", "settlement", "src", "ui", "zp-common", "zipai",
+)
 
 
 def key_of(words: Column) -> Column:

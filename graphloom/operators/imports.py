@@ -57,7 +57,7 @@ def configurations(files: DataFrame, file: str = "file", text: str = "text") ->
     may leave out '.json'; one that names no file, and the rest of a circle, say nothing. The known part of a chain
     doubles with each join.
     """
-    parsed = files.select(F.col(file).alias("config"), F.from_json(F.regexp_replace(text, "^﻿", ""), _OPTIONS, _JSON).alias("o"))
+    parsed = files.select(F.col(file).alias("config"), F.from_json(F.regexp_replace(text, "^\uFEFF", ""), _OPTIONS, _JSON).alias("o"))
     own = F.transform(F.map_entries("o.compilerOptions.paths"), lambda e: F.struct(F.trim(F.regexp_replace(e["key"], r"\\", "/")).alias("alias"), F.filter(F.transform(e["value"], lambda t: F.trim(F.regexp_replace(t, r"\\", "/"))), lambda t: t != "").alias("targets")))
     own = F.filter(own, lambda p: (p["alias"] != "") & (F.size(p["targets"]) > 0))
     at = folder(F.col("config"))

@@ -65,3 +65,31 @@ def shares(df: DataFrame, group: list[str], key: list[str]) -> DataFrame:
     g = df.groupBy(*group, *key).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(*group))
     return g.withColumn("share", F.round(F.col("n") / total, 4))
+
+
+def learned_shares(df: DataFrame, within: list[str], key: list[str], evidence: str, collected: str | None = None, most: int = 10) -> DataFrame:
+    """``within``, ``key``, n, confidence, evidence and, if asked for, ``collected`` of patterns.
+
+    n: rows of a pattern; confidence: its share of the rows with the same ``within`` (of all rows without any), to 4
+    places; evidence: the first ``most`` values of a column by value; ``collected``: the distinct values of another.
+    Events are learned within their kind of source, by target and component, with their handlers; placements within a
+    component, by role and path; bindings of fields within component and field, by kind; assets within all, by kind and
+    folder. Rows are counted before they are shared out, and evidence is taken from the smallest values of each task.
+    """
+    g = df.groupBy(*within, *key).agg(F.count(F.lit(1)).alias("n"), *([F.array_sort(F.collect_set(collected)).alias(collected)] if collected else []))
+    total = F.sum("n").over(Window.partitionBy(*within))
+    g = g.withColumn("confidence", F.round(F.col("n") / total, 4))
+    place = F.row_number().over(Window.partitionBy(*within, *key).orderBy(evidence))
+    first = df.where(F.col(evidence).isNotNull()).select(*within, *key, evidence).withColumn("_n", place).where(F.col("_n") <= most)
+    first = first.groupBy(*[F.col(c).alias(f"_{c}") for c in within + key]).agg(F.array_sort(F.collect_list(evidence)).alias("evidence"))
+    on = F.lit(True)
+    for c in within + key:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return g.join(first, on, "left").select(*within, *key, "n", "confidence", "evidence", *([collected] if collected else []))
+
+
+def routing(facts: DataFrame) -> DataFrame:
+    """grouping, kind, protocol, transport, callee, n of routes and requests (A10, L7): by kind and protocol, and by protocol,
+    transport and callee, in one pass."""
+    g = facts.groupingSets([["kind", "protocol"], ["protocol", "transport", "callee"]], "kind", "protocol", "transport", "callee").agg(F.count(F.lit(1)).alias("n"), F.grouping("kind").alias("_by_callee"))
+    return g.select(F.when(F.col("_by_callee") == 1, "callee").otherwise("kind").alias("grouping"), "kind", "protocol", "transport", "callee", "n")

@@ -22,7 +22,7 @@ _WORDS_BEFORE_REGEX = "return|typeof|case|in|of|delete|void|throw|else|do|yield|
 _PUNCTUATION = r"=>|\?\.(?!\d)|\.\.\.|>>>=|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|<<"
 #: One token with the white space before it.
 TOKEN = (
-    r"[\s﻿]*+(?://[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|" + _STRING + "|" + _TEMPLATE
+    r"[\s\uFEFF]*+(?://[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|" + _STRING + "|" + _TEMPLATE
     + r"|(?<![\w$)\]}\"'`.]\s{0,9})" + _REGEX + rf"|(?<=\b(?:{_WORDS_BEFORE_REGEX})\s{{0,9}})" + _REGEX
     + r"|0[xXbBoO][\da-fA-F_]++n?|\d[\d_]*+(?:\.[\d_]++)?(?:[eE][+-]?\d++)?n?|[#]?[\p{L}_$][\p{L}\p{N}_$]*+|" + _PUNCTUATION + r"|\S)"
 )
@@ -43,7 +43,7 @@ def tokens(texts: DataFrame, file: str = "file", text: str = "text") -> DataFram
     """file, n, kind, t, at, until, line: the tokens of each text but its comments, in order; ``at`` and ``until`` count
     characters from 0. Kinds: word, number, string, template, regex, mark."""
     each = texts.select(F.col(file).alias("file"), F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("n", "raw"))
-    t = F.regexp_replace("raw", r"^[\s﻿]+", "")
+    t = F.regexp_replace("raw", r"^[\s\uFEFF]+", "")
     kind = (
         F.when(t.rlike(r"^/[/*]"), "comment").when(t.rlike("^[\"']"), "string").when(t.startswith("`"), "template").when(t.startswith("/") & (F.length(t) > 1) & (t != "/="), "regex")
         .when(t.rlike(r"^\d"), "number").when(t.rlike(r"^#?[\p{L}_$]"), "word").otherwise("mark")

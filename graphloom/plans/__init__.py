@@ -1,8 +1,8 @@
 """Queries bound to the given tables, and their SQL."""
 
-from . import body_queries, code_queries, context_queries, derived_queries, fact_queries, graph_queries, lookup_queries, prefab_queries, source_queries
+from . import body_queries, code_queries, context_queries, derived_queries, fact_queries, feature_queries, graph_queries, lookup_queries, prefab_queries, source_queries
 
-ALL = graph_queries.QUERIES | fact_queries.QUERIES | source_queries.QUERIES | context_queries.QUERIES | derived_queries.QUERIES | prefab_queries.QUERIES | body_queries.QUERIES | lookup_queries.QUERIES | code_queries.QUERIES
+ALL = graph_queries.QUERIES | fact_queries.QUERIES | source_queries.QUERIES | context_queries.QUERIES | derived_queries.QUERIES | prefab_queries.QUERIES | body_queries.QUERIES | lookup_queries.QUERIES | code_queries.QUERIES | feature_queries.QUERIES
 
 
 def queries() -> dict:

@@ -171,3 +171,26 @@ def test_states_of_tables(spark):  # noqa: F811
     changes = spark.createDataFrame([("x", "p", "changed"), ("x", "q", "added"), ("f", "p", "same"), ("v", "p", "changed")], "key string, path string, change string")
     got = {r.key: (r.status, r.reasons) for r in freshness.states(tables, changes, "1").collect()}
     assert got == {"m": ("missing", ["missing-kb"]), "c": ("unknown", ["missing-kb-config"]), "s": ("unknown", ["missing-source-snapshot"]), "v": ("unknown", ["source-snapshot-version-unsupported"]), "f": ("fresh", []), "x": ("stale", ["source-files-added", "source-files-changed"]), "o": ("stale", ["tool-version-changed"])}
+
+
+def test_readers_and_small_rules(spark, tmp_path):  # noqa: F811
+    from pyspark.sql import functions as F
+
+    from graphloom.functions import text as T
+    from graphloom.operators import features, learn
+    from graphloom.sources import files
+
+    log = str(tmp_path / "log")
+    files.append_lines(spark.createDataFrame([(1, "a")], "n int, s string"), log)
+    files.append_lines(spark.createDataFrame([(2, "b")], "n int, s string"), log)
+    (tmp_path / "log" / "bad.json").write_text('{"n": no\n{"n": 3}\n')
+    read = files.json_lines(spark, log, "n int, s string").collect()
+    assert sorted((r.n or 0, r._corrupt_record is None) for r in read) == [(0, False), (1, True), (2, True), (3, True)]
+    assert [graph.depth_policy(*a) for a in ((None,), (0,), (3,), (None, "fullstack"), (6, "fullstack"))] == [2, 2, 3, 4, 6]
+    paths = spark.createDataFrame([(r"C:\Work\App\x.ts",), ("c:/work/app/y/z.ts",), ("other/x",), (None,)], "p string")
+    assert [r.x for r in paths.select(T.workspace_relative(F.col("p"), r"c:\work\app").alias("x")).collect()] == ["x.ts", "y/z.ts", "other/x", ""]
+    seen = spark.createDataFrame([("a", None, f"f{i:02}") for i in range(15)] + [("a", "t", "z"), ("b", "t", None)], "kind string, target string, file string")
+    got = {(r.kind, r.target): (r.n, r.confidence, r.evidence) for r in learn.learned_shares(seen, ["kind"], ["target"], "file").collect()}
+    assert got == {("a", None): (15, 0.9375, [f"f{i:02}" for i in range(10)]), ("a", "t"): (1, 0.0625, ["z"]), ("b", "t"): (1, 1.0, None)}
+    empty = features.data_root(seen.selectExpr("kind AS id").limit(0), seen.selectExpr("kind AS id"), spark.createDataFrame([], "code string, severity string")).first()
+    assert (empty.workspaces, empty.registered, empty.manifest_only, empty.ok, empty.actions) == (2, 0, 2, True, ["register_workspace"])
