@@ -20,21 +20,40 @@ MAX_EPOCHS = 3
 RANGES = 1024
 
 
+def _numbered(d: DataFrame) -> DataFrame:
+    """Rows with ``repeat``: 0, or of rows that repeat doc_id, text and source their number from 0, whichever has which.
+
+    They are numbered within the partitions they were written in, behind those of the partitions before, so no task holds
+    all repeats of a row.
+    """
+    same = ["doc_id", "hash", "source"]
+    once, some = d.where("rows IS NULL").withColumn("repeat", F.lit(0).cast("long")), d.where("rows IS NOT NULL")
+    counts = some.groupBy(*same, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in (*same, "part")], before.alias("before"))
+    on = F.col("part") == F.col("_part")
+    for c in same:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    own = F.row_number().over(Window.partitionBy(*same, "part").orderBy("hash"))
+    some = some.withColumn("own", own).join(counts, on).withColumn("repeat", F.col("before") + F.col("own") - 1)
+    return once.unionByName(some.select(*once.columns))
+
+
 def sized(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, source, size, hash, key and the columns ``more``: a row per row of ``docs``.
 
     size: words in the text (null: 0). quality: 1 / (1 + |characters per word - 7|), the weight of the draw: text of
     ordinary word lengths comes first; 1 / 8 without words. u: 52 bits of md5(doc_id), so reruns agree. Where rows of
     several texts share a doc_id, or have none, the text of the smallest hash draws by the doc_id alone and each other
-    one by doc_id and hash, so every text has a draw of its own.
+    one by doc_id and hash, so every text has a draw of its own; rows that repeat both draw by their number too.
     """
     require(docs, "doc_id", "text", "source")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = written(docs.select("doc_id", "source", words.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.xxhash64("text").alias("hash"), *more), "mix-texts")
-    several = d.groupBy(F.col("doc_id").alias("s_id")).agg(F.min("hash").alias("first"), F.max("hash").alias("last")).where("first < last").select("s_id", "first")
-    d = d.join(several, F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
+    d = written(docs.select("doc_id", "source", words.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("part"), *more), "mix-texts")
+    several = d.groupBy(F.col("doc_id").alias("s_id")).agg(F.min("hash").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("s_id", "first", "rows")
+    d = _numbered(d.join(several, F.col("doc_id").eqNullSafe(F.col("s_id")), "left"))
     quality = F.when(F.col("size") > 0, 1.0 / (1.0 + F.abs(F.col("chars") / F.col("size") - 7.0))).otherwise(0.125)
-    drawn = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("hash") > F.col("first"), F.concat(F.lit(" "), F.col("hash"))).otherwise(""))
+    drawn = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("hash") > F.col("first"), F.concat(F.lit(" "), F.col("hash"))).otherwise(""), F.when(F.col("repeat") > 0, F.concat(F.lit("#"), F.col("repeat"))).otherwise(""))
     bits = F.conv(F.substring(F.md5(drawn.cast("binary")), 1, 13), 16, 10).cast("double")
     return d.withColumn("quality", quality).select("doc_id", "source", "size", "hash", (-F.log((bits + 0.5) / float(1 << 52)) / F.col("quality")).alias("key"), *more)
 

@@ -181,3 +181,21 @@ def test_vocabulary_of_words_beyond_a_piece_is_counted(spark):
     df = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
     got = {r["doc_id"]: r["n_tokens"] for r in rows(token_counts.count_tokens(df))}
     assert got == {i: counter.text(t) for i, t in enumerate(texts)} and got[0] == got[1] == got[2] == 0 and got[5] == 3 * counter.word("word")
+
+
+def test_rows_that_repeat_everything_draw_apart(spark):
+    """Repeats of one row have keys of their own, the same whatever the partitions, so no range of keys holds them all."""
+    from graphloom.llm import mixing
+
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "'same words here' AS text", "'a' AS source").union(spark.range(300).selectExpr("id + 10", "concat('other words ', id)", "'b'")).union(spark.range(50).selectExpr("CAST(NULL AS long)", "'none'", "'c'"))
+    keys = {}
+    for parts in (1, 5):
+        found = rows(mixing.sized(docs.repartition(parts)))
+        keys[parts] = sorted((r["doc_id"] or -1, r["source"], r["key"]) for r in found)
+    assert keys[1] == keys[5] and len(set(keys[1])) == 3350
+    ranges = {int(k / (k + 1.5) * mixing.RANGES) for d, s, k in keys[1] if d == 7}
+    assert len(ranges) > 300
+    mix = rows(mixing.mix(docs))
+    for s in "abc":
+        own = [r for r in mix if r["source"] == s]
+        assert sum(r["taken"] for r in own) == int(own[0]["target"])
