@@ -64,12 +64,14 @@ def fingerprint(files: DataFrame, digits: int = 3) -> DataFrame:
 HELD = 256
 
 
-def whole_fingerprint(files: DataFrame, held: float = HELD) -> DataFrame:
+def whole_fingerprint(files: DataFrame, held: float = HELD, digits: int | None = None) -> DataFrame:
     """One row: files, fingerprint: a tree of hashes (V1). The leaves are buckets of about ``held`` files, as many digits as
-    that takes, three at least; each level above hashes the 4096 buckets below it, in order."""
-    digits, n = 3, files.count()
-    while n > held * 16**digits:
-        digits += 3
+    that takes, three at least; each level above hashes the 4096 buckets below it, in order. With ``digits``, a multiple of
+    three, the tree is as deep whatever the number of files, so that fingerprints compare while a project grows."""
+    if digits is None:
+        digits, n = 3, files.count()
+        while n > held * 16**digits:
+            digits += 3
     level = fingerprint(files, digits)
     for up in range(digits - 3, -1, -3):
         lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "fingerprint"))), "\n")

@@ -161,3 +161,10 @@ def test_builds(spark):
     assert lifecycle.path_issues(empty, spark.createDataFrame([], "path string"), spark.createDataFrame([("kb",)], "path string")).count() == 1
     w = spark.createDataFrame([("a", None), ("b", 2), ("c", 3), ("d", 3)], "id string, updated_at int")
     assert [r.id for r in lifecycle.latest_first(w).collect()] == ["c", "d", "b", "a"]
+
+
+def test_whole_fingerprint_of_a_fixed_depth(spark):
+    from graphloom.operators import freshness
+
+    files = spark.range(3000).selectExpr("concat('p', id) AS path", "id AS size", "'h' AS hash")
+    assert freshness.whole_fingerprint(files, held=0.1, digits=3).first() == freshness.whole_fingerprint(files).first()
