@@ -150,7 +150,7 @@ def without_comments(text: Column | str) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else _COMMENTED.sub(lambda m: m[1] or ("\n" if m[0].startswith("//") else ""), t))
 
-    return F.pandas_udf(run, "string")(text)
+    return F.pandas_udf(run, "string").asNondeterministic()(text)
 
 
 def operations(text: Column | str) -> Column:
@@ -162,7 +162,8 @@ def operations(text: Column | str) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(_operations)
 
-    return F.pandas_udf(run, OPERATION)(text)
+    # Marked so that filters and unnesting above it don't run it again.
+    return F.pandas_udf(run, OPERATION).asNondeterministic()(text)
 
 
 def _docs(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -316,7 +317,7 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     def run(found: pd.Series) -> pd.Series:
         return found.map(_methods)
 
-    return texts.select(F.col(file).alias("file"), F.explode(F.pandas_udf(run, METHOD)(text)).alias("m")).select("file", "m.*")
+    return texts.select(F.col(file).alias("file"), F.pandas_udf(run, METHOD).asNondeterministic()(text).alias("ms")).select("file", F.explode("ms").alias("m")).select("file", "m.*")
 
 
 def method_calls(found: DataFrame, names: DataFrame, fields: DataFrame) -> DataFrame:
@@ -326,7 +327,7 @@ def method_calls(found: DataFrame, names: DataFrame, fields: DataFrame) -> DataF
     owner is imported; field if its owner is a typed field of the object; else unresolved. ``specifier`` is where
     the callee comes from, null for local and unresolved ones.
     """
-    ops = found.select("file", F.col("method").alias("caller"), F.explode(operations("body")).alias("o")).where("o.type = 'method_call'").select("file", "caller", F.regexp_replace("o.target", "^global:", "").alias("t"))
+    ops = found.select("file", F.col("method").alias("caller"), operations("body").alias("os")).select("file", "caller", F.explode("os").alias("o")).where("o.type = 'method_call'").select("file", "caller", F.regexp_replace("o.target", "^global:", "").alias("t"))
     callee, owner = F.regexp_extract("t", r"([^.]*)$", 1), F.regexp_replace("t", r"\.?[^.]*$", "")
     # Equal calls of a method are counted before they are joined.
     calls = ops.select("file", "caller", callee.alias("callee"), owner.alias("owner")).groupBy("file", "caller", "callee", "owner").agg(F.count(F.lit(1)).alias("n"))

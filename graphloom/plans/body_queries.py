@@ -38,6 +38,8 @@ export const api{k} = { get kind() { return Kind{p}; }, other: Alias, local: Pla
 def derived_bodies(spark, d):
     """file, text: a class for each order."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("c"), F.col("o_orderstatus").alias("s"), F.left("o_orderpriority", F.lit(1)).alias("p"))
+    # A table of one file is read by one task, however long its texts are looked at.
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     text = F.lit(BODY)
     for name in "kcsp":
         text = F.replace(text, F.lit("{" + name + "}"), F.col(name))

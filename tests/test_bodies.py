@@ -168,3 +168,10 @@ def test_whole_fingerprint_of_a_fixed_depth(spark):
 
     files = spark.range(3000).selectExpr("concat('p', id) AS path", "id AS size", "'h' AS hash")
     assert freshness.whole_fingerprint(files, held=0.1, digits=3).first() == freshness.whole_fingerprint(files).first()
+
+
+def test_one_file_of_texts_is_dealt_over_tasks(spark):
+    import test_queries
+    from graphloom.plans import body_queries
+
+    assert body_queries.derived_bodies(spark, test_queries.SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
