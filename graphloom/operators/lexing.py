@@ -2,7 +2,8 @@
 
 A text is cut by one pattern on the JVM that tells comments, strings, templates and regular expressions apart; brackets
 are matched by running depth over a file's tokens; what belongs together is then found among siblings, the tokens
-directly inside one pair of brackets, by windows over them. One shuffle by file serves all windows. What a template
+directly inside one pair of brackets, by windows over them. Texts are dealt by file before they are cut, so that no
+window moves their tokens, and equal texts are looked at once for operations (``once``). What a template
 holds between '${' and '}' is part of the template.
 
 An unclosed bracket, string or comment ends with the text and spoils nothing before it; null and empty texts give nothing.
@@ -10,6 +11,8 @@ An unclosed bracket, string or comment ends with the text and spoils nothing bef
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +42,35 @@ _OPERATORS = ("=", "+", "-", "*", "/", "%", "&", "|", "^", "?", ":", ",", ".", "
 ARRAY_METHODS = ("filter", "map", "reduce", "find", "some", "every", "sort")
 
 
+#: Characters of texts that a task cuts on average: what a window sorts stays the same however many texts there are.
+DEALT = 1 << 21
+
+
+def _dealt(texts: DataFrame, file: str, text: str) -> DataFrame:
+    """file, text: texts dealt by file, in as many parts as their length takes. They are written, as they are read more
+    than once."""
+    t = written(texts.select(F.col(file).alias("file"), F.col(text).alias("text")), "code-texts")
+    size = t.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return t.repartition(int(size // DEALT) + 1, "file")
+
+
+def once(texts: DataFrame, file: str, text: str, of: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """The rows that ``of(texts, "file", "text")`` finds in each text, by ``file``; equal texts are looked at once."""
+    same = F.unhex(F.sha2(text, 256)).alias("file")
+    t = written(texts.select(F.col(file).alias("_file"), F.col(text).alias("text"), same).where("text <> ''"), "code-once")
+    found = of(t.groupBy("file").agg(F.any_value("text").alias("text")), "file", "text")
+    return t.select("_file", "file").join(found, "file").drop("file").withColumnRenamed("_file", "file").select(*found.columns)
+
+
 def tokens(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """file, n, kind, t, at, until, line: the tokens of each text but its comments, in order; ``at`` and ``until`` count
     characters from 0. Kinds: word, number, string, template, regex, mark."""
-    each = texts.select(F.col(file).alias("file"), F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("n", "raw"))
+    return _cut(_dealt(texts, file, text))
+
+
+def _cut(dealt: DataFrame) -> DataFrame:
+    """``tokens`` of texts that are dealt by file."""
+    each = dealt.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("n", "raw"))
     t = F.regexp_replace("raw", r"^[\s\uFEFF]+", "")
     kind = (
         F.when(t.rlike(r"^/[/*]"), "comment").when(t.rlike("^[\"']"), "string").when(t.startswith("`"), "template").when(t.startswith("/") & (F.length(t) > 1) & (t != "/="), "regex")
@@ -116,7 +144,8 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     ``form``: declared, arrow or function; ``at`` and ``until`` are the place of the body in the text, between its braces
     if it has any. A declaration without a body, and a head in a comment, string or regular expression, gives nothing.
     """
-    d = siblings(nested(tokens(texts, file, text)))
+    texts = _dealt(texts, file, text)
+    d = siblings(nested(_cut(texts)))
     is_paren = _mark("(")
     block = F.struct("n", (F.col("at") + 1).alias("at"), F.col("inner_end").alias("until"))
     d = d.select("*", _next(block, _mark("{") & ~F.col("prev").isin(*_BEFORE_TYPE)).alias("f_body"), _next("n", _mark(";", "=")).alias("f_stop"), _next("n", _mark(";")).alias("f_semicolon"), _before("end").alias("prev_end"), _after("at").alias("next_at"), _after("inner_end").alias("next_inner"))
@@ -157,7 +186,7 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     # Parameters and patterns with a function as their default are none.
     found = F.coalesce("declared", F.when(named & F.col("parent_t").isin("", "{"), F.coalesce(plain, after_type)))
     heads = d.select("file", "n", "t", "line", found.alias("m")).where("m IS NOT NULL").select("file", "n", F.col("t").alias("method"), "line", "m.*")
-    whole = heads.join(texts.select(F.col(file).alias("file"), F.col(text).alias("_text")), "file")
+    whole = heads.join(texts.select("file", F.col("text").alias("_text")), "file")
     cut = lambda a, b: F.substring("_text", (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
     return whole.select("file", "method", "form", F.trim(F.regexp_replace(cut("p_at", "p_until"), r"\s+", " ")).alias("params"), "line", cut("at", "until").alias("body"), "at", "until")
 
@@ -257,6 +286,10 @@ def operations(texts: DataFrame, file: str = "file", text: str = "text") -> Data
     and source, and ``flag`` for a fallback; a statement of several declarations or of a pattern is one
     'multi_assignment'. Constructors, do-while loops and compound assignments are none.
     """
+    return once(texts, file, text, _operations)
+
+
+def _operations(texts: DataFrame, file: str, text: str) -> DataFrame:
     no, in_chain = F.lit(False), _in_chain()
     rows = _statements(_kinds(_chains(texts, file, text)))
     rows = rows.join(texts.select(F.col(file).alias("file"), F.col(text).alias("_text")), "file")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import written
 from . import lexing
 from .bodies import unquoted
 
@@ -42,6 +43,7 @@ def calls(methods: DataFrame, names: DataFrame, fields: DataFrame, known: DataFr
     reason: a global's service, a member of the instance, or an owner that isn't resolved. ``kind`` says which of local,
     imported, field, ignored, suppressed and unresolved that makes. Bare names that nothing decides are ignored.
     """
+    methods = written(methods.select("file", "method", "body"), "methods")
     ops = _unkeyed(lexing.operations(_keyed(methods), "key", "body")).where("method <> ''").where(~F.col("type").isin("condition", "loop", "return", "assignment", "multi_assignment"))
     owner = F.regexp_replace(F.when(F.col("target") == "global", F.lit("")).otherwise(F.regexp_replace("target", r"\s+", "")), r"\?\.", ".")
     c = ops.select("file", F.col("method_").alias("caller"), F.col("method").alias("callee"), owner.alias("owner")).groupBy("file", "caller", "callee", "owner").agg(F.count(F.lit(1)).alias("n"))
@@ -70,13 +72,9 @@ def state_accesses(methods: DataFrame, fields: DataFrame) -> DataFrame:
     Two anti-joins leave out what is no state: paths that begin with a method of the file, and with a field whose type
     is imported (``fields``: file, field, specifier; null or 'cc' is no import). A comparison writes nothing.
     """
-    d = lexing.siblings(lexing.nested(lexing.tokens(_keyed(methods), "key", "body")))
-    order = Window.partitionBy("file", "parent").orderBy(F.desc("n"))
-    dot = F.col("t").isin(".", "?.") & (F.col("kind") == "mark")
-    joined = dot | F.coalesce(F.col("prev").isin(".", "?.") & (F.col("prev_kind") == "mark"), F.lit(False))
-    d = d.withColumn("chain", F.coalesce(F.sum(F.when(joined, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    g = d.groupBy("file", "parent", "chain").agg(F.min_by("t", "n").alias("root"), F.array_sort(F.collect_list(F.when((F.col("kind") == "word") & F.coalesce(F.col("prev").isin(".", "?."), F.lit(False)), F.struct("n", "t")))).alias("names"), F.max_by(F.struct("next", "next_kind"), "n").alias("after"), F.max_by("t", "n").alias("last"), F.min_by("prev", "n").alias("before"))
-    g = _unkeyed(g.where("root = 'this'")).withColumn("path", F.transform("names", lambda x: x["t"])).where("size(path) > 0")
+    methods = written(methods.select("file", "method", "body"), "methods")
+    g = lexing.once(_keyed(methods), "key", "body", _paths)
+    g = _unkeyed(g).withColumn("path", F.transform("names", lambda x: x["t"])).where("size(path) > 0")
     called = F.coalesce((F.col("after.next") == "(") & (F.col("last") != "?."), F.lit(False)) | (F.col("last") == "?.")
     held = F.when(called, F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))).otherwise(F.col("path"))
     changed = F.when(called, F.element_at("path", -1).isin(*MUTATING)).otherwise(F.coalesce(F.col("after.next").isin(*_ASSIGNS) & (F.col("after.next_kind") == "mark"), F.lit(False)) | F.coalesce(F.col("before").isin("++", "--"), F.lit(False)))
@@ -88,6 +86,17 @@ def state_accesses(methods: DataFrame, fields: DataFrame) -> DataFrame:
     return s.join(typed, ["file", "root"], "left_anti").select("file", "method", "state", "access")
 
 
+def _paths(texts: DataFrame, file: str, text: str) -> DataFrame:
+    """file, names, after, last, before: the chains of each text that begin with 'this', and what stands around them."""
+    d = lexing.siblings(lexing.nested(lexing.tokens(texts, file, text)))
+    order = Window.partitionBy("file", "parent").orderBy(F.desc("n"))
+    dot = F.col("t").isin(".", "?.") & (F.col("kind") == "mark")
+    joined = dot | F.coalesce(F.col("prev").isin(".", "?.") & (F.col("prev_kind") == "mark"), F.lit(False))
+    d = d.withColumn("chain", F.coalesce(F.sum(F.when(joined, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    g = d.groupBy("file", "parent", "chain").agg(F.min_by("t", "n").alias("root"), F.array_sort(F.collect_list(F.when((F.col("kind") == "word") & F.coalesce(F.col("prev").isin(".", "?."), F.lit(False)), F.struct("n", "t")))).alias("names"), F.max_by(F.struct("next", "next_kind"), "n").alias("after"), F.max_by("t", "n").alias("last"), F.min_by("prev", "n").alias("before"))
+    return g.where("root = 'this'").select("file", "names", "after", "last", "before")
+
+
 def touched(accesses: DataFrame) -> DataFrame:
     """file, method, reads, writes: arrays of states, as ``linking.handler_states`` takes methods."""
     of = lambda a: F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("access") == a, F.col("state")))))

@@ -101,3 +101,14 @@ def test_merged_by_overlap(spark):  # noqa: F811
 def test_places_of_matches(spark):  # noqa: F811
     t = texts(spark, "ab--abab", "", None, "x")
     assert {(r.file, r.hit, r.at, r.until) for r in M.located(t, "ab").collect()} == {("f0", "ab", 0, 2), ("f0", "ab", 4, 6), ("f0", "ab", 6, 8)}
+
+
+def test_equal_texts_are_looked_at_once(spark):  # noqa: F811
+    seen = []
+
+    def of(t, file, text):
+        seen.append(t.count())
+        return t.select(file, text)
+
+    found = X.once(texts(spark, "a()", "a()", "b()", "", None), "file", "text", of)
+    assert seen == [2] and sorted((r.file, r.text) for r in found.collect()) == [("f0", "a()"), ("f1", "a()"), ("f2", "b()")]
