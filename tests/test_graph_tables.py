@@ -51,6 +51,24 @@ def test_lookup_reads_the_folders_asked_for(small):
     assert {(r.id, r.depth) for r in graph.walk(found.steps("downstream"), found.saying("open", "meta:methodName"), None).collect()} == {("method:a", 0), ("request:b", 1), ("table:c", 2)}
 
 
+def test_runs_of_values_alike_are_told_once(spark):  # noqa: F811
+    """A run of what values have in common is one row for all of them; every run still names just the values that hold it."""
+    values = [f"order:12{i:02d}" for i in range(100)] + ["a", "ab", "aab", "b", "日本語"]
+    rows = lookup.grams(spark.createDataFrame([(v,) for v in [*values, "ab"]], "value string")).collect()
+    got = [(r.run, r.stem + r.tails[i : i + r.width]) for r in rows for i in range(0, len(r.tails), r.width)]
+    assert sorted(got) == sorted({(v[i : i + n], v) for v in values for n in (1, 2, 3) for i in range(len(v) - n + 1)})
+    assert sum(r.run == "ord" for r in rows) == 1 and 4 * len(rows) < len(got)
+
+
+def test_lookup_writes_the_tables_asked_for(spark, small):  # noqa: F811
+    nodes, edges, whole = small
+    few = lookup.build(nodes, edges, shared_dir(spark, "test-lookup"), ("values",))
+    assert {tuple(r) for r in few.table("values").collect()} == {tuple(r) for r in whole.table("values").collect()}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        few.table("edges")
+    assert {(r.src, r.dst) for r in whole.steps("upstream").collect()} == {("method:a", "request:b"), ("request:b", "table:c")}
+
+
 def test_walks_of_many_sets(spark):  # noqa: F811
     step = spark.createDataFrame([("k1", "a", "b"), ("k1", "b", "c"), ("k1", "c", "a"), ("k2", "b", "d"), ("k2", "a", "d")], "key string, from_id string, to_id string")
     starts = spark.createDataFrame([("k1", 1, "a"), ("k1", 2, "b"), ("k2", 1, "a")], "key string, set int, id string")
