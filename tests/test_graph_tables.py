@@ -85,6 +85,21 @@ def test_flows_begin_at_requests_or_methods(spark):  # noqa: F811
     assert {(r.start, r.depth, r.src, r.dst) for r in got if r.feature == "g"} == {("m4", 1, "m4", "m3"), ("m4", 2, "m3", "m0"), ("m3", 1, "m3", "m0")}
 
 
+def test_features_of_one_graph_need_no_edges_of_their_own(spark):  # noqa: F811
+    """Flows and cards from the whole graph's edges are those from each feature's own."""
+    ids = {"f": ["m:1", "r:1", "t:1", "t:2"], "g": ["m:2", "r:2", "t:1"], "h": ["m:3"]}
+    kinds = {"m": "method", "r": "request", "t": "table"}
+    members = spark.createDataFrame([(f, i, kinds[i[0]], i.upper(), "auth.ts", int(i[2])) for f, each in ids.items() for i in each], "feature string, id string, type string, name string, file string, place int")
+    whole = [("m:1", "r:1", "requests"), ("m:2", "r:2", "requests"), ("m:3", "m:3", "calls"), ("r:1", "t:1", "reads"), ("r:1", "t:1", "writes"), ("r:1", "t:2", "reads"), ("r:2", "t:1", "reads"), ("t:1", "m:1", "calls"), ("t:9", "t:1", "reads")]
+    edges = spark.createDataFrame(whole, "src string, dst string, type string")
+    own = members.select("feature", "id").join(edges, members["id"] == edges["src"]).select("feature", "src", "dst", "type")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    # In g a table calls what is no member: a card counts it, a flow goes on to where it leads.
+    assert rows(context.feature_cards(members, edges)) == rows(context.feature_cards(members, own))
+    f = members.where("feature <> 'g'")
+    assert rows(context.flows(f, edges.union(edges))) == rows(context.flows(f, own))
+
+
 def configured(spark, files):  # noqa: F811
     return imports.configurations(spark.createDataFrame(files, "file string, text string"))
 
