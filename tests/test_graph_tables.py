@@ -100,6 +100,15 @@ def test_features_of_one_graph_need_no_edges_of_their_own(spark):  # noqa: F811
     assert rows(context.flows(f, edges.union(edges))) == rows(context.flows(f, own))
 
 
+def test_card_sorts_no_whole_section(spark):  # noqa: F811
+    nodes = spark.createDataFrame([(f"m{i}", "method", f"n{i}") for i in range(40)] + [("t", "table", "t")], "id string, type string, name string")
+    edges = spark.createDataFrame([(f"m{i}", "t", "reads", "") for i in range(40)] + [("m7", "m30", "calls", "")], "src string, dst string, type string, operation string")
+    card = context.feature_card(nodes, edges, 3)
+    assert card._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject") == 3
+    want = [("core-methods", 1, "m30", 2), ("core-methods", 2, "m7", 2), ("core-methods", 3, "m0", 1), ("tables", 1, "t", 40), ("types", 1, "method", 40), ("types", 2, "table", 1)]
+    assert sorted((r.section, r.place, r.id, r.n) for r in card.collect()) == want
+
+
 def configured(spark, files):  # noqa: F811
     return imports.configurations(spark.createDataFrame(files, "file string, text string"))
 
