@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 _QUOTED = r""""[^"\\]*(?:\\.[^"\\]*)*"?|'[^'\\]*(?:\\.[^'\\]*)*'?|`[^`\\]*(?:\\.[^`\\]*)*`?"""
-#: A regular expression with what stands before it, which tells it from a division.
-_REGEX = r"(?:[=(,:\[!&|?{};>]|\b(?:return|typeof|case))\s*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
-_COMMENTED = re.compile(rf"({_QUOTED}|{_REGEX})|//[^\n]*\n?|/\*.*?(?:\*/|\Z)", re.DOTALL)
-_TOKEN = re.compile(rf"{_QUOTED}|//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<regex>{_REGEX})|[()\[\]{{}},]", re.DOTALL)
+#: A quoted part, a comment or a slash; and these or a bracket or comma. All begin with a fixed character, so that the
+#: search passes over whatever lies between.
+_PLAIN = re.compile(rf"{_QUOTED}|//[^\n]*\n?|/\*.*?(?:\*/|\Z)|/", re.DOTALL)
+_TOKEN = re.compile(rf"\(|\)|\[|\]|\{{|\}}|,|{_PLAIN.pattern}", re.DOTALL)
+#: A regular expression; what stands before it tells it from a division.
+_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", re.DOTALL)
+_BEFORE_REGEX, _WORDS_BEFORE_REGEX = frozenset("=(,:[!&|?{};>"), ("return", "typeof", "case")
 _NAMED = re.compile(r"(?:(?<![\w$.])((?:[A-Za-z_$][\w$]*\s*\.\s*)*)|(?<=[)\]])(\s*\.\s*))([A-Za-z_$][\w$]*)\s*\(")
 _EARLY = re.compile(r"\s*(?:return\b|\{\s*return\b[^;{}]*;?\s*\})")
 _DECLARED = re.compile(r"\s*(?::[^{}();=]*)?\{")
@@ -38,24 +41,89 @@ BRACKETED = "array<struct<name: string, head: string, inside: string, parts: arr
 DOC = "struct<description: string, params: map<string, struct<type: string, description: string>>, returns: string, returns_type: string, examples: array<string>, see: array<string>, since: string, deprecated: boolean>"
 
 
+def _regex_end(text: str, at: int, last: int) -> int:
+    """Where the regular expression that the slash at ``at`` begins ends, or 0 for a division; what ends at ``last`` was
+    quoted, a comment or a regular expression and tells nothing."""
+    i = at
+    while i > last and text[i - 1].isspace():
+        i -= 1
+    if i == last:
+        return 0
+    if text[i - 1] not in _BEFORE_REGEX:
+        word = next((w for w in _WORDS_BEFORE_REGEX if i - len(w) >= last and text.startswith(w, i - len(w))), "")
+        before = text[i - len(word) - 1 : i - len(word)] if i > len(word) else ""
+        if not word or before == "_" or before.isalnum():
+            return 0
+    m = _REGEX.match(text, at)
+    return m.end() if m else 0
+
+
+def _passed(text: str, at: int = 0, last: int = 0, pattern: re.Pattern = _PLAIN) -> Iterator[tuple[int, int]]:
+    """Start and end of what ``pattern`` finds from ``at``, without divisions; see ``_regex_end`` for ``last``."""
+    while m := pattern.search(text, at):
+        start, at = m.span()
+        if text[start] in "()[]{},":
+            yield start, at
+        elif text[start] != "/" or at - start > 1:
+            yield start, (last := at)
+        elif end := _regex_end(text, start, last):
+            at = last = end
+            yield start, at
+
+
 def _pairs(text: str) -> dict[int, tuple[int, list[int]]]:
     """Where each closed bracket opens, to where it closes and the commas directly inside."""
     found, open_ = {}, []
-    for m in _TOKEN.finditer(text):
-        c = m[0][0] if m["regex"] else m[0]
-        if c in ("(", "[", "{"):
-            open_.append((m.start(), []))
+    for at, _ in _passed(text, pattern=_TOKEN):
+        c = text[at]
+        if c in "([{":
+            open_.append((at, []))
         elif open_ and c == ",":
-            open_[-1][1].append(m.start())
-        elif open_ and c in (")", "]", "}"):
-            at, commas = open_.pop()
-            found[at] = (m.start(), commas)
+            open_[-1][1].append(at)
+        elif open_ and c in ")]}":
+            start, commas = open_.pop()
+            found[start] = (at, commas)
+    return found
+
+
+def _pairs_at(text: str, asked: list[int]) -> dict[int, tuple[int, list[int]]]:
+    """What ``_pairs`` has for the brackets at the places asked for, which are in order: up to them only quotes, comments
+    and regular expressions are passed, and brackets are matched inside them only."""
+    found, passed = {}, _passed(text)
+    last, (start, end) = 0, next(passed, (len(text), len(text)))
+    for place in asked:
+        while end <= place and start < len(text):
+            last, (start, end) = end, next(passed, (len(text), len(text)))
+        if start <= place:
+            continue
+        deep, commas = 0, []
+        for at, _ in _passed(text, place, last, _TOKEN):
+            c = text[at]
+            if c in "([{":
+                deep += 1
+            elif c == "," and deep == 1:
+                commas.append(at)
+            elif c in ")]}":
+                deep -= 1
+                if not deep:
+                    found[place] = (at, commas)
+                    break
     return found
 
 
+def _uncommented(text: str, shown: Callable[[str], str]) -> str:
+    """The text with what ``shown`` makes of its comments."""
+    out, kept = [], 0
+    for at, end in _passed(text):
+        if text.startswith(("//", "/*"), at):
+            out += text[kept:at], shown(text[at:end])
+            kept = end
+    return "".join(out) + text[kept:] if out else text
+
+
 def _masked(text: str) -> str:
     """The text with blanks for its comments, so that places and lines stay as they are."""
-    return _COMMENTED.sub(lambda m: m[1] or re.sub(r"[^\n]", " ", m[0]), text)
+    return _uncommented(text, lambda c: re.sub(r"[^\n]", " ", c))
 
 
 def _short(text: str) -> str:
@@ -148,9 +216,10 @@ def without_comments(text: Column | str) -> Column:
     """Source without comments; what looks like one in quotes stays."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else _COMMENTED.sub(lambda m: m[1] or ("\n" if m[0].startswith("//") else ""), t))
+        return texts.map(lambda t: t if t is None else _uncommented(t, lambda c: "\n" if c.startswith("//") else ""))
 
-    return F.pandas_udf(run, "string").asNondeterministic()(text)
+    # Not marked as ``operations`` is: what looks into this in Python can run in the same batch.
+    return F.pandas_udf(run, "string")(text)
 
 
 def operations(text: Column | str) -> Column:
@@ -183,8 +252,9 @@ def bracketed(text: Column | str, pattern: str) -> Column:
     compiled = re.compile(pattern)
 
     def of(text: str | None) -> list[dict]:
-        pairs, out = _pairs(text) if text else {}, []
-        for m in compiled.finditer(text or ""):
+        heads, out = list(compiled.finditer(text or "")), []
+        pairs = _pairs_at(text, [m.end() - 1 for m in heads]) if heads else {}
+        for m in heads:
             if (pair := pairs.get(m.end() - 1)) is not None:
                 cuts = [m.end() - 1, *pair[1], pair[0]]
                 parts = [text[a + 1 : b].strip() for a, b in zip(cuts, cuts[1:])]
@@ -199,8 +269,8 @@ def bracketed(text: Column | str, pattern: str) -> Column:
 
 def unquoted(c: Column) -> Column:
     """An expression on one line, without its quotes."""
-    flat = F.trim(F.regexp_replace(c, r"\s+", " "))
-    return F.when(flat.rlike("""^(["'`]).*\\1$"""), F.substring(flat, F.lit(2), F.length(flat) - 2)).otherwise(flat)
+    flat = F.array(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.transform(flat, lambda x: F.when(x.rlike("""^(["'`]).*\\1$"""), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))[0]
 
 
 def property_of(c: Column, key: str) -> Column:
@@ -258,25 +328,28 @@ def inline_events(texts: DataFrame, file: str = "file", text: str = "text") -> D
     return inline.where("event <> ''").select("file", "bus", "mode", "event", called.alias("calls"))
 
 
-def handler_maps(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+def handler_maps(texts: DataFrame, file: str = "file", text: Column | str = "text") -> DataFrame:
     """file, map, event, handler: fields that name a method of the object for each event."""
     field = r"(?m)^[ \t]*(?:(?:public|private|protected|readonly)[ \t]+)*([A-Za-z_$][\w$]*)[ \t]*(?::[^=\n]+)?=\s*\{"
-    each = texts.select(F.col(file).alias("file"), F.explode(bracketed(text, field)).alias("b")).select("file", F.col("b.name").alias("map"), F.explode("b.parts").alias("part"))
+    each = texts.select(F.col(file).alias("file"), F.explode(bracketed(text, field)).alias("b"))
     entry = r"(?s)^(.*\S)\s*:\s*this\.([A-Za-z_$][\w$]*)$"
-    key = F.regexp_replace(F.trim(F.regexp_extract("part", entry, 1)), r"^\[\s*(.*?)\s*\]$", "$1")
-    return each.where(F.col("part").rlike(entry)).select("file", "map", unquoted(key).alias("event"), F.regexp_extract("part", entry, 2).alias("handler")).where("event <> ''").distinct()
+    key = lambda p: F.regexp_replace(F.trim(F.regexp_extract(p, entry, 1)), r"^\[\s*(.*?)\s*\]$", "$1")
+    # Entries are read before they are unnested, so that no filter on them reads them again.
+    entries = F.transform(F.filter("b.parts", lambda p: p.rlike(entry)), lambda p: F.struct(unquoted(key(p)).alias("event"), F.regexp_extract(p, entry, 2).alias("handler")))
+    return each.select("file", F.col("b.name").alias("map"), F.explode(entries).alias("x")).select("file", "map", "x.*").where("event <> ''").distinct()
 
 
-def mapped_events(texts: DataFrame, maps: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+def mapped_events(texts: DataFrame, maps: DataFrame, file: str = "file", text: Column | str = "text") -> DataFrame:
     """file, bus, mode, event, handler, map: subscriptions of every entry of a handler map."""
     each = texts.select(F.col(file).alias("file"), F.explode(bracketed(text, r"\bObject\.entries\(this\.([A-Za-z_$][\w$]*)\)\.forEach\(")).alias("b"))
-    body = F.array_join(F.col("b.parts"), ",")
     names = r"(?s)^\(\s*\[\s*([\w$]+)\s*,\s*([\w$]+)\s*\]\s*\)\s*=>"
-    each = each.select("file", F.col("b.name").alias("map"), body.alias("body"), F.regexp_extract(body, names, 1).alias("e"), F.regexp_extract(body, names, 2).alias("h")).where("e <> ''")
     on = r"\b(eventBus|oops\.message)\.(on|once)\(\s*([\w$]+)\s*,\s*([\w$]+)\s*,\s*this\s*\)"
-    each = each.select("file", "map", "e", "h", F.explode(F.regexp_extract_all("body", F.lit(on), F.lit(0))).alias("s"))
-    got = lambda i: F.regexp_extract("s", on, i)
-    used = each.where((got(3) == F.col("e")) & (got(4) == F.col("h"))).select("file", "map", got(1).alias("bus"), got(2).alias("mode"))
+    # A body is read before it is unnested, so that no filter reads it again.
+    one = lambda m: F.struct(*[F.regexp_extract(m, on, i).alias(n) for i, n in enumerate(("bus", "mode", "e", "h"), 1)])
+    read = lambda x: F.struct(F.regexp_extract(x, names, 1).alias("e"), F.regexp_extract(x, names, 2).alias("h"), F.transform(F.regexp_extract_all(x, F.lit(on), F.lit(0)), one).alias("uses"))
+    body = F.explode(F.transform(F.array(F.array_join(F.col("b.parts"), ",")), read))
+    each = each.select("file", F.col("b.name").alias("map"), body.alias("x")).where("x.e <> ''").select("file", "map", "x.e", "x.h", F.explode("x.uses").alias("s"))
+    used = each.where("s.e = e AND s.h = h").select("file", "map", "s.bus", "s.mode")
     return used.join(maps, ["file", "map"]).select("file", "bus", "mode", "event", "handler", "map")
 
 

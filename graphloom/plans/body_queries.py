@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import authoring as A
@@ -40,9 +42,8 @@ def derived_bodies(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("c"), F.col("o_orderstatus").alias("s"), F.left("o_orderpriority", F.lit(1)).alias("p"))
     # A table of one file is read by one task, however long its texts are looked at.
     o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
-    text = F.lit(BODY)
-    for name in "kcsp":
-        text = F.replace(text, F.lit("{" + name + "}"), F.col(name))
+    # What is fixed and what is filled in take turns.
+    text = F.concat(*[F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{([kcsp])\}", BODY))])
     return o.select(F.concat(F.lit("o/"), "k", F.lit(".ts")).alias("file"), text.alias("text"))
 
 
@@ -111,8 +112,8 @@ def inline_events(spark, d):
 
 def mapped_events(spark, d):
     """Subscriptions of every entry of the orders' handler maps."""
-    b = _bare(spark, d)
-    return B.mapped_events(b, B.handler_maps(b))
+    b, bare = derived_bodies(spark, d), B.without_comments("text")
+    return B.mapped_events(b, B.handler_maps(b, text=bare), text=bare)
 
 
 def source_namespaces(spark, d):

@@ -175,3 +175,18 @@ def test_one_file_of_texts_is_dealt_over_tasks(spark):
     from graphloom.plans import body_queries
 
     assert body_queries.derived_bodies(spark, test_queries.SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_brackets_are_told_in_one_place_as_in_the_whole(spark):
+    for text in ('f("(", /[)]/g, [1, 2]) // g(\n{a, b}', "a = b / (c, d) / 2; (/x(/)", "return /(/ (1, (2, 3))", "/* ( */ ('\\'(', `)`)]", "x_return /(/, (1)", "(", "/a/return /b(/ (1)"):
+        places = [i for i, c in enumerate(text) if c in "([{"]
+        assert bodies._pairs_at(text, places) == bodies._pairs(text), text
+    assert bodies._pairs("f(/[)]/, 'a)')") == {1: (13, [7])} and bodies._pairs("a / (b) / c") == {4: (6, [])}
+
+
+def test_texts_are_looked_at_in_one_batch(spark):
+    files = spark.createDataFrame([("a.ts", "class A {\n  on = { 'x': this.x, [y]: this.y, z: 1 }; // {\n  all() { Object.entries(this.on).forEach(([e, h]) => { eventBus.on(e, h, this); }); }\n}\n")], "file string, text string")
+    bare = bodies.without_comments("text")
+    maps = bodies.handler_maps(files, text=bare)
+    assert {tuple(r) for r in bodies.mapped_events(files, maps, text=bare).collect()} == {("a.ts", "eventBus", "on", e, h, "on") for e, h in (("x", "x"), ("y", "y"))}
+    assert maps._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
