@@ -373,11 +373,14 @@ def field_types(texts: DataFrame, names: DataFrame, file: str = "file", text: st
     its types and for decorated ones; else null.
     """
     member = r"(?m)^[ \t]*(?:@(?:property|type)\s*\(([^)]*)\)\s*)?(?:(?:public|private|protected|readonly|static)[ \t]+)*([A-Za-z$][\w$]*)[ \t]*[!?]?[ \t]*(?::[ \t]*([^=\n;]+?))?[ \t]*(?:=[^;\n]*)?;"
-    each = texts.select(F.col(file).alias("file"), F.explode(F.regexp_extract_all(text, F.lit(member), F.lit(0))).alias("m"))
-    given, said = F.trim(F.regexp_extract("m", member, 3)), F.trim(F.regexp_extract("m", member, 1))
+    # A member is cut into its parts once, before it is unnested, so that no filter on them cuts it again. Neither the name
+    # nor what the decorator says holds a closing bracket.
+    parts = F.transform(F.regexp_extract_all(text, F.lit(member), F.lit(0)), lambda m: F.split(F.regexp_replace(m, member, "$2)$1)$3"), r"\)", 3))
+    each = texts.select(F.col(file).alias("file"), F.explode(parts).alias("m"))
+    given, said = F.trim(F.col("m")[2]), F.trim(F.col("m")[1])
     decorated = F.when(said.startswith("{"), property_of(said, "type")).otherwise(said)
     raw = F.when(given != "", given).otherwise(decorated)
-    found = each.select("file", F.regexp_extract("m", member, 2).alias("field"), raw.alias("raw"), T.type_name(raw).alias("base"), F.when(given != "", "annotation").otherwise("decorator").alias("via")).where("raw <> '' AND field NOT IN ('return', 'case', 'default')")
+    found = each.select("file", F.col("m")[0].alias("field"), raw.alias("raw"), T.type_name(raw).alias("base"), F.when(given != "", "annotation").otherwise("decorator").alias("via")).where("raw <> '' AND field NOT IN ('return', 'case', 'default')")
     sources = names.groupBy("file", F.col("identifier").alias("base")).agg(F.max("specifier").alias("imported"))
     own = F.when(F.col("raw").startswith("cc.") | (F.col("via") == "decorator"), "cc")
     return found.distinct().join(sources, ["file", "base"], "left").select("file", "field", "raw", "base", F.coalesce("imported", own).alias("specifier"), "via")

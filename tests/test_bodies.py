@@ -190,3 +190,11 @@ def test_texts_are_looked_at_in_one_batch(spark):
     maps = bodies.handler_maps(files, text=bare)
     assert {tuple(r) for r in bodies.mapped_events(files, maps, text=bare).collect()} == {("a.ts", "eventBus", "on", e, h, "on") for e, h in (("x", "x"), ("y", "y"))}
     assert maps._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_members_are_cut_once(spark):
+    fields = spark.createDataFrame([("f", "class A {\n  @property({ type: [Item] })\n  private list: Map<a, (b) => c> = new Map();\n  @type(Item)\n  item;\n}\n")], "file string, text string")
+    names = spark.createDataFrame([("f", "./item", "Item", "Item", "named")], "file string, specifier string, identifier string, imported string, kind string")
+    found = bodies.field_types(fields, names)
+    assert {(r.field, r.via, r.specifier) for r in found.collect()} == {("list", "annotation", None), ("item", "decorator", "./item")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(m") == 0
