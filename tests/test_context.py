@@ -211,3 +211,23 @@ def test_prefabs(spark):
     assert [(r.property, r.value) for r in prefab.overrides(found).collect()] == [("_lpos.x", '{"x":1}')]
     meta = spark.createDataFrame([("s/Shop.ts.meta", '{"uuid":"fc991dd7-0033-4b80-9d41-c8a86a702e59"}'), ("x.d.ts.meta", '{"uuid":"u"}'), ("p.prefab.meta", '{"uuid":"v"}'), ("p.png.meta", "{}"), ("p.ts", "")], "path string, text string")
     assert {(r.path, r.kind, r.short) for r in prefab.catalog(meta).collect()} == {("s/Shop.ts", "script", "fc9913XADNLgJ1ByKhqcC5Z"), ("x.d.ts", "asset", "u"), ("p.prefab", "prefab", "v")}
+
+
+def test_signals_by_words_and_patterns(spark):
+    texts = ["src/API/x.ts", "api", "a/apis", "route.ts", "routexts", "schema.prisma x", "DB", " Token ", "订单", "跨端 graph", "", None, "mall|shop", "order"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    slow = F.array_compact(F.array(*[F.when(T.normal(F.col("t")).rlike(p), F.lit(k)) for k, p in T.SIGNALS.items()]))
+    for r in rows.select("t", T.signals(F.col("t")).alias("a"), slow.alias("b")).collect():
+        assert r.a == r.b, r.t
+    got = rows.select("t", *[T.has_any(F.col("t"), p).alias(k) for k, p in (("x", r"a\|b|mall\|"), ("y", r"(?:^|x)api|[|]|\.ts$"))]).collect()
+    assert {r.t for r in got if r.x} == {"mall|shop"} and {r.t for r in got if r.y} == {"api", "a/apis", "route.ts", "mall|shop", "src/API/x.ts"} - {"a/apis"}
+
+
+def test_changes_move_once(spark):
+    tasks = spark.createDataFrame([(1, None, None), (2, "x", None)], "id long, task string, files array<string>")
+    changes = spark.createDataFrame([(1, "A/x.ts"), (1, "A/x.ts"), (1, "lib/API/b.ts"), (2, None)], "id long, file string")
+    boundary = spark.createDataFrame([(1, None, [" a// ", "", None]), (2, ["q.ts"], [])], "id long, primary array<string>, roots array<string>")
+    critical = spark.createDataFrame([(1, "LIB/api/B.ts"), (1, "chat.ts"), (2, "other.ts")], "id long, file string")
+    found = execution.validate(tasks, changes, boundary, critical)
+    assert {(r.id, r.outside, r.risky, r.missing) for r in found.collect()} == {(1, 0, 1, 1), (2, 0, 0, 0)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [id") == 1
