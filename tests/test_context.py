@@ -231,3 +231,14 @@ def test_changes_move_once(spark):
     found = execution.validate(tasks, changes, boundary, critical)
     assert {(r.id, r.outside, r.risky, r.missing) for r in found.collect()} == {(1, 0, 1, 1), (2, 0, 0, 0)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [id") == 1
+
+
+def test_steps_are_sieved_before_they_move(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(300)] + [("n3", "n9"), ("n3", "n9"), (None, "n1"), ("n5", None)], "src string, dst string")
+    starts = spark.createDataFrame([("n3",), ("n200",), (None,)], "id string")
+    step = graph.steps(edges, "both")
+    told = lambda stored: {tuple(r) for r in graph.walk(step, starts, 3, stored=stored).collect()}
+    assert told(False) == told(True) and ("n8", 2) in told(False)
+    kept = graph.sieve(step, "from_id", starts)
+    assert {r.from_id for r in kept.collect()} == {"n3", "n200", None}
+    assert {r.from_id for r in graph.sieve(step, "from_id", starts, bits=6).collect()} >= {"n3", "n200"}
