@@ -242,3 +242,11 @@ def test_steps_are_sieved_before_they_move(spark):
     kept = graph.sieve(step, "from_id", starts)
     assert {r.from_id for r in kept.collect()} == {"n3", "n200", None}
     assert {r.from_id for r in graph.sieve(step, "from_id", starts, bits=6).collect()} >= {"n3", "n200"}
+
+
+def test_evidence_has_names_from_the_same_joins(spark):
+    edges = spark.createDataFrame([("a", "b", "calls"), ("b", "x", "calls"), (None, "b", "calls")], "src string, dst string, type string")
+    nodes = spark.createDataFrame([("a", "method", "A.run"), ("b", "request", "GET /b")], "id string, type string, name string")
+    found = context.edge_evidence(edges, nodes, "r", named=True)
+    assert sorted(map(str, found.collect())) == sorted(map(str, context.named_edges(context.edge_evidence(edges, nodes, "r"), nodes).collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
