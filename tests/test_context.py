@@ -250,3 +250,11 @@ def test_evidence_has_names_from_the_same_joins(spark):
     found = context.edge_evidence(edges, nodes, "r", named=True)
     assert sorted(map(str, found.collect())) == sorted(map(str, context.named_edges(context.edge_evidence(edges, nodes, "r"), nodes).collect()))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+
+
+def test_risk_looks_at_equal_words_once(spark):
+    related = spark.createDataFrame([("method", "a", "f")] * 3, "type string, name string, file string")
+    found = spark.createDataFrame([("writes", "token"), ("writes", "token"), ("reads", None)], "type string, operation string")
+    level = context.risk(related, found)
+    assert level.first().level == "high" and context.risk(related, found.limit(0)).first().level == "low"
+    assert level._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [type") == 2
