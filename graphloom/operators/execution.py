@@ -53,7 +53,8 @@ def within_boundary(changes: DataFrame, boundary: DataFrame) -> DataFrame:
     roots = F.filter(F.transform("roots", lambda r: F.regexp_replace(T.normal(r), "/+$", "")), lambda r: r.isNull() | (r != ""))
     joined = changes.join(boundary.select("id", "primary", roots.alias("roots")), "id", "left")
     primary, roots = (F.coalesce(c, F.array().cast("array<string>")) for c in ("primary", "roots"))
-    hit = F.exists(primary, lambda p: T.ends_like(F.col("file"), p)) | F.exists(roots, lambda r: T.under(F.col("file"), r))
+    below = F.exists(F.array(T.normal(F.col("file"))), lambda f: F.exists(roots, lambda r: (f == r) | F.startswith(f, F.concat(r, F.lit("/")))))
+    hit = F.exists(primary, lambda p: T.ends_like(F.col("file"), p)) | below
     return joined.select("id", "file", hit.alias("within"))
 
 
