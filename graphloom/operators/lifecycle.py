@@ -8,25 +8,39 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def publish(tables: dict[str, DataFrame], root: str, version: int) -> None:
+_POINTER = "version int, tables array<string>, onto int"
+
+
+def publish(tables: dict[str, DataFrame], root: str, version: int, onto: int | None = None) -> None:
     """Writes tables as one version below ``root``; readers see it once its last file, the pointer, is there.
 
     A build that fails leaves no pointer, so the version before it stays the current one; a version that has a pointer
-    is never written again.
+    is never written again. With ``onto``, the tables are what this version adds to that one, whose folders it refers to.
     """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, sorted(tables))], "version int, tables array<string>").coalesce(1).write.mode("errorifexists").json(f"{root}/pointers/{version}")
+    spark.createDataFrame([(version, sorted(tables), onto)], _POINTER).coalesce(1).write.mode("errorifexists").json(f"{root}/pointers/{version}")
+
+
+def newest(spark: SparkSession, root: str, *names: str) -> int | None:
+    """The newest whole version of these tables, if it is the same for all of them."""
+    found = spark.read.schema(_POINTER).option("recursiveFileLookup", True).json(f"{root}/pointers")
+    of = {found.where(F.array_contains("tables", n)).agg(F.max("version").alias("v")).first()["v"] for n in names}
+    return of.pop() if len(of) == 1 else None
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the newest whole version."""
-    found = spark.read.schema("version int, tables array<string>").option("recursiveFileLookup", True).json(f"{root}/pointers")
-    newest = found.where(F.array_contains("tables", name)).agg(F.max("version").alias("v")).first()["v"]
-    if newest is None:
+    found = spark.read.schema(_POINTER).option("recursiveFileLookup", True).json(f"{root}/pointers").where(F.array_contains("tables", name))
+    onto = {r["version"]: r["onto"] for r in found.collect()}
+    if not onto:
         raise ValueError(f"no version of {name} below {root}")
-    return spark.read.parquet(f"{root}/version={newest}/{name}")
+    versions = [max(onto)]
+    while (before := onto[versions[-1]]) is not None:
+        versions.append(before)
+    paths = [f"{root}/version={v}/{name}" for v in versions]
+    return spark.read.schema(spark.read.parquet(paths[-1]).schema).parquet(*paths)
 
 
 def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:

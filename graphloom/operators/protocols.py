@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import written
 from . import lifecycle
 from .learn import confidence
 
@@ -89,23 +90,30 @@ def learned_delta(patterns: DataFrame, actors: DataFrame, nodes: DataFrame) -> t
     return new.dropDuplicates(["id"]), edges.distinct()
 
 
-def augmented(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph with a delta: a node's or edge's first one stays; edges are told apart by their ends, type
-    and ``meta_key``; ends that are no nodes become nodes of type 'unknown' (B7, B2)."""
-    columns = nodes.columns
-    fitted = new_nodes.select(*[F.col(c) if c in new_nodes.columns else F.lit(None).alias(c) for c in columns])
-    n = nodes.unionByName(fitted.join(nodes.select("id"), "id", "left_anti").select(*columns))
+def added(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that a delta adds to a graph: a node's or edge's first one stays; edges are told apart by their ends,
+    type and ``meta_key``; ends that are no nodes become nodes of type 'unknown' (B7, B2)."""
+    like = lambda df, of, **given: df.select(*[given.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in of.dtypes])
+    n = like(new_nodes, nodes).join(nodes.select("id"), "id", "left_anti").select(*nodes.columns)
     key = ["src", "dst", "type", "meta_key"]
     own = edges if "meta_key" in edges.columns else edges.withColumn("meta_key", F.lit(""))
-    fresh = new_edges.join(own.select(*key), key, "left_anti")
-    e = own.unionByName(fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).alias(c) for c in own.columns]).dropDuplicates(key))
-    ends = fresh.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(n.select("id"), "id", "left_anti")
-    missing = ends.select(*[F.col("id") if c == "id" else F.lit("unknown").alias(c) if c == "type" else F.col("id").alias(c) if c == "name" else F.lit(None).alias(c) for c in columns])
-    return n.unionByName(missing), e
+    # Stored, as both edges and their ends are asked for, and to find them all known edges move.
+    fresh = written(new_edges.dropDuplicates(key).join(own.select(*key), key, "left_anti"), "fresh-edges")
+    ends = fresh.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(nodes.select("id").union(n.select("id")), "id", "left_anti")
+    return n.unionByName(like(ends, nodes, type=F.lit("unknown"), name=F.col("id"))), like(fresh, own)
+
+
+def augmented(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph with what ``added`` gives."""
+    n, e = added(nodes, edges, new_nodes, new_edges)
+    own = edges if "meta_key" in edges.columns else edges.withColumn("meta_key", F.lit(""))
+    return nodes.unionByName(n), own.unionByName(e)
 
 
 def write_back(spark: SparkSession, root: str, version: int, patterns: DataFrame, actors: DataFrame) -> None:
     """Publishes the newest version below ``root`` with learned messages as the next one; the old one stays as it is."""
     nodes, edges = lifecycle.current(spark, root, "nodes"), lifecycle.current(spark, root, "edges")
-    n, e = augmented(nodes, edges, *learned_delta(patterns, actors, nodes))
-    lifecycle.publish({"nodes": n, "edges": e}, root, version)
+    delta = learned_delta(patterns, actors, nodes)
+    onto = lifecycle.newest(spark, root, "nodes", "edges") if "meta_key" in edges.columns else None
+    n, e = augmented(nodes, edges, *delta) if onto is None else added(nodes, edges, *delta)
+    lifecycle.publish({"nodes": n, "edges": e}, root, version, onto)

@@ -236,3 +236,18 @@ def test_readers_and_small_rules(spark, tmp_path):  # noqa: F811
     assert got == {("a", None): (15, 0.9375, [f"f{i:02}" for i in range(10)]), ("a", "t"): (1, 0.0625, ["z"]), ("b", "t"): (1, 1.0, None)}
     empty = features.data_root(seen.selectExpr("kind AS id").limit(0), seen.selectExpr("kind AS id"), spark.createDataFrame([], "code string, severity string")).first()
     assert (empty.workspaces, empty.registered, empty.manifest_only, empty.ok, empty.actions) == (2, 0, 2, True, ["register_workspace"])
+
+
+def test_a_version_adds_to_the_one_before(spark, tmp_path):  # noqa: F811
+    root = str(tmp_path)
+    nodes = spark.createDataFrame([("m:a", "method", "A", "a.ts", "frontend")], "id string, type string, name string, file string, area string")
+    edges = spark.createDataFrame([("m:a", "m:z", "calls", "", "k")], "src string, dst string, type string, operation string, meta_key string")
+    lifecycle.publish({"nodes": nodes, "edges": edges}, root, 1)
+    patterns = spark.createDataFrame([("x", "ws", 0.5, "x.ts")], "message string, protocol string, confidence double, file string")
+    actors = spark.createDataFrame([("x", "handler", "m:a", "", ""), ("x", "handler", "m:a", "", ""), ("x", "handler", "m:none", "", "")], "message string, role string, id string, name string, callee string")
+    for version in (2, 3):  # what is there is not added again
+        protocols.write_back(spark, root, version, patterns, actors)
+        assert {r.id for r in lifecycle.current(spark, root, "nodes").collect()} == {"m:a", "message:ws:x"}
+        assert sorted(r.dst for r in lifecycle.current(spark, root, "edges").collect()) == ["m:a", "m:z"]
+        assert lifecycle.current(spark, root, "nodes").count() == 2
+    assert [spark.read.parquet(f"{root}/version={v}/edges").count() for v in (1, 2, 3)] == [1, 1, 0]
