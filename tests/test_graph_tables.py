@@ -6,6 +6,7 @@ import pytest
 from test_queries import spark  # noqa: F401
 
 from graphloom.operators import context, freshness, graph, imports, lifecycle, lookup, protocols, rebuild, search, selectors
+from graphloom.plans import lookup_queries
 from graphloom.sources.storage import shared_dir
 
 NODE = "id string, type string, name string, file string, area string, tags array<string>, meta map<string,string>"
@@ -251,3 +252,8 @@ def test_a_version_adds_to_the_one_before(spark, tmp_path):  # noqa: F811
         assert sorted(r.dst for r in lifecycle.current(spark, root, "edges").collect()) == ["m:a", "m:z"]
         assert lifecycle.current(spark, root, "nodes").count() == 2
     assert [spark.read.parquet(f"{root}/version={v}/edges").count() for v in (1, 2, 3)] == [1, 1, 0]
+
+
+def test_neighbours_of_every_route_and_module(spark):  # noqa: F811
+    found = lookup_queries.lookup_neighbours(spark, "/root/testdata/sf0.001").select("id").distinct().collect()
+    assert {r.id for r in found} == {f"nation:{i}" for i in range(25)} | {f"region:{i}" for i in range(5)}
