@@ -3,8 +3,8 @@
 A text is cut by one pattern on the JVM that tells comments, strings, templates and regular expressions apart; brackets
 are matched by running depth over a file's tokens; what belongs together is then found among siblings, the tokens
 directly inside one pair of brackets, by windows over them. Texts are dealt by file before they are cut, so that no
-window moves their tokens, and equal texts are looked at once for operations (``once``). What a template
-holds between '${' and '}' is part of the template.
+window moves their tokens, and equal texts are looked at once for operations (``once``), equal pieces of texts for
+methods (``methods``). What a template holds between '${' and '}' is part of the template.
 
 An unclosed bracket, string or comment ends with the text and spoils nothing before it; null and empty texts give nothing.
 """
@@ -12,6 +12,8 @@ An unclosed bracket, string or comment ends with the text and spoils nothing bef
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from ..sources.storage import written
 
 _STRING = r"""\"[^\"\\\n]*+(?:\\(?s:.)[^\"\\\n]*+)*+\"?|'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'?"""
-_TEMPLATE = r"""`(?:[^`\\$]++|\\(?s:.)|\$(?!\{)|\$\{(?:[^{}`"']++|"[^"\n]*+"|'[^'\n]*+'|\{[^{}]*+\}|`[^`]*+`)*+\})*+`|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`?"""
+_WHOLE_TEMPLATE = r"""`(?:[^`\\$]++|\\(?s:.)|\$(?!\{)|\$\{(?:[^{}`"']++|"[^"\n]*+"|'[^'\n]*+'|\{[^{}]*+\}|`[^`]*+`)*+\})*+`"""
+_TEMPLATE = _WHOLE_TEMPLATE + r"""|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`?"""
 _REGEX = r"""/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"""
 _WORDS_BEFORE_REGEX = "return|typeof|case|in|of|delete|void|throw|else|do|yield|await"
 _PUNCTUATION = r"=>|\?\.(?!\d)|\.\.\.|>>>=|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|<<"
@@ -46,17 +49,24 @@ ARRAY_METHODS = ("filter", "map", "reduce", "find", "some", "every", "sort")
 DEALT = 1 << 21
 
 
-def _dealt(texts: DataFrame, file: str, text: str) -> DataFrame:
-    """file, text: texts dealt by file, in as many parts as their length takes. They are written, as they are read more
-    than once."""
-    t = written(texts.select(F.col(file).alias("file"), F.col(text).alias("text")), "code-texts")
+def _stored(texts: DataFrame, file: str, text: str) -> DataFrame:
+    """file, text: texts that are written, as they are read more than once."""
+    return written(texts.select(F.col(file).alias("file"), F.col(text).alias("text")), "code-texts")
+
+
+def _spread(t: DataFrame) -> DataFrame:
+    """Stored texts dealt by file, in as many parts as their length takes."""
     size = t.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     return t.repartition(int(size // DEALT) + 1, "file")
 
 
+def _dealt(texts: DataFrame, file: str, text: str) -> DataFrame:
+    return _spread(_stored(texts, file, text))
+
+
 def once(texts: DataFrame, file: str, text: str, of: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
     """The rows that ``of(texts, "file", "text")`` finds in each text, by ``file``; equal texts are looked at once."""
-    same = F.unhex(F.sha2(text, 256)).alias("file")
+    same = _same(text).alias("file")
     t = written(texts.select(F.col(file).alias("_file"), F.col(text).alias("text"), same).where("text <> ''"), "code-once")
     found = of(t.groupBy("file").agg(F.any_value("text").alias("text")), "file", "text")
     return t.select("_file", "file").join(found, "file").drop("file").withColumnRenamed("_file", "file").select(*found.columns)
@@ -144,7 +154,82 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     ``form``: declared, arrow or function; ``at`` and ``until`` are the place of the body in the text, between its braces
     if it has any. A declaration without a body, and a head in a comment, string or regular expression, gives nothing.
     """
-    texts = _dealt(texts, file, text)
+    t = _stored(texts, file, text).where("file IS NOT NULL AND text <> ''")
+    pieces = t.select(F.explode(_pieces("text")).alias("text")).distinct().select(_same("text").alias("file"), "text")
+    found = written(_of_pieces(_dealt(pieces, "file", "text")), "code-pieces")
+    placed = written(_placed(t, found), "code-placed")
+    columns = ["method", "form", "params", "line", "body", "at", "until"]
+    inside = found.select(F.col("file").alias("piece"), F.inline("methods")).select("piece", *columns)
+    rows = placed.where("apart").join(inside, "piece").select("file", "method", "form", "params", (F.col("line") + F.col("lines")).cast("int").alias("line"), "body", *[(F.col(c) + F.col("place")).alias(c) for c in ("at", "until")])
+    whole = placed.where("NOT apart").select("file").distinct()
+    if whole.isEmpty():
+        return rows
+    return rows.unionByName(once(t.join(whole, "file", "left_semi"), "file", "text", lambda x, f, c: _of_texts(_dealt(x, f, c))).select(*rows.columns))
+
+
+#: A piece of a text: up to a line that begins near the margin with a word or a comment, or with a closing brace. A cut holds (``_placed``) if no token crosses it, a word that begins a statement comes next, and nothing that
+#: makes a method before it depends on what comes after it; else the text is looked at as a whole.
+PIECE = r"[^\n]*+(?:\n(?![ \t]{0,2}(?:[A-Za-z_$]|/[/*])|\})[^\n]*+)*+\n?"
+#: What a token before a cut is not, besides an operator.
+_NOT_LAST = (*_OPERATORS, "extends", "keyof", "as", "async")
+
+
+def _same(text: Column | str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _key(text: str) -> list[Column]:
+    """Two hashes by which a text finds its equal, cheaper than ``_same``."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _pieces(text: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def _of_pieces(pieces: DataFrame) -> DataFrame:
+    """file, k1, k2, size, breaks, starts, ends, step, low, methods of texts that are dealt by file: their hashes, characters
+    and lines, whether they may begin after a cut and end before one, by how much the brackets at their end are deeper than at their begin (null: in no way that other pieces
+    could go on from) and whether they close what they have not opened."""
+    raw = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
+    # A template that ends at the first backtick, for want of a better end, could end elsewhere in a longer text.
+    odd = F.exists(raw, lambda r: r.rlike(r"^[\s\uFEFF]*+`") & ~r.rlike(r"^[\s\uFEFF]*+(?:" + _WHOLE_TEMPLATE + r")\z"))
+    left = F.length("text") > F.aggregate(raw, F.lit(0), lambda n, r: n + F.length(r))
+    tokens = _cut(pieces)
+    opens, closes = _mark(*OPEN), _mark(*CLOSE)
+    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shape = tokens.withColumn("depth", depth).groupBy("file").agg(F.count(F.lit(1)).alias("tokens"), F.min("depth").alias("least"), F.max_by("depth", "n").alias("deep"), F.min_by(F.struct("t", "kind"), "n").alias("first"), F.max_by(F.struct("t", "kind"), "n").alias("last"))
+    heads = _heads(pieces)
+    looks_on = heads.where("looks_on").select("file").distinct().withColumn("looks_on", F.lit(True))
+    of = _of_texts(pieces, heads).groupBy("file").agg(F.collect_list(F.struct("method", "form", "params", "line", "body", "at", "until")).alias("methods"))
+    d = pieces.select("file", *_key("text"), F.length("text").alias("size"), F.regexp_count("text", F.lit("\n")).alias("breaks"), (left & ~odd).alias("whole")).join(shape, "file", "left").join(looks_on, "file", "left").join(of, "file", "left")
+    closing = (F.col("first.t") == "}") & (F.col("first.kind") == "mark") & ((F.col("tokens") == 1) | ((F.col("tokens") == 2) & (F.col("last.t") == ";")))
+    opening = (F.col("least") >= 0) & (F.col("deep") == 1) & (F.col("last.t") == "{") & (F.col("last.kind") == "mark") & F.col("methods").isNull()
+    step = F.when(F.col("tokens").isNull() | ((F.col("least") >= 0) & (F.col("deep") == 0)), 0).when(closing, -1).when(opening, 1)
+    no = F.lit(False)
+    starts = F.col("tokens").isNull() | F.coalesce(closing | (F.col("first.kind") == "word"), no)
+    ends = F.col("whole") & F.col("looks_on").isNull() & ~F.coalesce(F.col("last.t").isin(*_NOT_LAST), no)
+    return d.select("file", "k1", "k2", "size", "breaks", starts.alias("starts"), ends.alias("ends"), step.alias("step"), F.coalesce((F.col("least") < 0) & ~closing, no).alias("low"), "methods")
+
+
+def _placed(t: DataFrame, found: DataFrame) -> DataFrame:
+    """file, piece, place, lines, apart of the pieces of stored texts that have methods, and of one piece of each text that
+    must be looked at as a whole (``apart`` is false): characters and lines before them."""
+    # What is left at a text's end is empty.
+    pieces = _spread(t).select("file", F.posexplode(_pieces("text")).alias("i", "text")).where("text <> ''")
+    pieces = pieces.select("file", "i", *_key("text"))
+    pieces = pieces.join(found.select("k1", "k2", F.col("file").alias("piece"), "size", "breaks", "starts", "ends", "step", "low", F.col("methods").isNotNull().alias("has")), ["k1", "k2"])
+    order = Window.partitionBy("file").orderBy("i")
+    before, upto, text = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = pieces.select("*", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("place"), F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("lines"), F.sum(F.coalesce("step", F.lit(0))).over(upto).alias("deep"), F.max("i").over(text).alias("last"))
+    cut = (F.col("starts") | (F.col("i") == 0)) & ((F.col("ends") & F.col("step").isNotNull()) | (F.col("i") == F.col("last"))) & ~F.col("low") & (F.col("deep") >= 0)
+    d = d.withColumn("apart", F.min(cut | (F.col("last") == 0)).over(text))
+    return d.where("(apart AND has) OR (NOT apart AND i = 0)").select("file", "piece", "place", "lines", "apart")
+
+
+def _heads(texts: DataFrame) -> DataFrame:
+    """file, n, t, line, m, looks_on of texts that are dealt by file: the tokens that name a method, with its form and the
+    places of its parameters and body as ``m``, and those that would look on into a text that follows."""
     d = siblings(nested(_cut(texts)))
     is_paren = _mark("(")
     block = F.struct("n", (F.col("at") + 1).alias("at"), F.col("inner_end").alias("until"))
@@ -185,7 +270,23 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     plain = F.when(((F.col("next") == "=") & ~of_type) | ((F.col("next") == ":") & F.coalesce(F.col("prev").isin(",", "{"), F.lit(True)) | ((F.col("next") == ":") & F.col("begins"))), F.col("own"))
     # Parameters and patterns with a function as their default are none.
     found = F.coalesce("declared", F.when(named & F.col("parent_t").isin("", "{"), F.coalesce(plain, after_type)))
-    heads = d.select("file", "n", "t", "line", found.alias("m")).where("m IS NOT NULL").select("file", "n", F.col("t").alias("method"), "line", "m.*")
+    # What would look on into a text that follows this one; see ``PIECE``.
+    none = lambda *c: reduce(and_, [F.col(x).isNull() for x in c])
+    given_after = F.col("prev").isin("=", ":", "async")
+    looks_on = [
+        F.col("t") == "function",
+        is_paren & (F.col("next") == ":") & none("f_stop") & (none("f_body") | (none("f_arrow") & given_after)),
+        (F.col("t") == "<") & given_after & (F.col("generic.next") == ":") & none("generic.f_stop", "generic.f_arrow"),
+        ((F.col("t") == "<") | (F.col("next") == "<")) & none("generic", "f_semicolon", "f_body"),
+        (F.col("kind") == "word") & (F.col("next") == ":") & none("typed", "next_stop"),
+    ]
+    looks_on = (F.col("parent") == -1) & reduce(or_, [F.coalesce(c, F.lit(False)) for c in looks_on])
+    return d.select("file", "n", "t", "line", found.alias("m"), looks_on.alias("looks_on")).where("m IS NOT NULL OR looks_on")
+
+
+def _of_texts(texts: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """``methods`` of texts that are dealt by file, each as a whole."""
+    heads = (_heads(texts) if heads is None else heads).where("m IS NOT NULL").select("file", "n", F.col("t").alias("method"), "line", "m.*")
     whole = heads.join(texts.select("file", F.col("text").alias("_text")), "file")
     cut = lambda a, b: F.substring("_text", (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
     return whole.select("file", "method", "form", F.trim(F.regexp_replace(cut("p_at", "p_until"), r"\s+", " ")).alias("params"), "line", cut("at", "until").alias("body"), "at", "until")

@@ -3,6 +3,8 @@ brackets, comments and strings in them, follows from each order's lines, and the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -41,10 +43,8 @@ FIELDS = {"O": "  api: Api;\n", "F": "  api: B;\n", "P": ""}
 
 
 def _filled(form: str, **columns):
-    text = F.lit(form)
-    for name, c in columns.items():
-        text = F.replace(text, F.lit("{" + name + "}"), c.cast("string"))
-    return text
+    # What is fixed and what is filled in take turns.
+    return F.concat(*[columns[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(" + "|".join(columns) + r")\}", form))])
 
 
 def _lines(spark, d):
@@ -59,7 +59,7 @@ def derived_classes(spark, d):
     flag = F.when(F.col("l_returnflag") == "N", F.concat("l_returnflag", "l_linestatus")).otherwise(F.col("l_returnflag"))
     at = {"i": F.col("i"), "c": F.col("l_suppkey") % 3, "g": F.col("l_partkey") % 5, "h": F.col("l_partkey") % 2}
     text = F.coalesce(*[F.when(flag == f, _filled(form, **at)) for f, form in FORMS.items()])
-    members = line.select("l_orderkey", F.struct("i", text.alias("text")).alias("m")).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["text"]), "").alias("body"))
+    members = line.select("l_orderkey", F.struct("i", text.alias("text")).alias("m")).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("m"))["text"], "").alias("body"))
     o = table(spark, d, "orders").join(members, F.col("o_orderkey") == F.col("l_orderkey"))
     begin = F.coalesce(*[F.when(F.col("o_orderstatus") == s, F.lit(HEAD + f)) for s, f in FIELDS.items()])
     return o.select(F.concat(F.lit("src/o"), "o_orderkey", F.lit(".ts")).alias("file"), F.concat(begin, "body", F.when(F.col("o_orderstatus") == "P", "").otherwise("}\n")).alias("text"))

@@ -1,5 +1,7 @@
 """Tokens, methods, operations, calls, states and subscriptions of short programs."""
 
+import itertools
+
 import pytest
 from test_queries import spark  # noqa: F401
 
@@ -112,3 +114,30 @@ def test_equal_texts_are_looked_at_once(spark):  # noqa: F811
 
     found = X.once(texts(spark, "a()", "a()", "b()", "", None), "file", "text", of)
     assert seen == [2] and sorted((r.file, r.text) for r in found.collect()) == [("f0", "a()"), ("f1", "a()"), ("f2", "b()")]
+
+
+MEMBERS = ["  a(x) {\n    if (x) { return; }\n  }\n", "  b = (y) => y + 1\n", "  /* c() { } */\n  c<T extends {a: 1}>(z: T): Promise<{a: 1}> { go(); }\n", "  f: F;\n"]
+
+
+def test_equal_pieces_are_looked_at_once(spark, monkeypatch):  # noqa: F811
+    """Classes of the same members in any order make a piece for each member; their methods keep their places."""
+    programs = ["import { B } from './b';\nclass A extends B {\n" + "".join(p) + end for p in itertools.permutations(MEMBERS) for end in ("}\n", "")]
+    seen, of = [], X._of_pieces
+    monkeypatch.setattr(X, "_of_pieces", lambda p: seen.append(p.count()) or of(p))
+    t = texts(spark, *programs)
+    found = X.methods(t).collect()
+    assert seen == [8] and len(found) == 3 * len(programs)
+    for r in found:
+        text = programs[int(r.file[1:])]
+        assert r.body == text[r.at : r.until] and r.line == text[: text.index(f"  {r.method}{'<' if r.method == 'c' else ' ' if r.method == 'b' else '('}")].count("\n") + 1
+
+
+def test_pieces_that_hang_together_are_not_cut(spark):  # noqa: F811
+    """What a token, a bracket or a head goes on from one line to the next is found as in the whole text."""
+    programs = [
+        "class A {\n  t = `a\n  b(x) { }\n`;\n  c() { }\n}\n", "class A {\n  /* a\n  b(x) { }\n*/\n  c() { }\n}\n", "class A {\n  foo(a): void\n  bar() { a(); }\n}\n", "class A {\n  z: {a: 1}\n  y = x => { w(); }\n}\n", "function f(a);\nb(c) { d(); }\n",
+        "x = (a) =>\n  b + c\nd(e) { }\n", "a < b\nc<T>(x) { y(); }\n", "x = async\n  y => z\n", "f(a) {\n  g(b) { c(); }\n}\nh() { }\n", "}\n}\nf(a) {\n  g(b) { c(); }\n", "q = \"a\\\n  b(x) { }\";\nc() { }\n", "x = `a ${ `b\n  c(x) { } ` } d`;\ne() { }\n",
+    ]
+    t = texts(spark, *programs)
+    told = lambda df: sorted(tuple(r) for r in df.select("file", "method", "form", "params", "line", "body", "at", "until").collect())
+    assert told(X.methods(t)) == told(X._of_texts(X._dealt(t, "file", "text")))
