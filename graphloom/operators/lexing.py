@@ -155,7 +155,7 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     if it has any. A declaration without a body, and a head in a comment, string or regular expression, gives nothing.
     """
     t = _stored(texts, file, text).where("file IS NOT NULL AND text <> ''")
-    pieces = t.select(F.explode(_pieces("text")).alias("text")).distinct().select(_same("text").alias("file"), "text")
+    pieces = t.select(F.explode(_pieces("text")).alias("text")).where("text <> ''").distinct().select(_same("text").alias("file"), "text")
     found = written(_of_pieces(_dealt(pieces, "file", "text")), "code-pieces")
     placed = written(_placed(t, found), "code-placed")
     columns = ["method", "form", "params", "line", "body", "at", "until"]
