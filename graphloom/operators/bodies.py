@@ -2,6 +2,7 @@
 
 Where brackets and quotes must be matched, a small Arrow-batched helper walks each text once; the rest are joins and
 expressions. A regular expression is told from a division by what stands before it. Null and empty texts give nothing.
+A worker remembers what it has found in pieces of texts (``_by_pieces``) and looks at equal ones once.
 ``lexing`` finds methods and operations from rows of tokens instead.
 """
 
@@ -10,12 +11,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import written
 
 _QUOTED = r""""[^"\\]*(?:\\.[^"\\]*)*"?|'[^'\\]*(?:\\.[^'\\]*)*'?|`[^`\\]*(?:\\.[^`\\]*)*`?"""
 #: A quoted part, a comment or a slash; and these or a bracket or comma. All begin with a fixed character, so that the
@@ -71,10 +75,10 @@ def _passed(text: str, at: int = 0, last: int = 0, pattern: re.Pattern = _PLAIN)
             yield start, at
 
 
-def _pairs(text: str) -> dict[int, tuple[int, list[int]]]:
+def _pairs(text: str, tokens: list[tuple[int, int]] | None = None) -> dict[int, tuple[int, list[int]]]:
     """Where each closed bracket opens, to where it closes and the commas directly inside."""
     found, open_ = {}, []
-    for at, _ in _passed(text, pattern=_TOKEN):
+    for at, _ in _passed(text, pattern=_TOKEN) if tokens is None else tokens:
         c = text[at]
         if c in "([{":
             open_.append((at, []))
@@ -132,11 +136,92 @@ def _short(text: str) -> str:
     return flat if len(flat) <= 50 else flat[:47] + "..."
 
 
-def _operations(text: str | None) -> list[dict]:
-    if not text:
+#: A piece of a text: up to a line that begins near the margin with a word, a decorator or a comment, or with a closing
+#: brace.
+_PIECE = re.compile(r"[^\n]*(?:\n(?![ \t]{0,2}(?:[A-Za-z_$@]|/[/*])|\})[^\n]*)*\n?")
+#: How many pieces a worker remembers for each thing it looks for, and how long they are at most.
+REMEMBERED, LONGEST = 1 << 14, 1 << 12
+
+
+def _closed(piece: str, tokens: list[tuple[int, int]]) -> bool:
+    """Whether nothing in a piece reaches beyond its end: quotes and comments end there, its last statement or block does,
+    and all its brackets are closed, but for a brace at its end after a head without brackets, or one that it closes."""
+    deep, kept, masked = 0, 0, []
+    for at, end in tokens:
+        c = piece[at]
+        if c in "([{":
+            deep += 1
+        elif c in ")]}":
+            deep -= 1
+            if deep < 0 and piece.strip() not in ("}", "};"):
+                return False
+        elif c != "," and end == len(piece) and not (piece.startswith("//", at) and piece.endswith("\n")):
+            return False
+        elif piece.startswith(("//", "/*"), at):
+            masked.append(piece[kept:at])
+            kept = end
+    last = ("".join(masked) + piece[kept:]).rstrip()
+    if deep > 0 and not (deep == 1 and last.endswith("{") and not set("()[]").intersection(last)):
+        return False
+    return not last or last[-1] in ";{}"
+
+
+def _by_pieces(of: Callable[[str, list | None], list[dict]], kind: str) -> Callable[[str], list[tuple[int, list[list]]]]:
+    """Of a text, for each of its pieces the lines before it and, column by column as in ``kind``, what ``of`` finds in it; a
+    text of which a piece but the last is not closed (``_closed``) is one piece."""
+    names = _names_of(kind)
+    told = lambda found: [[x[n] for x in found] for n in names]
+
+    def both(piece: str) -> tuple[bool, int, list[list]]:
+        tokens = list(_passed(piece, pattern=_TOKEN))
+        # Without comments the tokens are those that ``of`` looks for.
+        plain = "//" not in piece and "/*" not in piece
+        return _closed(piece, tokens), piece.count("\n"), told(of(piece, tokens if plain else None))
+
+    remembered = lru_cache(REMEMBERED)(both)
+
+    def run(text: str) -> list[tuple[int, list[list]]]:
+        pieces = _PIECE.findall(text)
+        if not pieces[-1]:
+            pieces.pop()
+        out, lines = [], 0
+        for i, p in enumerate(pieces, 1):
+            closed, breaks, found = remembered(p) if len(p) <= LONGEST else both(p)
+            if not closed and i < len(pieces):
+                return [(0, told(of(text, None)))]
+            if found[0]:
+                out.append((lines, found))
+            lines += breaks
+        return out
+
+    return run
+
+
+def _names_of(kind: str) -> list[str]:
+    return [x.split(":")[0] for x in kind.removeprefix("array<struct<").split(", ")]
+
+
+def _found(texts: pa.Array, run: Callable[[str], list[tuple[int, list[list]]]], kind: str) -> pa.Array:
+    """What ``_by_pieces`` finds in each text, with the lines of the whole."""
+    names, ends = _names_of(kind), [0]
+    columns: list[list] = [[] for _ in names]
+    at = names.index("line")
+    for text in texts.to_pylist():
+        for lines, found in run(text) if text else ():
+            for c, x in zip(columns, found):
+                c += x
+            if lines:
+                columns[at][-len(found[at]) :] = [n + lines for n in found[at]]
+        ends.append(len(columns[0]))
+    types = {"line": pa.int32(), "flag": pa.bool_()}
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, columns)], names))
+
+
+def _operations_of(text: str, tokens: list[tuple[int, int]] | None) -> list[dict]:
+    text = _masked(text) if tokens is None else text
+    if not ("(" in text or "=" in text or "return" in text):
         return []
-    text = _masked(text)
-    breaks, pairs, found = [m.start() for m in re.finditer("\n", text)], _pairs(text), []
+    breaks, pairs, found = [m.start() for m in re.finditer("\n", text)], _pairs(text, tokens), []
 
     def add(at: int, kind: str, target: str, detail: str, flag: bool = False) -> None:
         found.append((at, {"type": kind, "target": target, "detail": _short(detail), "line": bisect_left(breaks, at) + 1, "flag": flag}))
@@ -164,16 +249,23 @@ def _operations(text: str | None) -> list[dict]:
     return [x for _, x in sorted(found, key=lambda x: x[0])]
 
 
+_operations_by_pieces = _by_pieces(_operations_of, OPERATION)
+
+
+def _operations(texts: pa.Array) -> pa.Array:
+    return _found(texts, _operations_by_pieces, OPERATION)
+
+
 _VARIABLE = re.compile(r"(?<![\w$.])(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\(")
 _ARROW = re.compile(r"\s*(?::[^{}();=]*)?=>\s*\{")
 
 
-def _methods(text: str | None) -> list[dict]:
+def _methods_of(text: str, tokens: list[tuple[int, int]] | None) -> list[dict]:
     """Functions, methods and variables that hold an arrow function, with what is between their braces."""
-    if not text:
+    whole, text = text, _masked(text) if tokens is None else text
+    if "(" not in text:
         return []
-    whole, text = text, _masked(text)
-    breaks, pairs, found = [m.start() for m in re.finditer("\n", text)], _pairs(text), []
+    breaks, pairs, found = [m.start() for m in re.finditer("\n", text)], _pairs(text, tokens), []
     heads = [(m.start(3), m.end() - 1, m[3], _DECLARED) for m in _NAMED.finditer(text) if not (m[1] or m[2]) and m[3] not in _NO_METHODS]
     heads += [(m.start(1), m.end() - 1, m[1], _ARROW) for m in _VARIABLE.finditer(text)]
     for at, bracket, name, after in sorted(heads):
@@ -185,6 +277,13 @@ def _methods(text: str | None) -> list[dict]:
     return found
 
 
+_methods_by_pieces = _by_pieces(_methods_of, METHOD)
+
+
+def _methods(texts: pa.Array) -> pa.Array:
+    return _found(texts, _methods_by_pieces, METHOD)
+
+
 def _doc(block: str | None) -> dict | None:
     if block is None:
         return None
@@ -228,11 +327,11 @@ def operations(text: Column | str) -> Column:
     ``flag``: a condition that returns at once, an assignment with a fallback. A call's target is owner and name.
     """
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(_operations)
+    def run(texts: pa.Array) -> pa.Array:
+        return _operations(texts)
 
     # Marked so that filters and unnesting above it don't run it again.
-    return F.pandas_udf(run, OPERATION).asNondeterministic()(text)
+    return F.arrow_udf(run, OPERATION).asNondeterministic()(text)
 
 
 def _docs(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -390,10 +489,10 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     """file, method, params, line, body: functions, methods and callable variables, with their place in the file (E5,
     E6, S18). Comments hold none. A body that never closes gives none; a method inside another's body has a row of its own."""
 
-    def run(found: pd.Series) -> pd.Series:
-        return found.map(_methods)
+    def run(found: pa.Array) -> pa.Array:
+        return _methods(found)
 
-    return texts.select(F.col(file).alias("file"), F.pandas_udf(run, METHOD).asNondeterministic()(text).alias("ms")).select("file", F.explode("ms").alias("m")).select("file", "m.*")
+    return texts.select(F.col(file).alias("file"), F.arrow_udf(run, METHOD).asNondeterministic()(text).alias("ms")).select("file", F.explode("ms").alias("m")).select("file", "m.*")
 
 
 def method_calls(found: DataFrame, names: DataFrame, fields: DataFrame) -> DataFrame:
@@ -403,10 +502,11 @@ def method_calls(found: DataFrame, names: DataFrame, fields: DataFrame) -> DataF
     owner is imported; field if its owner is a typed field of the object; else unresolved. ``specifier`` is where
     the callee comes from, null for local and unresolved ones.
     """
-    ops = found.select("file", F.col("method").alias("caller"), operations("body").alias("os")).select("file", "caller", F.explode("os").alias("o")).where("o.type = 'method_call'").select("file", "caller", F.regexp_replace("o.target", "^global:", "").alias("t"))
+    # Equal bodies are looked at once, and equal calls of a method are counted before they are joined.
+    ops = found.select("body").distinct().select("body", operations("body").alias("os")).select("body", F.explode("os").alias("o")).where("o.type = 'method_call'").select("body", F.regexp_replace("o.target", "^global:", "").alias("t"))
     callee, owner = F.regexp_extract("t", r"([^.]*)$", 1), F.regexp_replace("t", r"\.?[^.]*$", "")
-    # Equal calls of a method are counted before they are joined.
-    calls = ops.select("file", "caller", callee.alias("callee"), owner.alias("owner")).groupBy("file", "caller", "callee", "owner").agg(F.count(F.lit(1)).alias("n"))
+    ops = written(ops.select("body", callee.alias("callee"), owner.alias("owner")).groupBy("body", "callee", "owner").agg(F.count(F.lit(1)).alias("n")), "body-calls")
+    calls = found.select("file", F.col("method").alias("caller"), "body").join(ops, "body").groupBy("file", "caller", "callee", "owner").agg(F.sum("n").alias("n"))
     calls = calls.withColumn("first", F.when(F.col("owner") == "", F.col("callee")).otherwise(F.split("owner", r"\.")[0])).withColumn("field", F.regexp_extract("owner", r"^this\.([^.]+)$", 1))
     own = found.select("file", F.col("method").alias("callee")).distinct().withColumn("declared", F.lit(True))
     imported = names.groupBy("file", F.col("identifier").alias("first")).agg(F.max("specifier").alias("by_import"))

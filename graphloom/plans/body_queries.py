@@ -13,6 +13,7 @@ from ..operators import lifecycle as LC
 from ..operators import linking as L
 from ..operators import manifests as M
 from ..operators import prefab as P
+from ..sources.storage import written
 from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
 from .prefab_queries import _O, derived_catalog, derived_prefabs
 
@@ -66,9 +67,14 @@ def _methods(spark, d):
     return B.methods(derived_bodies(spark, d))
 
 
-def _calls(spark, d):
+def _stored_methods(spark, d):
+    """Methods that are written, as their calls and their names are read apart."""
+    return written(_methods(spark, d).select("file", "method", "body"), "methods")
+
+
+def _calls(spark, d, found):
     names = _names(spark, d)
-    return B.method_calls(_methods(spark, d), names, B.field_types(_bare(spark, d), names))
+    return B.method_calls(found, names, B.field_types(_bare(spark, d), names))
 
 
 def body_methods(spark, d):
@@ -78,13 +84,14 @@ def body_methods(spark, d):
 
 def method_calls(spark, d):
     """Calls of the orders' methods by kind."""
-    return _calls(spark, d).groupBy("caller", "callee", "owner", "kind").agg(F.sum("n").alias("n"))
+    return _calls(spark, d, _stored_methods(spark, d)).groupBy("caller", "callee", "owner", "kind").agg(F.sum("n").alias("n"))
 
 
 def method_graph(spark, d):
     """Nodes of the graph of the orders' methods and the edges that end there."""
     resolved = X.resolved_imports(X.facts(derived_bodies(spark, d), kinds=("import",)), table(spark, d, "orders").select(F.concat(F.lit("o/kinds/"), F.left("o_orderpriority", F.lit(1)), F.lit(".ts")).alias("file")).distinct())
-    found, edges = B.method_graph(_methods(spark, d), _calls(spark, d), resolved)
+    m = _stored_methods(spark, d)
+    found, edges = B.method_graph(m, written(_calls(spark, d, m), "calls"), resolved)
     return found.join(edges.groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("calls")), "id", "left").select("id", "synthetic", F.coalesce("calls", F.lit(0)).alias("calls"))
 
 

@@ -1,5 +1,6 @@
 """Bodies, manifests, authoring plans and builds on small hand-made tables."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
@@ -198,3 +199,22 @@ def test_members_are_cut_once(spark):
     found = bodies.field_types(fields, names)
     assert {(r.field, r.via, r.specifier) for r in found.collect()} == {("list", "annotation", None), ("item", "decorator", "./item")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(m") == 0
+
+
+def test_pieces_give_what_the_whole_text_gives():
+    """Lines near the margin are looked at apart, unless a quote, a bracket or an open statement goes on from one to the next."""
+    apart = ["import { a } from './b';\nclass A {\n  a(x) { if (x) { return; } b(x); }\n  // c( {\n  get d() { return /[{(]/; }\n}\nconst e = (f) => { g(f); };\n"]
+    together = ["class A {\n  t = `a\n  b(x) { c(x); }\n`;\n}\n", "a(x)\n  b { c(); }\n", "if (a) {\n  return;\n}\n", "a.\n  b(c);\n", "f(\n  g(x));\n", "/* a\n  b(x) { }\n*/\n  c(x) { }\n"]
+    for text in apart + together:
+        for of, run, kind in ((bodies._operations_of, bodies._operations_by_pieces, bodies.OPERATION), (bodies._methods_of, bodies._methods_by_pieces, bodies.METHOD)):
+            assert bodies._found(pa.array([None, text, ""]), run, kind).to_pylist() == [[], of(text, None), []], text
+    closed = lambda p: bodies._closed(p, list(bodies._passed(p, pattern=bodies._TOKEN)))
+    assert all(closed(p) for p in bodies._PIECE.findall(apart[0])) and not any(all(closed(p) for p in bodies._PIECE.findall(t)[:-2]) for t in together)
+
+
+def test_equal_pieces_are_remembered(monkeypatch):
+    seen = []
+    run = bodies._by_pieces(lambda text, tokens: seen.append(text) or [], bodies.OPERATION)
+    for text in ("a(1);\nb(2);\n", "b(2);\na(1);\n", "b(2);\na(1);\nc(3);"):
+        run(text)
+    assert seen == ["a(1);\n", "b(2);\n", "c(3);"]
