@@ -257,3 +257,9 @@ def test_a_version_adds_to_the_one_before(spark, tmp_path):  # noqa: F811
 def test_neighbours_of_every_route_and_module(spark):  # noqa: F811
     found = lookup_queries.lookup_neighbours(spark, "/root/testdata/sf0.001").select("id").distinct().collect()
     assert {r.id for r in found} == {f"nation:{i}" for i in range(25)} | {f"region:{i}" for i in range(5)}
+
+
+def test_cards_of_all_features_read_the_tables_once(spark):  # noqa: F811
+    """Every step is kept, so that the last plan holds none of those before it."""
+    plan = lookup_queries.feature_cards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "feature" in plan and "l_partkey" not in plan and "o_custkey" not in plan
