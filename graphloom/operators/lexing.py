@@ -155,9 +155,8 @@ def methods(texts: DataFrame, file: str = "file", text: str = "text") -> DataFra
     if it has any. A declaration without a body, and a head in a comment, string or regular expression, gives nothing.
     """
     t = _stored(texts, file, text).where("file IS NOT NULL AND text <> ''")
-    pieces = t.select(F.explode(_pieces("text")).alias("text")).where("text <> ''").distinct().select(_same("text").alias("file"), "text")
-    found = written(_of_pieces(_dealt(pieces, "file", "text")), "code-pieces")
-    placed = written(_placed(t, found), "code-placed")
+    found = written(_of_pieces(_dealt(_distinct_pieces(t), "file", "text")), "code-pieces")
+    placed = written(_placed(t, found.withColumn("has", F.col("methods").isNotNull())), "code-placed")
     columns = ["method", "form", "params", "line", "body", "at", "until"]
     inside = found.select(F.col("file").alias("piece"), F.inline("methods")).select("piece", *columns)
     rows = placed.where("apart").join(inside, "piece").select("file", "method", "form", "params", (F.col("line") + F.col("lines")).cast("int").alias("line"), "body", *[(F.col(c) + F.col("place")).alias(c) for c in ("at", "until")])
@@ -187,8 +186,12 @@ def _pieces(text: str) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
+def _distinct_pieces(t: DataFrame) -> DataFrame:
+    return t.select(F.explode(_pieces("text")).alias("text")).where("text <> ''").distinct().select(_same("text").alias("file"), "text")
+
+
 def _of_pieces(pieces: DataFrame) -> DataFrame:
-    """file, k1, k2, size, breaks, starts, ends, step, low, methods of texts that are dealt by file: their hashes, characters
+    """file, k1, k2, size, breaks, starts, ends, stops, step, low, methods of texts that are dealt by file: their hashes, characters
     and lines, whether they may begin after a cut and end before one, by how much the brackets at their end are deeper than at their begin (null: in no way that other pieces
     could go on from) and whether they close what they have not opened."""
     raw = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
@@ -209,16 +212,18 @@ def _of_pieces(pieces: DataFrame) -> DataFrame:
     no = F.lit(False)
     starts = F.col("tokens").isNull() | F.coalesce(closing | (F.col("first.kind") == "word"), no)
     ends = F.col("whole") & F.col("looks_on").isNull() & ~F.coalesce(F.col("last.t").isin(*_NOT_LAST), no)
-    return d.select("file", "k1", "k2", "size", "breaks", starts.alias("starts"), ends.alias("ends"), step.alias("step"), F.coalesce((F.col("least") < 0) & ~closing, no).alias("low"), "methods")
+    # What only looks up to the next ';' may end there, whatever is a method before it.
+    stops = F.col("whole") & (F.col("tokens").isNull() | F.coalesce((F.col("least") >= 0) & (F.col("deep") == 0) & (F.col("last.t") == ";") & (F.col("last.kind") == "mark"), no))
+    return d.select("file", "k1", "k2", "size", "breaks", starts.alias("starts"), ends.alias("ends"), stops.alias("stops"), step.alias("step"), F.coalesce((F.col("least") < 0) & ~closing, no).alias("low"), "methods")
 
 
 def _placed(t: DataFrame, found: DataFrame) -> DataFrame:
-    """file, piece, place, lines, apart of the pieces of stored texts that have methods, and of one piece of each text that
+    """file, piece, place, lines, apart of the pieces of stored texts that have what is looked for (``has``), and of one piece of each text that
     must be looked at as a whole (``apart`` is false): characters and lines before them."""
     # What is left at a text's end is empty.
     pieces = _spread(t).select("file", F.posexplode(_pieces("text")).alias("i", "text")).where("text <> ''")
     pieces = pieces.select("file", "i", *_key("text"))
-    pieces = pieces.join(found.select("k1", "k2", F.col("file").alias("piece"), "size", "breaks", "starts", "ends", "step", "low", F.col("methods").isNotNull().alias("has")), ["k1", "k2"])
+    pieces = pieces.join(found.select("k1", "k2", F.col("file").alias("piece"), "size", "breaks", "starts", "ends", "step", "low", "has"), ["k1", "k2"])
     order = Window.partitionBy("file").orderBy("i")
     before, upto, text = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = pieces.select("*", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("place"), F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("lines"), F.sum(F.coalesce("step", F.lit(0))).over(upto).alias("deep"), F.max("i").over(text).alias("last"))
@@ -390,6 +395,24 @@ def operations(texts: DataFrame, file: str = "file", text: str = "text") -> Data
     return once(texts, file, text, _operations)
 
 
+def calls(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """The calls among ``operations``, but those of ``ARRAY_METHODS``. Equal pieces of texts are looked at once where every
+    piece (``PIECE``) ends with a statement's ';', as no call looks further; other texts as a whole."""
+    t = _stored(texts, file, text).where("text <> ''")
+    pieces = written(_distinct_pieces(t), "code-pieces")
+    found = _of_pieces(_dealt(pieces, "file", "text"))
+    found = written(found.withColumns({"ends": F.col("stops"), "step": F.when(F.col("stops"), 0), "has": F.lit(True)}), "code-pieces")
+    placed = written(_placed(t, found), "code-placed")
+    inside = _operations(pieces, "file", "text").where("type = 'method_call'")
+    rows = placed.where("apart").join(inside.withColumnRenamed("file", "piece").withColumnsRenamed({"line": "_line"}), "piece")
+    rows = rows.withColumns({"line": (F.col("_line") + F.col("lines")).cast("int"), "at": F.col("at") + F.col("place"), "until": F.col("until") + F.col("place")}).select(*inside.columns)
+    whole = placed.where("NOT apart").select(F.col("file").alias("_file")).distinct()
+    if whole.isEmpty():
+        return rows
+    rest = t.join(whole, F.col("file").eqNullSafe(F.col("_file")), "left_semi")
+    return rows.unionByName(once(rest, "file", "text", _operations).where("type = 'method_call'"))
+
+
 def _operations(texts: DataFrame, file: str, text: str) -> DataFrame:
     no, in_chain = F.lit(False), _in_chain()
     rows = _statements(_kinds(_chains(texts, file, text)))

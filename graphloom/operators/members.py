@@ -185,8 +185,8 @@ def subscriptions_by_pattern(texts: DataFrame, file: str = "file", text: str = "
 def subscriptions_by_tokens(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
     """As ``subscriptions_by_pattern``, from calls as tokens show them: also over line breaks and comments, at any owner
     that ends with a bus; the handler of a function in place is empty (E9, E9c)."""
-    ops = lexing.operations(texts, file, text).where((F.col("type") == "method_call") & F.col("method").isin(*MODES))
-    o = ops.withColumn("bus", _bus(F.regexp_replace("target", r"\s+", ""))).where("bus IS NOT NULL")
+    o = lexing.calls(texts, file, text).where(F.col("method").isin(*MODES))
+    o = o.withColumn("bus", _bus(F.regexp_replace("target", r"\s+", ""))).where("bus IS NOT NULL")
     quoted = r"""^("[^"\n]*"|'[^'\n]*'|[\w.$]+)"""
     event, rest = F.regexp_extract("detail", quoted, 1), F.regexp_extract("detail", quoted + r"\s*,\s*(.*)$", 2)
     handler = F.when(rest.rlike(r"^(?:async\b|function\b|\(|[\w$]+\s*=>)"), "").otherwise(F.regexp_extract(rest, r"^(?:this\.)?([\w$]+)", 1))

@@ -141,3 +141,17 @@ def test_pieces_that_hang_together_are_not_cut(spark):  # noqa: F811
     t = texts(spark, *programs)
     told = lambda df: sorted(tuple(r) for r in df.select("file", "method", "form", "params", "line", "body", "at", "until").collect())
     assert told(X.methods(t)) == told(X._of_texts(X._dealt(t, "file", "text")))
+
+
+def test_calls_of_equal_pieces_are_found_once(spark, monkeypatch):  # noqa: F811
+    """Scripts of the same statements make a piece for each; calls keep their places, and what hangs together is not cut."""
+    lines = ["a.b(1);\n", "// c(2);\n", "d\n  .e(\"x\", () => { f(3); });\n"]
+    programs = ["".join(p) for p in itertools.permutations(lines)]
+    seen, of = [], X._operations
+    monkeypatch.setattr(X, "_operations", lambda t, f, c: seen.append(t.count()) or of(t, f, c))
+    odd = ["g(\n1);\n", "h\n  (2)\ni(3);\n", "t = `a;\nj(4);\n`;\nk(5);\n", "class A {\nl(6);\n}\n"]
+    t = texts(spark, *programs, *odd)
+    told = lambda df: sorted(tuple(r) for r in df.where("type = 'method_call'").select("file", "target", "method", "detail", "flag", "times", "line", "at", "until", "arguments").collect())
+    assert told(X.calls(t)) == told(X.once(t, "file", "text", of))
+    X.calls(texts(spark, *programs)).count()
+    assert seen[-1] == len(lines)
